@@ -28,8 +28,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER).withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gyrolake.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gyrolake.llm.repeats import remove_repeats
+
+    cut = remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_packing, op9_token_counts)}
+    return {f.__name__: f for f in (op6_near_duplicates, op7_packing, op9_token_counts, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
