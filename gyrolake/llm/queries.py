@@ -28,6 +28,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER).withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gyrolake.llm.quality_rules import judge
+
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gyrolake.llm.simhash import near_duplicates
 
@@ -43,7 +51,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_near_duplicates, op7_packing, op9_token_counts, op10_repeats)}
+    return {f.__name__: f for f in (op2_quality_rules, op6_near_duplicates, op7_packing, op9_token_counts, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:

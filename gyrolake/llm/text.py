@@ -11,7 +11,7 @@ SPACE = r"[\x20\x09-\x0D]"
 
 def words(text: Column) -> Column:
     """The words of a text, in order; null and blank texts have none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+"))
 
 
