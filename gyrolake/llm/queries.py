@@ -36,6 +36,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gyrolake.llm.winnowing import edited_pairs, likeness, shown
+
+    pairs = edited_pairs(table(spark, sf_dir, "documents"))
+    return pairs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        shown(F.col("fp")).alias("fingerprint"),
+        shown(F.col("edited_fp")).alias("edited_fingerprint"),
+        likeness(F.col("fp.hash"), F.col("edited_fp.hash")).alias("near_edited"),
+        likeness(F.col("fp.hash"), F.col("next_hashes")).alias("near_next"),
+    )
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gyrolake.llm.simhash import near_duplicates
 
@@ -51,7 +66,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op6_near_duplicates, op7_packing, op9_token_counts, op10_repeats)}
+    return {f.__name__: f for f in (op2_quality_rules, op5_fingerprints, op6_near_duplicates, op7_packing, op9_token_counts, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
