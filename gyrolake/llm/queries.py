@@ -22,12 +22,26 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER, MAX_TOKENS)
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gyrolake.llm.templates import dedup_lines
+
+    cut = dedup_lines(table(spark, sf_dir, "documents"))
+    return cut.select(F.col("row.doc_id").alias("doc_id"), "n_dropped", "text")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gyrolake.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER).withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gyrolake.llm.mixing import replicate
+
+    mixed = replicate(table(spark, sf_dir, "documents"), seed=11)
+    return mixed.select(*[F.col(f"row.{c}") for c in ("doc_id", "text", "lang", "source", "n_chars")], F.round("rate", 9).alias("rate"), F.col("copies").cast("long"), F.col("copy").cast("long"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gyrolake.llm.quality_rules import judge
 
@@ -36,6 +50,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gyrolake.llm.weak_quality import classify
+
+    return classify(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gyrolake.llm.winnowing import edited_pairs, likeness, shown
 
@@ -66,8 +86,45 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op5_fingerprints, op6_near_duplicates, op7_packing, op9_token_counts, op10_repeats)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_rules, op4_quality_classifier, op5_fingerprints, op6_near_duplicates, op7_packing, op8_line_templates, op9_token_counts, op10_repeats)}
+
+
+#: Rates, distribution functions, draws and copies as in gyrolake.llm.mixing with seed 11 and equal weights.
+MIXING_SQL = """
+WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+sums AS (SELECT CAST(count(*) AS DOUBLE) AS w, CAST(sum(n) AS DOUBLE) AS total FROM counts),
+rates AS (SELECT source, 1.0::DOUBLE / w * total / n AS rate FROM counts, sums),
+parts AS (SELECT source, rate, greatest(1, CAST(ceil(rate / 16.0) AS INTEGER)) AS parts FROM rates),
+cdf AS (
+  SELECT source, rate / parts AS mean, 0 AS k, exp(-(rate / parts)) AS term, exp(-(rate / parts)) AS upto FROM parts
+  UNION ALL
+  SELECT source, mean, k + 1, term * mean / (k + 1), upto + term * mean / (k + 1) FROM cdf WHERE k < 96
+),
+draws AS (
+  SELECT d.doc_id, d.source, j,
+    CAST(('0x' || substr(md5('11|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '|' || j), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+  FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(p.parts)) AS j)
+),
+copies AS (
+  SELECT x.doc_id, CAST(count(c.k) AS BIGINT) AS copies
+  FROM draws x LEFT JOIN cdf c ON c.source IS NOT DISTINCT FROM x.source AND c.upto <= x.u GROUP BY x.doc_id
+)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, round(r.rate, 9) AS rate, c.copies, t.copy
+FROM documents d JOIN copies c USING (doc_id) JOIN rates r ON d.source IS NOT DISTINCT FROM r.source, LATERAL (SELECT unnest(range(c.copies)) AS copy) t
+"""
+
+REPEATS_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS p, w FROM w WHERE len(w) >= 35),
+windows AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 34), ' ') AS words FROM starts),
+repeated AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY words) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS i FROM repeated),
+per AS (SELECT doc_id, list(i) AS gone, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN per ON w.doc_id = per.doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": MIXING_SQL, "op10_repeats": REPEATS_SQL}
