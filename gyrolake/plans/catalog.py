@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gyrolake.plans import geometry
+
 #: Modules with QUERIES: name -> (query, SQL or None).
-MODULES: list = []
+MODULES = [geometry]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
