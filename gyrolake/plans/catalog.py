@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gyrolake.plans import geometry
+from gyrolake.plans import geometry, reports
 
 #: Modules with QUERIES: name -> (query, SQL or None).
-MODULES = [geometry]
+MODULES = [geometry, reports]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
