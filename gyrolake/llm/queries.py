@@ -50,6 +50,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), *counts, "base_failed", "kept")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gyrolake.llm.personal_data import find_personal_data, joined
+
+    told = find_personal_data(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return told.select("doc_id", *map(count, ("email", "ip", "card", "phone")), base, joined(F.col("spans")).alias("spans"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gyrolake.llm.weak_quality import classify
 
@@ -86,7 +95,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality_rules, op4_quality_classifier, op5_fingerprints, op6_near_duplicates, op7_packing, op8_line_templates, op9_token_counts, op10_repeats)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_personal_data, op4_quality_classifier, op5_fingerprints, op6_near_duplicates, op7_packing, op8_line_templates, op9_token_counts, op10_repeats)}
 
 
 #: Rates, distribution functions, draws and copies as in gyrolake.llm.mixing with seed 11 and equal weights.

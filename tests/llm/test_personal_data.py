@@ -1,0 +1,61 @@
+import hashlib
+import random
+import re
+
+from gyrolake.llm import queries
+from gyrolake.llm.personal_data import estimate, find_personal_data
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for order, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else 0, "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((m.start(), order, kind, m.end()))
+    return [(k, s, e) for s, _, k, e in sorted(out)]
+
+
+def made(rng):
+    bits = ["a.b@c.de_f@g.hi", "x@y.z@w.v", "1.2.3.4.5.6.7.8", "300.1.1.1", "001.02.255.9", "4111 1111 1111 1111", "4111-1111-1111-1112", "12345678901234567890123", "5 - 6", "+1 (555) 010-2030", "+1+2 345678901", "+49-30-1234567 8", "é@é.com", "call me:", "\n", "ü", "12 34", "@", "+", "joe (at) mail dot com", "tel (415) 555-2671", "ssn 123-45-6789", "..1.2.3.4", "378282246310005", "a@b.c.", "_d@e.fg", "9" * 40]
+    return rng.choice(["", " ", ", "]).join(rng.choice(bits) for _ in range(rng.randrange(12)))
+
+
+def test_base_spans_against_plain_patterns(spark):
+    rng = random.Random(5)
+    rows = [(i, made(rng), 1, "x") for i in range(400)] + [(None, "a@b.co", 1, "x"), (7, None, 1, "x"), (8, "", 1, "x"), (9, "z" * 200_000 + " 1" * 3, 1, "x"), (3, "+1 555 123 4567", 1, "y"), (3, "+1 555 123 4567", 1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, c int, spans string")
+    want = sorted(((i, brute(t)) for i, t, *_ in rows), key=str)
+    out = find_personal_data(docs).collect()
+    assert sorted(((r.doc_id, [(s.kind, s.start, s.end) for s in r.base]) for r in out), key=str) == want
+    for r in out:
+        assert {tuple(s) for s in r.base} <= {tuple(s) for s in r.spans}
+    assert find_personal_data(docs.filter("false")).count() == 0
+
+
+def test_reliabilities():
+    counts = {("card", (1, 1, 1, 1, 0)): 900, ("card", (-1, -1, 0, 1, 0)): 500, ("card", (0, 1, 1, 1, 0)): 30, ("card", (0, -1, -1, 1, 0)): 30}
+    p = estimate(counts)
+    assert p["card", (1, 1, 1, 1, 0)] > 0.9 and p["card", (0, 1, 1, 1, 0)] > 0.8
+    assert p["card", (-1, -1, 0, 1, 0)] < 0.1 and p["card", (0, -1, -1, 1, 0)] < 0.2
+
+
+def test_whole_table(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    for r in queries.op3_personal_data(spark, "/root/testdata/sf0.01").collect():
+        base = brute(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, *_ in base) for x in PLAIN)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+        assert {f"{k}:{s}:{e}" for k, s, e in base} <= set(r.spans.split(","))
