@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gyrolake.plans import geometry, reports
+from gyrolake.plans import geometry, reports, streams
 
 #: Modules with QUERIES: name -> (query, SQL or None).
-MODULES = [geometry, reports]
+MODULES = [geometry, reports, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
