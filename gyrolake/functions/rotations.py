@@ -73,7 +73,7 @@ def with_log(df: DataFrame, m: str, out: str) -> DataFrame:
     steps = df.withColumn("__t", F.acos(clamp((r[0] + r[4] + r[8] - 1.0) / 2.0)))
     regular = F.when(t < SMALL, F.lit(0.5)).otherwise(F.try_divide(t, 2.0 * F.sin(t)))
     root = lambda k: F.sqrt(F.greatest((r[4 * k] + 1.0) / 2.0, F.lit(0.0)))
-    mixed = lambda i, j: (r[3 * i + j] + r[3 * j + i]) / 2.0
+    mixed = lambda i, j: (r[3 * i + j] + r[3 * j + i]) / 4.0
     axes = []
     for k in range(3):
         axes.append([root(k) if j == k else F.try_divide(mixed(k, j), root(k)) for j in range(3)])

@@ -109,9 +109,9 @@ def delta_sql(source: str, name: str, current: str, following: str, out: str) ->
     m = {3 * i + j: " + ".join(f"{following.format(k=3 * i + k)}*{current.format(k=3 * j + k)}" for k in range(3)) for i in range(3) for j in range(3)}
     product = ", ".join(f"{e} AS m{k}" for k, e in m.items())
     axis = {
-        0: ("sqrt(greatest((m0+1)/2,0))", "(m1+m3)/2/sqrt(greatest((m0+1)/2,0))", "(m2+m6)/2/sqrt(greatest((m0+1)/2,0))"),
-        1: ("(m3+m1)/2/sqrt(greatest((m4+1)/2,0))", "sqrt(greatest((m4+1)/2,0))", "(m5+m7)/2/sqrt(greatest((m4+1)/2,0))"),
-        2: ("(m6+m2)/2/sqrt(greatest((m8+1)/2,0))", "(m7+m5)/2/sqrt(greatest((m8+1)/2,0))", "sqrt(greatest((m8+1)/2,0))"),
+        0: ("sqrt(greatest((m0+1)/2,0))", "(m1+m3)/4/sqrt(greatest((m0+1)/2,0))", "(m2+m6)/4/sqrt(greatest((m0+1)/2,0))"),
+        1: ("(m3+m1)/4/sqrt(greatest((m4+1)/2,0))", "sqrt(greatest((m4+1)/2,0))", "(m5+m7)/4/sqrt(greatest((m4+1)/2,0))"),
+        2: ("(m6+m2)/4/sqrt(greatest((m8+1)/2,0))", "(m7+m5)/4/sqrt(greatest((m8+1)/2,0))", "sqrt(greatest((m8+1)/2,0))"),
     }
     pick = ", ".join(f"CASE WHEN m0 >= m4 AND m0 >= m8 THEN {axis[0][j]} WHEN m4 >= m8 THEN {axis[1][j]} ELSE {axis[2][j]} END AS u{j}" for j in range(3))
     v = ("m7 - m5", "m2 - m6", "m3 - m1")
