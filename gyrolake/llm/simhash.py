@@ -25,37 +25,62 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gyrolake.llm.text import keyed
+from gyrolake.llm.text import keyed, packed
 from gyrolake.operators.components import connected_components
 from gyrolake.plans.staging import staged
 
 SEED = 42
 SHARD = 4096  # fingerprints of a tree's part
 LEAF = 64  # fingerprints that a tree node keeps without splitting
-FEW_PER_SHARD = 32
+FEW_PER_SHARD = 512
 MIN_BLOCKS = 6
+BINS = 128  # of a sketch; its standard error is 0.035 at a similarity of 0.8
+LEAST_LIKE = 0.7  # the least estimate taken for a similarity of 0.8: three standard errors less
+SHARE = 4096  # rows of a group that meet one copy of its first row's sketch
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """SimHash over ``shingle``-word shingles, repeats included, as a signed long; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every ``shingle``-word shingle, repeats included; of the whole where it has fewer words; none without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     spans = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), "<u8", n)
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), "<u8", n)
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """SimHash over ``shingle``-word shingles, repeats included, as a signed long; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for part in range(0, n, 65536):
         ones += np.unpackbits(hashes[part : part + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def sketch(text: str | None, shingle: int) -> list[int]:
+    """The least shingle hash of each of ``BINS`` ranges of hashes, as signed longs; 0 for an empty range."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    bins, first = np.unique(hashes >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+    out = np.zeros(BINS, np.uint64)
+    out[bins.astype(np.int64)] = hashes[first]
+    return out.view(np.int64).tolist()
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """The estimated similarity of the shingle sets behind two sketches; 1 where both are empty."""
+    count = lambda test: F.aggregate(F.zip_with(a, b, lambda x, y: F.when(test(x, y), 1).otherwise(0)), F.lit(0), lambda acc, v: acc + v)
+    filled = count(lambda x, y: (x != 0) | (y != 0))
+    return F.when(filled == 0, 1.0).otherwise(count(lambda x, y: (x == y) & (x != 0)) / filled)
+
+
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, id, fp) of every row."""
 
@@ -196,14 +221,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col:
     return fps.join(of_fp, "fp").select("k1", "k2", "id", "fp", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with all columns: that of the least id, then of the least key; of rows equal in id and text, one."""
-    from gyrolake.llm.text import packed
+def sketches(keyed_docs: DataFrame, shingle: int) -> DataFrame:
+    """(k1, k2, sketch) of the rows of text.keyed."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([sketch(t.as_py(), shingle) for t in batch.column(2)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], made], ["k1", "k2", "sketch"])
+
+    return keyed_docs.select("k1", "k2", "text").mapInArrow(compute, "k1 long, k2 long, sketch array<long>")
+
 
-    found = near_duplicates(docs, shingle, radius, id_col, text_col)
-    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "k2", "k1")
-    kept = found.groupBy(F.coalesce(F.col("component"), F.col("fp")).alias("c"), F.col("component").isNull().alias("n")).agg(F.min(first).alias("first"))
-    kept = kept.select("first.k1", "first.k2")
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 9, least_like: float = LEAST_LIKE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that are near copies of their component's first row, and without repeats of rows equal in id and text.
+
+    First is the least id (null ids last), then the least key. Fingerprints propose, and
+    sketches of the shingle sets decide: a row goes if its estimated similarity with
+    the first row is at least ``least_like``, so a chance likeness of fingerprints costs no
+    document. All columns are kept; nulls, empty texts and empty tables as in
+    near_duplicates. Only rows of components with several members are sketched. A
+    component may hold most rows: its first row's sketch is copied once for every
+    ``SHARE`` of them.
+    """
+    found = staged(near_duplicates(docs, shingle, radius, id_col, text_col), "found")
+    group = [F.coalesce(F.col("component"), F.col("fp")).alias("c"), F.col("component").isNull().alias("n")]
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "k2", "k1")
+    groups = found.groupBy(*group).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("rows"))
+    groups = groups.filter("first <> last").select("c", "n", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2"), F.ceil(F.col("rows") / SHARE).alias("parts"))
+    groups = staged(groups, "groups")
+    members = staged(found.select("k1", "k2", *group).join(groups, ["c", "n"]).select("k1", "k2", "f1", "f2", "parts").distinct(), "members")
+    drawn = staged(sketches(keyed(docs, id_col, text_col).join(members.select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), shingle), "sketches")
+    firsts = drawn.toDF("f1", "f2", "first_sketch").join(groups.select("f1", "f2", "parts"), ["f1", "f2"])
+    firsts = firsts.select("f1", "f2", "first_sketch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    others = members.filter("k1 <> f1 or k2 <> f2").withColumn("part", F.pmod(F.xxhash64("k1", "k2"), F.col("parts"))).join(drawn, ["k1", "k2"])
+    alike = others.join(firsts, ["f1", "f2", "part"]).filter(likeness(F.col("sketch"), F.col("first_sketch")) >= least_like)
+    gone = staged(alike.select("k1", "k2"), "gone")
     id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     rows = packed(docs, F.coalesce(id_, F.lit(0)).alias("k1"), F.xxhash64(id_, text).alias("k2"))
-    return rows.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
+    return rows.join(gone, ["k1", "k2"], "left_anti").dropDuplicates(["k1", "k2"]).select("row.*")

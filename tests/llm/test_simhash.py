@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gyrolake.llm.simhash import BKTree, blocks_for, drop_near_duplicates, fingerprint, fingerprint_links, near_duplicates, shard_links
+from gyrolake.llm.simhash import BKTree, blocks_for, drop_near_duplicates, fingerprint, fingerprint_links, likeness, near_duplicates, shard_links, sketch
 from gyrolake.operators.components import connected_components
 
 
@@ -96,3 +96,24 @@ def test_whole_table_against_brute_force(spark):
     got = {r.id: (r.fp % (1 << 64), r.component) for r in near_duplicates(docs, 4, 4).collect()}
     assert got == {r.doc_id: (f, rows[c].doc_id) for r, f, c in zip(rows, fps, want, strict=True)}
     assert docs.select(F.count("*")).first()[0] == len(got)
+
+
+def test_sketches_decide_what_goes(spark):
+    rng = np.random.default_rng(5)
+    exact = lambda a, b: len(a & b) / len(a | b)
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rows = []
+    for g in range(3):
+        base = rng.integers(0, 5000, 300)
+        for c in range(20):
+            words = base.copy()
+            words[rng.integers(0, 300, c % 3)] = 9000 + c
+            rows.append((100 * g + c, " ".join(f"w{w}" for w in words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near, far = sketch(rows[0][1], 5), sketch(rows[20][1], 5)
+    frame = spark.createDataFrame([(near, sketch(rows[2][1], 5)), (near, far), ([0] * 128, [0] * 128)], "a array<long>, b array<long>")
+    got = [r[0] for r in frame.select(likeness(F.col("a"), F.col("b"))).collect()]
+    assert abs(got[0] - exact(shingles(rows[0][1]), shingles(rows[2][1]))) < 0.12 and got[1] < 0.05 and got[2] == 1
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs, 5, 12).collect()) == [0, 100, 200]
+    # were all fingerprints alike, each text unlike the first would still stay
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs.filter("doc_id % 100 = 0"), 5, 40).collect()) == [0, 100, 200]
