@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines whose template another document of lesser id has, or an earlier line."""
-    return drop_recurring_lines(docs)
+    """Texts without lines whose whole template, digits apart, a document of lesser id has."""
+    return drop_recurring_lines(docs, whole=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

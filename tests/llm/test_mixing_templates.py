@@ -97,3 +97,25 @@ def test_templates_of_the_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted(((r.doc_id, r.text, r.n_dropped) for r in queries.op8_line_templates(spark, SF).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_whole_templates_lose_no_words(spark):
+    table = "1 2 3 4 5 6\n7 8 9 10 11 12\n| 1 | 2 |"
+    rows = [(1, "a b c d e f g\nuser 17 logged in\nuser 18 logged in"), (2, "a b c d e f h\na b c d e f i\nuser 19 logged in"), (3, table), (4, table), (5, "a b c  d e f g\nok"), (6, "user 20 logged in")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n_chars long, row string").repartition(3)
+    got = {r.doc_id: r.text for r in drop_recurring_lines(docs, whole=True).collect()}
+    assert got == {1: rows[0][1], 2: "a b c d e f h\na b c d e f i", 3: table, 4: table, 5: "ok"}
+
+
+def test_pipeline_stage_drops_only_lines_held_elsewhere(spark):
+    import re
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    words = lambda line: tuple("" if re.search("[0-9]", x) else x for x in line.encode().decode("latin-1").split())
+    held = {words(line) for t in after.values() for line in (t or "").split("\n")}
+    dropped = [line for i, t in before.items() for line in set((t or "").split("\n")) - set((after.get(i) or "").split("\n"))]
+    assert dropped and all(words(line) in held or len(words(line)) < 3 for line in dropped)
