@@ -119,3 +119,11 @@ def test_pipeline_stage_drops_only_lines_held_elsewhere(spark):
     held = {words(line) for t in after.values() for line in (t or "").split("\n")}
     dropped = [line for i, t in before.items() for line in set((t or "").split("\n")) - set((after.get(i) or "").split("\n"))]
     assert dropped and all(words(line) in held or len(words(line)) < 3 for line in dropped)
+
+
+def test_each_row_without_an_id_is_a_document(spark):
+    rows = [(i, f"the line that recurs\nthe line of {name} alone") for i in (None, 4) for name in ("ann", "bob", "cyd", "dan")]
+    for whole in (False, True):
+        out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), whole=whole).collect()
+        owners = [r.row.doc_id for r in out if "recurs" in r.text]
+        assert owners == [None] and sum(r.n_dropped for r in out) == 7 + 4
