@@ -226,36 +226,49 @@ def sketches(keyed_docs: DataFrame, shingle: int) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([sketch(t.as_py(), shingle) for t in batch.column(2)], pa.list_(pa.int64()))
+            texts = [t.as_py() for t in batch.column(2)]
+            made = pa.array([sketch(t, shingle) for t in texts], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], made], ["k1", "k2", "sketch"])
 
     return keyed_docs.select("k1", "k2", "text").mapInArrow(compute, "k1 long, k2 long, sketch array<long>")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 9, least_like: float = LEAST_LIKE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that are near copies of their component's first row, and without repeats of rows equal in id and text.
-
-    First is the least id (null ids last), then the least key. Fingerprints propose, and
-    sketches of the shingle sets decide: a row goes if its estimated similarity with
-    the first row is at least ``least_like``, so a chance likeness of fingerprints costs no
-    document. All columns are kept; nulls, empty texts and empty tables as in
-    near_duplicates. Only rows of components with several members are sketched. A
-    component may hold most rows: its first row's sketch is copied once for every
-    ``SHARE`` of them.
+    """``docs`` without near copies of rows that stay in their component, and without repeats of rows equal in id and text.
+
+    Rows of a component are taken in order of id (null ids last), then key. Fingerprints
+    propose components, and sketches decide: a row goes if its estimated similarity with
+    a row before it that stays is at least ``least_like``. In each round
+    the first row of what is left of each component stays and is compared with the others, so
+    a first row unlike the others does not shield them; there are as many rounds as rows
+    that stay in the component of most such rows. All columns are kept; nulls, empty
+    texts and empty tables as in near_duplicates. Only rows of components with several
+    members are sketched. A component may hold most rows: its first row's sketch is
+    copied once for every ``SHARE`` of them.
     """
     found = staged(near_duplicates(docs, shingle, radius, id_col, text_col), "found")
     group = [F.coalesce(F.col("component"), F.col("fp")).alias("c"), F.col("component").isNull().alias("n")]
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "k2", "k1")
-    groups = found.groupBy(*group).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("rows"))
-    groups = groups.filter("first <> last").select("c", "n", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2"), F.ceil(F.col("rows") / SHARE).alias("parts"))
-    groups = staged(groups, "groups")
-    members = staged(found.select("k1", "k2", *group).join(groups, ["c", "n"]).select("k1", "k2", "f1", "f2", "parts").distinct(), "members")
-    drawn = staged(sketches(keyed(docs, id_col, text_col).join(members.select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), shingle), "sketches")
-    firsts = drawn.toDF("f1", "f2", "first_sketch").join(groups.select("f1", "f2", "parts"), ["f1", "f2"])
-    firsts = firsts.select("f1", "f2", "first_sketch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    others = members.filter("k1 <> f1 or k2 <> f2").withColumn("part", F.pmod(F.xxhash64("k1", "k2"), F.col("parts"))).join(drawn, ["k1", "k2"])
-    alike = others.join(firsts, ["f1", "f2", "part"]).filter(likeness(F.col("sketch"), F.col("first_sketch")) >= least_like)
-    gone = staged(alike.select("k1", "k2"), "gone")
+    groups = staged(found.groupBy(*group).agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first <> last").select("c", "n"), "groups")
+    left = staged(found.select("id", "k1", "k2", *group).join(groups, ["c", "n"]).select("c", "n", "id", "k1", "k2").distinct(), "members")
+    drawn = staged(sketches(keyed(docs, id_col, text_col).join(left.select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), shingle), "sketches")
+    gone = left.select("k1", "k2").filter("false")
+    while True:
+        firsts = left.groupBy("c", "n").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+        firsts = staged(firsts.select("c", "n", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2"), F.ceil(F.col("rows") / SHARE).alias("parts")), "firsts")
+        if firsts.isEmpty():
+            break
+        part = F.pmod(F.xxhash64("k1", "k2"), F.col("parts")).alias("part")
+        others = staged(left.join(firsts, ["c", "n"]).filter("k1 <> f1 or k2 <> f2").select("c", "n", "id", "k1", "k2", "f1", "f2", part), "others")
+        shared = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+
+        def of_first(what: str, firsts: DataFrame = firsts, shared: Column = shared) -> DataFrame:
+            return drawn.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col(what).alias("of_first")).join(firsts, ["f1", "f2"]).select("f1", "f2", "of_first", shared)
+
+        asked = others.join(drawn.select("k1", "k2", "sketch"), ["k1", "k2"]).join(of_first("sketch"), ["f1", "f2", "part"])
+        alike = staged(asked.filter(likeness(F.col("sketch"), F.col("of_first")) >= least_like).select("k1", "k2"), "alike")
+        gone = gone.unionByName(alike)
+        left = staged(others.join(alike, ["k1", "k2"], "left_anti").select("c", "n", "id", "k1", "k2"), "left")
     id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     rows = packed(docs, F.coalesce(id_, F.lit(0)).alias("k1"), F.xxhash64(id_, text).alias("k2"))
     return rows.join(gone, ["k1", "k2"], "left_anti").dropDuplicates(["k1", "k2"]).select("row.*")

@@ -117,3 +117,11 @@ def test_sketches_decide_what_goes(spark):
     assert sorted(r.doc_id for r in drop_near_duplicates(docs, 5, 12).collect()) == [0, 100, 200]
     # were all fingerprints alike, each text unlike the first would still stay
     assert sorted(r.doc_id for r in drop_near_duplicates(docs.filter("doc_id % 100 = 0"), 5, 40).collect()) == [0, 100, 200]
+
+
+def test_a_foreign_first_row_shields_no_copies(spark):
+    foreign, copied, other = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    rows = [(0, foreign), *((i, copied) for i in range(1, 9)), (9, copied + " tail"), (10, other), (11, other), (12, foreign)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({r.component for r in near_duplicates(docs, 5, 45).collect()}) == 1
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs, 5, 45).collect()) == [0, 1, 10]
