@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: fingerprints of five-word shingles propose, sketches of similarity 0.8 decide."""
+    """One document of each group of near copies: fingerprints and sketches of five-word shingles propose, an exact similarity of 0.8 decides."""
     return drop_near_duplicates(docs, SHINGLE, RADIUS)
 
 

@@ -38,7 +38,8 @@ LEAF = 64  # fingerprints that a tree node keeps without splitting
 FEW_PER_SHARD = 512
 MIN_BLOCKS = 6
 BINS = 128  # of a sketch; its standard error is 0.035 at a similarity of 0.8
-LEAST_LIKE = 0.7  # the least estimate taken for a similarity of 0.8: three standard errors less
+LEAST_LIKE = 0.7  # the least estimate of a pair that is compared exactly: three standard errors less than SIMILAR
+SIMILAR = 0.8  # the least exact similarity of a near copy
 SHARE = 4096  # rows of a group that meet one copy of its first row's sketch
 
 
@@ -81,6 +82,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(filled == 0, 1.0).otherwise(count(lambda x, y: (x == y) & (x != 0)) / filled)
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """The exact similarity of two shingle sets; 1 where both are empty."""
+    common = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(common, F.size(a) + F.size(b) - common), F.lit(1.0))
+
+
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, id, fp) of every row."""
 
@@ -222,23 +229,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col:
 
 
 def sketches(keyed_docs: DataFrame, shingle: int) -> DataFrame:
-    """(k1, k2, sketch) of the rows of text.keyed."""
+    """(k1, k2, sketch, shingles) of the rows of text.keyed; shingles are the distinct hashes."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(2)]
             made = pa.array([sketch(t, shingle) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], made], ["k1", "k2", "sketch"])
+            sets = pa.array([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], made, sets], ["k1", "k2", "sketch", "shingles"])
 
-    return keyed_docs.select("k1", "k2", "text").mapInArrow(compute, "k1 long, k2 long, sketch array<long>")
+    return keyed_docs.select("k1", "k2", "text").mapInArrow(compute, "k1 long, k2 long, sketch array<long>, shingles array<long>")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 9, least_like: float = LEAST_LIKE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 9, least_like: float = LEAST_LIKE, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """``docs`` without near copies of rows that stay in their component, and without repeats of rows equal in id and text.
 
     Rows of a component are taken in order of id (null ids last), then key. Fingerprints
-    propose components, and sketches decide: a row goes if its estimated similarity with
-    a row before it that stays is at least ``least_like``. In each round
+    propose components, and sketches pairs, those of an estimate of ``least_like`` or more; a row
+    goes if the exact similarity of its shingle set with that of a row before it that stays
+    is at least ``similar``, so a chance likeness costs no document. In each round
     the first row of what is left of each component stays and is compared with the others, so
     a first row unlike the others does not shield them; there are as many rounds as rows
     that stay in the component of most such rows. All columns are kept; nulls, empty
@@ -266,7 +275,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 9, lea
             return drawn.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col(what).alias("of_first")).join(firsts, ["f1", "f2"]).select("f1", "f2", "of_first", shared)
 
         asked = others.join(drawn.select("k1", "k2", "sketch"), ["k1", "k2"]).join(of_first("sketch"), ["f1", "f2", "part"])
-        alike = staged(asked.filter(likeness(F.col("sketch"), F.col("of_first")) >= least_like).select("k1", "k2"), "alike")
+        asked = staged(asked.filter(likeness(F.col("sketch"), F.col("of_first")) >= least_like).select("k1", "k2", "f1", "f2", "part"), "asked")
+        exact = asked.join(drawn.select("k1", "k2", "shingles"), ["k1", "k2"]).join(of_first("shingles"), ["f1", "f2", "part"])
+        alike = staged(exact.filter(similarity(F.col("shingles"), F.col("of_first")) >= similar).select("k1", "k2"), "alike")
         gone = gone.unionByName(alike)
         left = staged(others.join(alike, ["k1", "k2"], "left_anti").select("c", "n", "id", "k1", "k2"), "left")
     id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gyrolake.llm.simhash import BKTree, blocks_for, drop_near_duplicates, fingerprint, fingerprint_links, likeness, near_duplicates, shard_links, sketch
+from gyrolake.llm.simhash import BKTree, blocks_for, drop_near_duplicates, fingerprint, fingerprint_links, likeness, near_duplicates, shard_links, shingle_hashes, sketch
 from gyrolake.operators.components import connected_components
 
 
@@ -119,9 +119,39 @@ def test_sketches_decide_what_goes(spark):
     assert sorted(r.doc_id for r in drop_near_duplicates(docs.filter("doc_id % 100 = 0"), 5, 40).collect()) == [0, 100, 200]
 
 
+def shingle_set(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
 def test_a_foreign_first_row_shields_no_copies(spark):
     foreign, copied, other = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
     rows = [(0, foreign), *((i, copied) for i in range(1, 9)), (9, copied + " tail"), (10, other), (11, other), (12, foreign)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert len({r.component for r in near_duplicates(docs, 5, 45).collect()}) == 1
     assert sorted(r.doc_id for r in drop_near_duplicates(docs, 5, 45).collect()) == [0, 1, 10]
+
+
+def test_the_exact_similarity_decides(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(words))]
+    for i, changed in ((1, 8), (2, 2)):
+        rows.append((i, " ".join(f"x{i}" if k % 30 == 7 and k < 30 * changed else w for k, w in enumerate(words))))
+    a, b, c = (shingle_set(t) for _, t in rows)
+    assert 0.7 < len(a & b) / len(a | b) < 0.8 < len(a & c) / len(a | c)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = drop_near_duplicates(docs, 5, 45, 0.5)  # an estimate of 0.5 lets both pairs through to the exact comparison
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1]
+
+
+def test_stage_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    roots = components(len(rows), near_pairs([fingerprint(r.text, 5) % (1 << 64) for r in rows], 9))
+    kept, want = {}, []
+    for r, root in zip(rows, roots, strict=True):
+        own = set(shingle_hashes(r.text, 5).tolist())
+        if not any((len(own & x) / len(own | x) if own | x else 1) >= 0.8 for x in kept.get(root, [])):
+            kept.setdefault(root, []).append(own)
+            want.append(r.doc_id)
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == want and len(want) < len(rows)
