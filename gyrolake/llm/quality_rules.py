@@ -3,11 +3,13 @@
 Fixed rules (too few words, too much repetition) come first. Beyond them, each feature
 has a ladder of cutoffs from lenient to strict. For each stratum and feature, labelled
 good documents that pass the fixed rules are the holdout: a cutoff is certified if the
-exact binomial tail P(Bin(n, risk) <= rejected) is at most confidence / (strata x
+exact binomial tail P(Bin(n, risk) <= rejected) is at most confidence / (groups x
 features), which is Bonferroni's correction over the ladders; along a ladder cutoffs are
 tested in order up to the first that fails, which needs no correction (fixed-sequence
-testing). The strictest certified cutoff of each ladder applies. A stratum without
-enough labels certifies nothing and rejects nothing beyond the fixed rules. Cutoffs are
+testing). The strictest certified cutoff of each ladder applies. A group is a stratum, or
+all strata together that have too few labels to certify anything alone: for those the
+risk holds over the group, not in each. A group without enough labels, and a stratum
+without any, certify nothing and reject nothing beyond the fixed rules. Cutoffs are
 kept in a table of strata x features rows.
 """
 
@@ -116,16 +118,24 @@ def tail(n: Column, k: Column, risk: float) -> Column:
 def certified(holdout: DataFrame, rules: Rules) -> DataFrame:
     """(stratum, feature, cutoff): the strictest certified cutoff of each ladder, if any.
 
-    ``holdout`` has stratum and the ladders' features for good documents.
+    ``holdout`` has stratum and the ladders' features for good documents. A stratum is
+    thin if not even a cutoff without rejections could pass; which are is settled by the
+    numbers of labels alone. Thin strata are tested as one group. A thin stratum takes a
+    cutoff of the group only if no more than ``risk`` of its own holdout is rejected.
     """
     ladder = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff")) for f, cs in rules.ladders.items() for i, c in enumerate(cs)])
     rejected = [F.sum((F.col(f) > c).cast("long")).alias(f"{f}_{i}") for f, cs in rules.ladders.items() for i, c in enumerate(cs)]
     strata = staged(holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *rejected), "strata")
-    level = rules.miss / (max(strata.count(), 1) * len(rules.ladders))
+    thin = F.col("n") * math.log1p(-rules.risk) > math.log(rules.miss / (max(strata.count(), 1) * len(rules.ladders)))
+    strata = strata.withColumn("thin", thin).withColumn("alone", F.when(~thin, F.col("stratum")))
+    level = rules.miss / (max(strata.select("thin", "alone").distinct().count(), 1) * len(rules.ladders))
     counted = F.create_map(*[x for f, cs in rules.ladders.items() for i in range(len(cs)) for x in (F.lit(f"{f}_{i}"), F.col(f"{f}_{i}"))])
-    tests = strata.select("stratum", "n", counted.alias("rejected"), F.inline(ladder))
-    k = F.element_at("rejected", F.concat_ws("_", "feature", "step"))
-    tests = tests.withColumn("passes", tail(F.col("n"), k, rules.risk) <= level)
+    tests = strata.select("stratum", "n", "thin", "alone", counted.alias("rejected"), F.inline(ladder))
+    tests = tests.withColumn("k", F.element_at("rejected", F.concat_ws("_", "feature", "step")))
+    group = Window.partitionBy("thin", "alone", "feature", "step")
+    tests = tests.withColumns({"group_n": F.sum("n").over(group), "group_k": F.sum("k").over(group)})
+    own = ~F.col("thin") | (F.col("k") <= F.col("n") * rules.risk)
+    tests = tests.withColumn("passes", own & (tail(F.col("group_n"), F.col("group_k"), rules.risk) <= level))
     so_far = Window.partitionBy("stratum", "feature").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return tests.withColumn("ok", F.min("passes").over(so_far)).filter("ok").groupBy("stratum", "feature").agg(F.min("cutoff").alias("cutoff"))
 

@@ -67,3 +67,17 @@ def test_nulls_ties_and_empty_tables(spark):
     got = sorted(((r.id, r.n_words, r.n_repeat_words, r.kept) for r in judge(docs, labels, Rules()).collect()), key=str)
     assert got == sorted([(1, 0, 0, False), (None, 60, 0, True), (2, 60, 0, True), (2, 60, 0, True), (3, 0, 0, False), (4, 6, 6, False), (5, 200_000, 200_000, False), (6, 3, 0, False)], key=str)
     assert judge(docs.filter("false"), labels).count() == 0
+
+
+def test_thin_strata_are_tested_as_one_group(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    noisy = text.replace("word", "#$")
+    rows = [(1000 * g + i, text, lang) for g, lang in enumerate(("de", "fr", "es", None)) for i in range(600)]
+    junk = [(10_000 + g, noisy, lang) for g, lang in enumerate(("de", "fr", "es", None, "xx", "unlabelled"))]
+    own = [(20_000, noisy, "xx"), (20_001, noisy, "xx")]  # good by their labels, so xx keeps what the group rejects
+    docs = spark.createDataFrame(rows + junk + own, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in rows + own], "doc_id long, quality int")
+    kept = {r.doc_id for r in keep_good(docs, labels).collect()}
+    assert kept == {i for i, _, _ in rows + own} | {10_004, 10_005}
+    few = labels.filter("doc_id % 1000 < 100")
+    assert keep_good(docs, few).count() == docs.count()
