@@ -95,7 +95,7 @@ def gazetteer(kind: str, match: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """array<struct<kind, start, end, base, votes>> of all patterns."""
-    needs = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9]{2}")}
+    needs = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9]")}
     more_needs = {"email": F.contains(text, F.lit(" at ")) | F.contains(text, F.lit("at)")) | F.contains(text, F.lit("at]")), "phone": text.rlike("[0-9]{3}[.-][0-9]{4}"), "ssn": text.rlike("[0-9]-[0-9]{2}-[0-9]")}
     arrays = []
     for patterns, wanted, first in ((BASE, needs, True), (MORE, more_needs, False)):

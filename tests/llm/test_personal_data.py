@@ -59,3 +59,10 @@ def test_whole_table(spark):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, *_ in base) for x in PLAIN)
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
         assert {f"{k}:{s}:{e}" for k, s, e in base} <= set(r.spans.split(","))
+
+
+def test_cards_of_single_digits(spark):
+    rows = [(i, f"card{a}{sep.join('4539148803436467')}{b}") for i, (sep, a, b) in enumerate((s, a, b) for s in ("-", " ", "") for a, b in ((" ", ""), (": ", ".")))]
+    rows += [(10, "4-5 3-9 1-4 8-8 0-3 4-3 6-4 6-7"), (11, "4-5-3-9-1-4-8-8-0-3-4-3-6-4-6-8"), (12, "1 - 2")]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.base] for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: brute(t) for i, t in rows} and all(got[i][0][0] == "card" for i in (*range(6), 10)) and not got[11]
