@@ -47,7 +47,7 @@ def votes(text: str | None) -> list[int]:
     lines = [x for x in b.split(b"\n") if x.strip()]
     rate = lambda x, good, bad: 1 if x <= good else -1 if x >= bad else 0
     few = n < 50
-    stop = sum(x.lower() in STOP for x in w[:: max(1, n // 400)]) / len(w[:: max(1, n // 400)])
+    stop = sum(x.lower() in STOP for x in w) / n
     return [
         -1 if n < 20 else 1 if n >= 60 else 0,
         rate(len(SYMBOLS.findall(b)) / n, 0.02, 0.2),

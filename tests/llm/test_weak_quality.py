@@ -42,3 +42,8 @@ def test_nulls_ties_and_empty_tables(spark):
     got = [(r.doc_id, r.n_words, r.good) for r in classify(docs, train_rows=50).collect() if (r.doc_id or 0) < 100]
     assert sorted(got, key=str) == sorted([(1, 0, False), (None, 210, True), (2, 210, True), (2, 210, True), (3, 0, False), (4, 1200, False)], key=str)
     assert classify(docs.filter("false")).count() == 0
+
+
+def test_function_words_are_counted_over_all_words():
+    assert votes("Word the " * 400)[5] == votes("the Word " * 400)[5] == 1
+    assert votes("the Word other thing " * 100 + "noun " * 8000)[5] == -1
