@@ -135,5 +135,21 @@ FROM w LEFT JOIN per ON w.doc_id = per.doc_id
 """
 
 
+#: The template rule of gyrolake.llm.templates over two documents and more.
+TEMPLATES_SQL = r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+tokens AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS t FROM lines),
+fields AS (SELECT *, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '' ELSE x END) AS f FROM tokens),
+leaves AS (SELECT doc_id, pos, line, CASE WHEN len(t) >= 3 AND (NOT regexp_matches(line, '[0-9]') OR regexp_matches(array_to_string(f, ''), '[A-Za-z]|[^\x00-\x7F]')) THEN f END AS f FROM fields),
+owners AS (SELECT f, min(doc_id) AS owner FROM leaves WHERE f IS NOT NULL GROUP BY f),
+kept AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n
+  FROM leaves l LEFT JOIN owners o ON l.f = o.f WHERE l.f IS NULL OR l.doc_id = owner GROUP BY l.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) - coalesce(n, 0) END AS n_dropped, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op10_repeats": REPEATS_SQL}
+    return {"op1_mixing": MIXING_SQL, "op8_line_templates": TEMPLATES_SQL, "op10_repeats": REPEATS_SQL}

@@ -3,18 +3,20 @@
 1. Each task computes 64-bit SimHash fingerprints of its texts; equal fingerprints
    become one row at once.
 2. Fingerprints within ``radius`` bits agree on ``blocks - radius`` whole blocks of the 64
-   bits, so each is sent to the shards of all its block combinations: no link is lost,
-   and a shard holds few fingerprints. The number of blocks follows the number of
-   fingerprints.
+   bits, so each is sent to the shards of all its block combinations: no link is lost.
+   There are ``radius + 1`` blocks, of which one must agree, and more only where a shard
+   of so many fingerprints would grow too large for a tree.
 3. A shard's BK-tree (children keyed by integer Hamming distance to the parent) is
    searched by the shard's own fingerprints along edges within the radius. Each
    fingerprint keeps one link, to the least label it can reach in its shard, which
-   holds the shard's components together without listing pairs.
+   holds the shard's components together without listing pairs; a subtree that holds no
+   lesser label is not entered.
 4. Links are merged into connected components.
 
 The trees reach the tasks with the shuffle rather than by broadcast: all trees together
 grow with the corpus, a shard's tree does not. A shard of more than ``SHARD`` fingerprints
-is cut into parts, and every two parts meet in a tree of their own.
+is cut into parts that share a few of its fingerprints; what the parts join is settled
+first, and only the fingerprints outside the shard's main component meet all parts.
 """
 
 from __future__ import annotations
@@ -25,22 +27,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyrolake.llm.text import keyed, packed
+from gyrolake.llm.text import keyed, salted_join
 from gyrolake.operators.components import connected_components
 from gyrolake.plans.staging import staged
 
 SEED = 42
-SHARD = 4096  # fingerprints of a tree's part
-LEAF = 64  # fingerprints that a tree node keeps without splitting
-FEW_PER_SHARD = 512
-MIN_BLOCKS = 6
-BINS = 128  # of a sketch; its standard error is 0.035 at a similarity of 0.8
-LEAST_LIKE = 0.7  # the least estimate of a pair that is compared exactly: three standard errors less than SIMILAR
-SIMILAR = 0.8  # the least exact similarity of a near copy
-SHARE = 4096  # rows of a group that meet one copy of its first row's sketch
+SHARD = 4096  # fingerprints of a tree
+LEAF = 16  # fingerprints that a tree node keeps without splitting
+EXPECTED = 1024  # fingerprints of a shard, were they spread evenly, up to which no more blocks are made
+SHARED = 64  # of a large shard's fingerprints that all its parts get, about
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -56,9 +54,8 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), "<u8", n)
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """SimHash over ``shingle``-word shingles, repeats included, as a signed long; 0 without words."""
-    hashes = shingle_hashes(text, shingle)
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes, as a signed long; 0 without hashes."""
     n = len(hashes)
     ones = np.zeros(64, np.int64)
     for part in range(0, n, 65536):
@@ -66,26 +63,9 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def sketch(text: str | None, shingle: int) -> list[int]:
-    """The least shingle hash of each of ``BINS`` ranges of hashes, as signed longs; 0 for an empty range."""
-    hashes = np.unique(shingle_hashes(text, shingle))
-    bins, first = np.unique(hashes >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
-    out = np.zeros(BINS, np.uint64)
-    out[bins.astype(np.int64)] = hashes[first]
-    return out.view(np.int64).tolist()
-
-
-def likeness(a: Column, b: Column) -> Column:
-    """The estimated similarity of the shingle sets behind two sketches; 1 where both are empty."""
-    count = lambda test: F.aggregate(F.zip_with(a, b, lambda x, y: F.when(test(x, y), 1).otherwise(0)), F.lit(0), lambda acc, v: acc + v)
-    filled = count(lambda x, y: (x != 0) | (y != 0))
-    return F.when(filled == 0, 1.0).otherwise(count(lambda x, y: (x == y) & (x != 0)) / filled)
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """The exact similarity of two shingle sets; 1 where both are empty."""
-    common = F.size(F.array_intersect(a, b))
-    return F.coalesce(F.try_divide(common, F.size(a) + F.size(b) - common), F.lit(1.0))
+def fingerprint(text: str | None, shingle: int) -> int:
+    """SimHash over ``shingle``-word shingles, repeats included, as a signed long; 0 without words."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,21 +80,29 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
 
 
 class BKTree:
-    """A BK-tree over distinct fingerprints (uint64): a node's pivot, and its children by distance to it."""
+    """A BK-tree over distinct fingerprints (uint64): a node's pivot, and its children by distance to it.
+
+    ``visits`` counts the groups of queries that reached a node.
+    """
 
     def __init__(self, fps: np.ndarray, members: np.ndarray | None = None):
         members = np.arange(len(fps)) if members is None else members
-        self.fps, self.members, self.children = fps, members, {}
+        self.fps, self.members, self.children, self.visits = fps, members, {}, 0
         if len(members) > LEAF:
             self.pivot = fps[members[0]]
             distance = np.bitwise_count(fps[members] ^ self.pivot)
-            groups = {int(d): members[distance == d] for d in np.unique(distance)}
-            if len(groups) > 1:
-                self.children = {d: BKTree(fps, part) for d, part in groups.items()}
+            order = np.argsort(distance, kind="stable")
+            cuts = np.flatnonzero(np.diff(distance[order])) + 1
+            if len(cuts):
+                self.children = {int(distance[part[0]]): BKTree(fps, members[part]) for part in np.split(order, cuts)}
 
     def lower_labels(self, labels: np.ndarray, radius: int, queries: np.ndarray | None = None) -> None:
         """Give each query the least label among the fingerprints within the radius, in place."""
         queries = np.arange(len(self.fps)) if queries is None else queries
+        queries = queries[labels[queries] > labels[self.members].min()]
+        if not len(queries):
+            return
+        self.visits += 1
         if self.children:
             distance = np.bitwise_count(self.fps[queries] ^ self.pivot).astype(np.int16)
             for edge, child in self.children.items():
@@ -185,29 +173,48 @@ def _links_of_sorted(radius: int):
 
 
 def blocks_for(n: int, radius: int) -> int:
-    """The least number of blocks for which a shard holds a few of ``n`` spread fingerprints."""
-    blocks = max(MIN_BLOCKS, radius + 2)
-    while blocks < 16 and n > FEW_PER_SHARD << (64 // blocks) * (blocks - radius):
+    """The least number of blocks for which a shard holds few enough of ``n`` spread fingerprints."""
+    blocks = radius + 1
+    while blocks < 16 and n > EXPECTED << (64 // blocks) * (blocks - radius):
         blocks += 1
     return blocks
 
 
+def _meetings(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b) links among the rows (combination, kept, meeting, fp) of each meeting."""
+    dealt = rows.repartition("combination", "kept", "meeting").sortWithinPartitions("combination", "kept", "meeting", "fp")
+    return dealt.select("combination", "kept", "meeting", "fp").mapInArrow(_links_of_sorted(radius), "a long, b long")
+
+
 def fingerprint_links(fps: DataFrame, radius: int) -> DataFrame:
-    """(a, b) links of distinct fingerprints ``fps`` (fp) whose components are those of all pairs within ``radius``."""
+    """(a, b) links of distinct fingerprints ``fps`` (fp) whose components are those of all pairs within ``radius``.
+
+    A table of the large shards, at most one for every ``SHARD`` rows, is joined to the rows.
+    """
     blocks = blocks_for(fps.count(), radius)
     bounds = [64 * k // blocks for k in range(blocks + 1)]
     masks = [sum(((1 << bounds[b + 1]) - (1 << bounds[b])) for b in kept) for kept in combinations(range(blocks), blocks - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     shard = F.explode(F.transform(F.array(*map(F.lit, signed)), lambda m, i: F.struct(i.alias("combination"), m.bitwiseAND(F.col("fp")).alias("kept"))))
     sharded = fps.select("fp", shard.alias("s")).select(F.col("s.combination").cast("long").alias("combination"), "s.kept", "fp")
-    large = sharded.groupBy("combination", "kept").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARD)
-    large = staged(large.withColumn("parts", F.ceil(F.col("n") / SHARD)).drop("n"), "large_shards")
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    part = F.pmod(F.xxhash64("fp"), parts)
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.least(p, part) * parts + F.greatest(p, part))
-    met = sharded.join(large, ["combination", "kept"], "left").select("combination", "kept", F.explode(meets).alias("meeting"), "fp")
-    dealt = met.repartition("combination", "kept", "meeting").sortWithinPartitions("combination", "kept", "meeting", "fp")
-    return dealt.mapInArrow(_links_of_sorted(radius), "a long, b long")
+    sizes = sharded.groupBy("combination", "kept").agg(F.count(F.lit(1)).alias("n"))
+    large = staged(sizes.filter(F.col("n") > SHARD).withColumn("parts", F.ceil(F.col("n") / SHARD)), "large_shards")
+    if large.isEmpty():
+        return _meetings(sharded.withColumn("meeting", F.lit(0).cast("long")), radius)
+    sharded = sharded.join(large, ["combination", "kept"], "left")
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    own = F.array(F.pmod(F.xxhash64("fp"), F.col("parts")))
+    shared = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("n")) < SHARED
+    first = staged(_meetings(sharded.withColumn("meeting", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).when(shared, every).otherwise(own))), radius), "first_links")
+    # what the parts have not joined: fingerprints outside the main component of a large shard meet all its parts
+    named = connected_components(first)
+    rows = sharded.filter("parts is not null").join(named, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    rows = staged(rows, "rows_of_large_shards")
+    counts = rows.groupBy("combination", "kept", "root").agg(F.count(F.lit(1)).alias("k"))
+    main = staged(counts.groupBy("combination", "kept").agg(F.max(F.struct("k", "root")).alias("m"), F.count(F.lit(1)).alias("roots")), "main_components").filter("roots > 1")
+    open_ = rows.join(F.broadcast(main) if large.count() <= 100_000 else main, ["combination", "kept"])
+    second = _meetings(open_.withColumn("meeting", F.explode(F.when(F.col("root") == F.col("m.root"), own).otherwise(every))), radius)
+    return first.unionByName(second)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,69 +224,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col:
     words, nulls included, have fingerprint 0. A null id never names a component; a
     component of nothing else has a null one. Equal rows share a result. An empty table
     gives an empty result; other columns are ignored. See text.keyed for k1 and k2.
+    Most rows may share a fingerprint, and most fingerprints a component: both joins are salted.
     """
     fps = staged(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = staged(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = connected_components(fingerprint_links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "root")
+    rooted = staged(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "root"), "rooted")
     linked = rooted.filter("root is not null")
     named = linked.groupBy("root").agg(F.min("least").alias("component"))
-    of_fp = staged(rooted.join(named, "root", "left").select("fp", F.coalesce("component", "least").alias("component")), "components")
-    return fps.join(of_fp, "fp").select("k1", "k2", "id", "fp", "component")
-
-
-def sketches(keyed_docs: DataFrame, shingle: int) -> DataFrame:
-    """(k1, k2, sketch, shingles) of the rows of text.keyed; shingles are the distinct hashes."""
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column(2)]
-            made = pa.array([sketch(t, shingle) for t in texts], pa.list_(pa.int64()))
-            sets = pa.array([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], made, sets], ["k1", "k2", "sketch", "shingles"])
-
-    return keyed_docs.select("k1", "k2", "text").mapInArrow(compute, "k1 long, k2 long, sketch array<long>, shingles array<long>")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 9, least_like: float = LEAST_LIKE, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """``docs`` without near copies of rows that stay in their component, and without repeats of rows equal in id and text.
-
-    Rows of a component are taken in order of id (null ids last), then key. Fingerprints
-    propose components, and sketches pairs, those of an estimate of ``least_like`` or more; a row
-    goes if the exact similarity of its shingle set with that of a row before it that stays
-    is at least ``similar``, so a chance likeness costs no document. In each round
-    the first row of what is left of each component stays and is compared with the others, so
-    a first row unlike the others does not shield them; there are as many rounds as rows
-    that stay in the component of most such rows. All columns are kept; nulls, empty
-    texts and empty tables as in near_duplicates. Only rows of components with several
-    members are sketched. A component may hold most rows: its first row's sketch is
-    copied once for every ``SHARE`` of them.
-    """
-    found = staged(near_duplicates(docs, shingle, radius, id_col, text_col), "found")
-    group = [F.coalesce(F.col("component"), F.col("fp")).alias("c"), F.col("component").isNull().alias("n")]
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "k2", "k1")
-    groups = staged(found.groupBy(*group).agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first <> last").select("c", "n"), "groups")
-    left = staged(found.select("id", "k1", "k2", *group).join(groups, ["c", "n"]).select("c", "n", "id", "k1", "k2").distinct(), "members")
-    drawn = staged(sketches(keyed(docs, id_col, text_col).join(left.select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), shingle), "sketches")
-    gone = left.select("k1", "k2").filter("false")
-    while True:
-        firsts = left.groupBy("c", "n").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-        firsts = staged(firsts.select("c", "n", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2"), F.ceil(F.col("rows") / SHARE).alias("parts")), "firsts")
-        if firsts.isEmpty():
-            break
-        part = F.pmod(F.xxhash64("k1", "k2"), F.col("parts")).alias("part")
-        others = staged(left.join(firsts, ["c", "n"]).filter("k1 <> f1 or k2 <> f2").select("c", "n", "id", "k1", "k2", "f1", "f2", part), "others")
-        shared = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
-
-        def of_first(what: str, firsts: DataFrame = firsts, shared: Column = shared) -> DataFrame:
-            return drawn.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col(what).alias("of_first")).join(firsts, ["f1", "f2"]).select("f1", "f2", "of_first", shared)
-
-        asked = others.join(drawn.select("k1", "k2", "sketch"), ["k1", "k2"]).join(of_first("sketch"), ["f1", "f2", "part"])
-        asked = staged(asked.filter(likeness(F.col("sketch"), F.col("of_first")) >= least_like).select("k1", "k2", "f1", "f2", "part"), "asked")
-        exact = asked.join(drawn.select("k1", "k2", "shingles"), ["k1", "k2"]).join(of_first("shingles"), ["f1", "f2", "part"])
-        alike = staged(exact.filter(similarity(F.col("shingles"), F.col("of_first")) >= similar).select("k1", "k2"), "alike")
-        gone = gone.unionByName(alike)
-        left = staged(others.join(alike, ["k1", "k2"], "left_anti").select("c", "n", "id", "k1", "k2"), "left")
-    id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    rows = packed(docs, F.coalesce(id_, F.lit(0)).alias("k1"), F.xxhash64(id_, text).alias("k2"))
-    return rows.join(gone, ["k1", "k2"], "left_anti").dropDuplicates(["k1", "k2"]).select("row.*")
+    joined = salted_join(linked, named, ["root"], ["fp"]).select("fp", "component")
+    of_fp = staged(joined.unionByName(rooted.filter("root is null").select("fp", F.col("least").alias("component"))), "components")
+    return salted_join(fps, of_fp, ["fp"], ["k1", "k2"]).select("k1", "k2", "id", "fp", "component")

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gyrolake.plans.staging import staged
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``; also what bytes.split() splits at.
 SPACE = r"[\x20\x09-\x0D]"
+SHARE = 4096  # rows of a key from which a join deals it to several tasks
+HEAVY_BROADCAST = 100_000  # keys
 
 
 def words(text: Column) -> Column:
@@ -54,3 +58,21 @@ def salted_rank(df: DataFrame, group: list[str], order: list[str], salts: int) -
         .withColumn("rank", F.col("within") + F.col("shift"))
         .drop("salt", "within", "shift")
     )
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", share: int = SHARE) -> DataFrame:
+    """``left`` (staged, no null keys) joined to ``right``, one row a key, where one key may hold most rows of ``left``.
+
+    A key of more than ``share`` rows is dealt by the hash of the columns ``spread`` to
+    several tasks, and its row of ``right`` is copied to each. Such keys number at most
+    rows / share; their table is broadcast up to ``HEAVY_BROADCAST`` of them, beyond
+    which the plain join and adaptive execution's skew handling remain.
+    """
+    heavy = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > share)
+    heavy = staged(heavy.select(*on, F.ceil(F.col("n") / share).alias("salts")), "heavy_keys")
+    if not 0 < heavy.count() <= HEAVY_BROADCAST:
+        return left.join(right, on, how)
+    salts = F.coalesce(F.col("salts"), F.lit(1).cast("long"))
+    dealt = left.join(F.broadcast(heavy), on, "left").withColumn("salt", F.pmod(F.xxhash64(*spread), salts)).drop("salts")
+    copied = right.join(F.broadcast(heavy), on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    return dealt.join(copied, [*on, "salt"], how).drop("salt")

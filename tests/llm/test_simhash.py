@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gyrolake.llm.simhash import BKTree, blocks_for, drop_near_duplicates, fingerprint, fingerprint_links, likeness, near_duplicates, shard_links, shingle_hashes, sketch
+from gyrolake.llm.near_copies import drop_near_copies
+from gyrolake.llm.simhash import BKTree, blocks_for, fingerprint, fingerprint_links, near_duplicates, shard_links, shingle_hashes
 from gyrolake.operators.components import connected_components
 
 
@@ -44,13 +45,38 @@ def test_tree_and_shard_links():
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     flips = np.uint64(1) << rng.integers(0, 63, (40, 30, 3)).astype(np.uint64)
     fps = np.unique(np.bitwise_xor.reduce(flips, axis=2) ^ base[:, None])
-    assert BKTree(fps).children
+    tree = BKTree(fps)
+    assert tree.children and all((np.bitwise_count(fps[c.members] ^ tree.pivot) == d).all() for d, c in tree.children.items())
     a, b = shard_links(fps, 4)
     at = {int(f): i for i, f in enumerate(fps)}
     links = [(at[int(x)], at[int(y)]) for x, y in zip(a, b, strict=True)]
     assert components(len(fps), links) == components(len(fps), near_pairs(fps, 4))
 
 
+def nodes(tree):
+    yield tree
+    for child in tree.children.values():
+        yield from nodes(child)
+
+
+def test_only_edges_within_the_radius_are_followed():
+    rng = np.random.default_rng(2)
+    fps = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
+    fps[0] ^= fps[0]  # the pivot, so that a fingerprint's edge is its number of bits
+    tree = BKTree(fps)
+    labels = np.full(len(fps), len(fps))
+    held = np.arange(len(fps))
+    query = np.array([int(np.argmax(np.bitwise_count(fps)))])
+    labels[held != query[0]] = 0
+    tree.lower_labels(labels, 4, query)
+    bits = int(np.bitwise_count(fps[query[0]]))
+    assert {d for d, c in tree.children.items() if c.visits} == {d for d in tree.children if abs(d - bits) <= 4}
+    assert sum(n.visits for n in nodes(tree)) < 0.2 * sum(1 for _ in nodes(tree))
+    settled = BKTree(fps)
+    settled.lower_labels(np.zeros(len(fps), np.int64), 4)
+    assert not any(n.visits for n in nodes(settled))  # nothing lesser to be found
+
+
 def test_links_lose_nothing(spark, monkeypatch):
     import gyrolake.llm.simhash as m
 
@@ -65,7 +91,7 @@ def test_links_lose_nothing(spark, monkeypatch):
         monkeypatch.setattr(m, "SHARD", shard)
         got = [(at[r.a], at[r.b]) for r in fingerprint_links(df, 4).collect()]
         assert components(len(fps), got) == want
-    assert blocks_for(10, 4) == 6 and blocks_for(10**9, 4) > 6
+    assert blocks_for(10, 4) == 5 and blocks_for(10**9, 4) > 5
 
 
 @pytest.mark.parametrize("n", [2, 50])
@@ -82,10 +108,11 @@ def test_rows_nulls_and_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, component long")
     got = sorted([(r.id, r.component) for r in near_duplicates(docs, 4, 4).collect()], key=str)
     assert got == sorted([(5, 3), (3, 3), (3, 3), (9, 3), (None, 7), (7, 7), (8, 8)], key=str)
-    kept = drop_near_duplicates(docs, 4, 4)
+    kept = drop_near_copies(docs, 4, 4)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [3, 7, 8]
-    assert drop_near_duplicates(docs.filter("false")).count() == 0
+    assert drop_near_copies(docs.filter("false")).count() == 0
+    assert near_duplicates(docs.filter("false"), 4, 4).count() == 0
 
 
 def test_whole_table_against_brute_force(spark):
@@ -98,60 +125,10 @@ def test_whole_table_against_brute_force(spark):
     assert docs.select(F.count("*")).first()[0] == len(got)
 
 
-def test_sketches_decide_what_goes(spark):
-    rng = np.random.default_rng(5)
-    exact = lambda a, b: len(a & b) / len(a | b)
-    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
-    rows = []
-    for g in range(3):
-        base = rng.integers(0, 5000, 300)
-        for c in range(20):
-            words = base.copy()
-            words[rng.integers(0, 300, c % 3)] = 9000 + c
-            rows.append((100 * g + c, " ".join(f"w{w}" for w in words)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    near, far = sketch(rows[0][1], 5), sketch(rows[20][1], 5)
-    frame = spark.createDataFrame([(near, sketch(rows[2][1], 5)), (near, far), ([0] * 128, [0] * 128)], "a array<long>, b array<long>")
-    got = [r[0] for r in frame.select(likeness(F.col("a"), F.col("b"))).collect()]
-    assert abs(got[0] - exact(shingles(rows[0][1]), shingles(rows[2][1]))) < 0.12 and got[1] < 0.05 and got[2] == 1
-    assert sorted(r.doc_id for r in drop_near_duplicates(docs, 5, 12).collect()) == [0, 100, 200]
-    # were all fingerprints alike, each text unlike the first would still stay
-    assert sorted(r.doc_id for r in drop_near_duplicates(docs.filter("doc_id % 100 = 0"), 5, 40).collect()) == [0, 100, 200]
-
-
-def shingle_set(text):
-    w = text.split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-
-def test_a_foreign_first_row_shields_no_copies(spark):
-    foreign, copied, other = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
-    rows = [(0, foreign), *((i, copied) for i in range(1, 9)), (9, copied + " tail"), (10, other), (11, other), (12, foreign)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert len({r.component for r in near_duplicates(docs, 5, 45).collect()}) == 1
-    assert sorted(r.doc_id for r in drop_near_duplicates(docs, 5, 45).collect()) == [0, 1, 10]
-
-
-def test_the_exact_similarity_decides(spark):
-    words = [f"w{i}" for i in range(300)]
-    rows = [(0, " ".join(words))]
-    for i, changed in ((1, 8), (2, 2)):
-        rows.append((i, " ".join(f"x{i}" if k % 30 == 7 and k < 30 * changed else w for k, w in enumerate(words))))
-    a, b, c = (shingle_set(t) for _, t in rows)
-    assert 0.7 < len(a & b) / len(a | b) < 0.8 < len(a & c) / len(a | c)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = drop_near_duplicates(docs, 5, 45, 0.5)  # an estimate of 0.5 lets both pairs through to the exact comparison
-    assert sorted(r.doc_id for r in kept.collect()) == [0, 1]
-
-
-def test_stage_against_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
-    roots = components(len(rows), near_pairs([fingerprint(r.text, 5) % (1 << 64) for r in rows], 9))
-    kept, want = {}, []
-    for r, root in zip(rows, roots, strict=True):
-        own = set(shingle_hashes(r.text, 5).tolist())
-        if not any((len(own & x) / len(own | x) if own | x else 1) >= 0.8 for x in kept.get(root, [])):
-            kept.setdefault(root, []).append(own)
-            want.append(r.doc_id)
-    assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == want and len(want) < len(rows)
+def test_long_texts_and_rows_without_ids(spark):
+    text = " ".join(f"w{i % 977}" for i in range(120_000))
+    rows = [(None, text), (None, text + " tail"), (4, text + " end"), *((None, f"copy {i % 3}") for i in range(3000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = near_duplicates(docs, 4, 4).collect()
+    assert len(got) == len(rows) and {r.component for r in got if r.id == 4} == {4}
+    assert sorted(len(r.text.split()) for r in drop_near_copies(docs).collect()) == [2, 2, 2, 120_001]
