@@ -6,14 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gyrolake.llm.mixing import mix
+from gyrolake.llm.near_copies import drop_near_copies
 from gyrolake.llm.packing import pack
 from gyrolake.llm.quality_rules import keep_good
-from gyrolake.llm.simhash import drop_near_duplicates
 from gyrolake.llm.templates import drop_recurring_lines
 from gyrolake.plans.staging import staged
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-SHINGLE, RADIUS = 5, 9
+SHINGLE, RADIUS, SIMILAR = 5, 4, 0.8
+BOILERPLATE_DOCS = 10  # documents of a line from which it is boilerplate; copies of fewer documents are left whole for near_dedup
 MIX_SEED = 11
 
 
@@ -23,13 +24,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines whose whole template, digits apart, a document of lesser id has."""
-    return drop_recurring_lines(docs, whole=True)
+    """Texts without lines whose template recurs in BOILERPLATE_DOCS documents, this not the first of them."""
+    return drop_recurring_lines(docs, min_docs=BOILERPLATE_DOCS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: fingerprints and sketches of five-word shingles propose, an exact similarity of 0.8 decides."""
-    return drop_near_duplicates(docs, SHINGLE, RADIUS)
+    """One document of each group of near copies: fingerprints and minima of five-word shingles propose, an exact similarity decides."""
+    return drop_near_copies(docs, SHINGLE, RADIUS, SIMILAR)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
