@@ -1,22 +1,27 @@
 """Operator 2, quality rules: risk-controlled thresholds, in DataFrame operations only.
 
-Fixed rules (too few words, too much repetition) come first. Beyond them, each feature
-has a ladder of cutoffs from lenient to strict. For each stratum and feature, labelled
-good documents that pass the fixed rules are the holdout: a cutoff is certified if the
-exact binomial tail P(Bin(n, risk) <= rejected) is at most confidence / (groups x
-features), which is Bonferroni's correction over the ladders; along a ladder cutoffs are
-tested in order up to the first that fails, which needs no correction (fixed-sequence
-testing). The strictest certified cutoff of each ladder applies. A group is a stratum, or
+Fixed rules (too few words, too much repetition) come first. Beyond them, a ladder of
+nested steps goes from lenient to strict; each step has a cutoff for every feature and
+rejects what exceeds any of them. For each stratum, labelled good documents that pass the
+fixed rules are the holdout: a step is certified if the exact binomial tail
+P(Bin(n, risk) <= rejected) is at most miss / groups, where ``rejected`` counts all the
+step's rules together. That is Bonferroni's correction over the groups; along the ladder
+steps are tested in order up to the first that fails, which needs no correction
+(fixed-sequence testing). All certified steps hold together, so any may be chosen: the
+most lenient of those that reject most labelled bad documents applies, the strictest where
+a group has no labelled bad documents. A group is a stratum, or
 all strata together that have too few labels to certify anything alone: for those the
 risk holds over the group, not in each. A group without enough labels, and a stratum
 without any, certify nothing and reject nothing beyond the fixed rules. Cutoffs are
-kept in a table of strata x features rows.
+kept in a table of one row a stratum.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,21 +35,21 @@ MAX_REPEAT_PERCENT = 50
 
 @dataclass(frozen=True)
 class Rules:
-    """Risk: the share of good documents each ladder may reject, with ``confidence`` for all ladders together.
+    """With probability 1 - ``miss`` no group's rules together reject more than ``risk`` of its good documents.
 
-    A feature's document is rejected if its value exceeds the cutoff; ``ladders`` go from
-    lenient to strict.
+    A document is rejected if a feature exceeds its cutoff; ``ladders`` have a cutoff for
+    each step, from lenient to strict.
     """
 
-    risk: float = 0.005
-    miss: float = 0.05  # the probability that any certified cutoff rejects more than its risk
+    risk: float = 0.03
+    miss: float = 0.1
     ladders: dict[str, tuple[float, ...]] = field(
         default_factory=lambda: {
-            "symbol_share": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02),
-            "dup_line_share": (0.9, 0.7, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1),
-            "repeat_share": (0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1),
-            "upper_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15),
-            "short_word_excess": (3.5, 3.0, 2.5, 2.0, 1.5, 1.0, 0.5),
+            "symbol_share": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.05, 0.03, 0.02, 0.015),
+            "dup_line_share": (0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.5, 0.45, 0.4, 0.3, 0.2),
+            "repeat_share": (0.48, 0.46, 0.44, 0.42, 0.4, 0.38, 0.36, 0.33, 0.3, 0.25, 0.2, 0.15),
+            "upper_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12),
+            "short_word_excess": (3.5, 3.2, 3.0, 2.8, 2.5, 2.2, 2.0, 1.7, 1.5, 1.2, 1.0, 0.8),
         }
     )
 
@@ -71,18 +76,15 @@ def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         shingles.alias("__h"),
     )
-    three = two.withColumn("__s", F.sort_array("__h"))
+    h = F.col("__h")
+    placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    three = two.withColumn("__s", F.when(F.size(F.array_distinct(h)) < F.size(h), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     s = F.col("__s")
-    four = three.withColumn("__d", F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1)))))
-    d = F.col("__d")
-    many = F.greatest(F.ceil(F.sqrt(F.size(d))).cast("int"), F.lit(1))
-    five = four.withColumn("__b", F.when(F.size(d) > 0, F.transform(F.sequence(F.lit(0), many - 1), lambda b: F.filter(d, lambda x: F.pmod(x, F.size(d)).cast("int") % many == b))))
-    b, h = F.col("__b"), F.col("__h")
-    repeated = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(F.get(b, F.pmod(x, F.size(d)).cast("int") % F.size(b)), x), i)), lambda i: i.isNotNull())
-    six = five.withColumn("__r", F.when(F.size(d) > 0, repeated).otherwise(F.array().cast("array<int>")))
+    twice = F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]))
+    four = three.withColumn("__r", F.sort_array(F.transform(twice, lambda x: x["i"])))
     r = F.col("__r")
     covered = F.aggregate(F.transform(r, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(r, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return six.withColumn("n_repeat_words", covered).drop("__h", "__s", "__d", "__b", "__r")
+    return four.withColumn("n_repeat_words", covered).drop("__h", "__s", "__r")
 
 
 def ratios() -> dict[str, Column]:
@@ -116,28 +118,32 @@ def tail(n: Column, k: Column, risk: float) -> Column:
 
 
 def certified(holdout: DataFrame, rules: Rules) -> DataFrame:
-    """(stratum, feature, cutoff): the strictest certified cutoff of each ladder, if any.
+    """(stratum, cut_<feature>...): the cutoffs of the chosen certified step, if any.
 
-    ``holdout`` has stratum and the ladders' features for good documents. A stratum is
-    thin if not even a cutoff without rejections could pass; which are is settled by the
+    ``holdout`` has stratum, good and the ladders' features of labelled documents. A stratum is
+    thin if not even a step without rejections could pass; which are is settled by the
     numbers of labels alone. Thin strata are tested as one group. A thin stratum takes a
-    cutoff of the group only if no more than ``risk`` of its own holdout is rejected.
+    step of the group only if no more than ``risk`` of its own holdout is rejected.
     """
-    ladder = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("step"), F.lit(float(c)).alias("cutoff")) for f, cs in rules.ladders.items() for i, c in enumerate(cs)])
-    rejected = [F.sum((F.col(f) > c).cast("long")).alias(f"{f}_{i}") for f, cs in rules.ladders.items() for i, c in enumerate(cs)]
-    strata = staged(holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *rejected), "strata")
-    thin = F.col("n") * math.log1p(-rules.risk) > math.log(rules.miss / (max(strata.count(), 1) * len(rules.ladders)))
+    steps = range(len(next(iter(rules.ladders.values()))))
+    exceeds = lambda i: reduce(or_, (F.col(f) > cs[i] for f, cs in rules.ladders.items()))
+    count = lambda test: F.sum(test.cast("long"))
+    told = F.array(*[F.struct(count(F.col("good") & exceeds(i)).alias("k"), count(~F.col("good") & exceeds(i)).alias("caught")) for i in steps])
+    strata = holdout.groupBy("stratum").agg(count(F.col("good")).alias("n"), count(~F.col("good")).alias("bad"), told.alias("told"))
+    strata = staged(strata.filter("n > 0"), "strata")
+    thin = F.col("n") * math.log1p(-rules.risk) > math.log(rules.miss / max(strata.count(), 1))
     strata = strata.withColumn("thin", thin).withColumn("alone", F.when(~thin, F.col("stratum")))
-    level = rules.miss / (max(strata.select("thin", "alone").distinct().count(), 1) * len(rules.ladders))
-    counted = F.create_map(*[x for f, cs in rules.ladders.items() for i in range(len(cs)) for x in (F.lit(f"{f}_{i}"), F.col(f"{f}_{i}"))])
-    tests = strata.select("stratum", "n", "thin", "alone", counted.alias("rejected"), F.inline(ladder))
-    tests = tests.withColumn("k", F.element_at("rejected", F.concat_ws("_", "feature", "step")))
-    group = Window.partitionBy("thin", "alone", "feature", "step")
-    tests = tests.withColumns({"group_n": F.sum("n").over(group), "group_k": F.sum("k").over(group)})
+    level = rules.miss / max(strata.select("thin", "alone").distinct().count(), 1)
+    tests = strata.select("stratum", "n", "bad", "thin", "alone", F.posexplode("told").alias("step", "t")).select("*", "t.*")
+    group = Window.partitionBy("thin", "alone", "step")
+    tests = tests.withColumns({f"group_{c}": F.sum(c).over(group) for c in ("n", "k", "bad", "caught")})
     own = ~F.col("thin") | (F.col("k") <= F.col("n") * rules.risk)
     tests = tests.withColumn("passes", own & (tail(F.col("group_n"), F.col("group_k"), rules.risk) <= level))
-    so_far = Window.partitionBy("stratum", "feature").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return tests.withColumn("ok", F.min("passes").over(so_far)).filter("ok").groupBy("stratum", "feature").agg(F.min("cutoff").alias("cutoff"))
+    so_far = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    best = tests.withColumn("ok", F.min("passes").over(so_far)).filter("ok")
+    lenient = F.when(F.col("group_bad") > 0, -F.col("step")).otherwise(F.col("step"))
+    best = best.groupBy("stratum").agg(F.max(F.struct("group_caught", lenient.alias("rank"), "step")).alias("best")).select("stratum", "best.step")
+    return best.select("stratum", *[F.get(F.array(*map(F.lit, cs)), F.col("step")).alias(f"cut_{f}") for f, cs in rules.ladders.items()])
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -148,10 +154,10 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
 
 def learn_cutoffs(counts: DataFrame, labels: DataFrame, rules: Rules) -> DataFrame:
     """One row per stratum with certified cutoffs: at_stratum, cut_<feature>..."""
-    good = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality")).filter("quality = 1")
+    told = labels.filter("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.min("quality") == 1).alias("good"), F.max("quality").alias("most"))
+    told = told.filter("good or most = 0").select("id", "good")
     features = counts.filter(~F.col("base_failed")).withColumns(ratios())
-    cutoffs = certified(features.join(good.select("id"), "id", "left_semi"), rules).groupBy("stratum").pivot("feature", list(rules.ladders)).agg(F.min("cutoff"))
-    return staged(cutoffs.toDF("at_stratum", *[f"cut_{f}" for f in rules.ladders]), "cutoffs")
+    return staged(certified(features.join(told, "id"), rules).withColumnRenamed("stratum", "at_stratum"), "cutoffs")
 
 
 def verdicts(counts: DataFrame, cutoffs: DataFrame, rules: Rules) -> DataFrame:
@@ -166,8 +172,8 @@ def verdicts(counts: DataFrame, cutoffs: DataFrame, rules: Rules) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, rules: Rules | None = None, **columns: str) -> DataFrame:
     """(id, stratum, counts, base_failed, kept) of every row.
 
-    ``labels`` (doc_id, quality) holds 1 for good documents; null and other values are
-    not used; a document labelled several times counts once, as good only if all say so.
+    ``labels`` (doc_id, quality) holds 1 for good documents and 0 for bad ones; nulls are
+    not used; a document labelled several times counts once, if all say the same.
     Null texts have no words and fail the fixed rules. Null strata are a stratum of
     their own. Repeated rows are judged each on their own, alike. Without labels only
     the fixed rules reject. An empty table gives an empty result. Other columns are
@@ -179,13 +185,7 @@ def judge(docs: DataFrame, labels: DataFrame, rules: Rules | None = None, **colu
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rules: Rules | None = None, **columns: str) -> DataFrame:
-    """The rows that the rules keep, with the columns of ``docs``.
-
-    Texts are counted twice, for the cutoffs and for the verdict, rather than shuffled.
-    ``at`` keeps the optimizer from moving the filter below the counts, where each use
-    of a count would be computed anew.
-    """
+    """The rows that the rules keep, with the columns of ``docs``; rows are written once beside their counts, so that texts are counted once."""
     rules = rules or Rules()
-    cutoffs = learn_cutoffs(staged(counted(docs, **columns).drop("row"), "counts"), labels, rules)
-    rows = counted(docs, **columns).withColumn("at", F.monotonically_increasing_id())
-    return verdicts(rows, cutoffs, rules).filter("kept and at >= 0").select("row.*")
+    rows = staged(counted(docs, **columns), "counts")
+    return verdicts(rows, learn_cutoffs(rows.drop("row"), labels, rules), rules).filter("kept").select("row.*")

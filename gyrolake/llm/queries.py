@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gyrolake.llm.quality_rules import Rules
+
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 MAX_TOKENS = 2048
 
@@ -135,6 +137,41 @@ FROM w LEFT JOIN per ON w.doc_id = per.doc_id
 """
 
 
+
+
+def rules_sql(rules: Rules) -> str:
+    """Counts, certified steps and verdicts as in gyrolake.llm.quality_rules; the tail is summed through lgamma."""
+    steps = ", ".join(f"({i}, {', '.join(repr(float(cs[i])) + '::DOUBLE' for cs in rules.ladders.values())})" for i in range(len(next(iter(rules.ladders.values())))))
+    exceeds = " OR ".join(f"f.{f} > s.{f}" for f in rules.ladders)
+    risk, miss = f"{rules.risk}::DOUBLE", f"{rules.miss}::DOUBLE"
+    return rf"""
+WITH steps(step, {", ".join(rules.ladders)}) AS (VALUES {steps}),
+w AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+grams AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM w),
+repeated AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p], w[p + 1], w[p + 2]) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(p, p + 3)) AS i FROM repeated) GROUP BY doc_id),
+counts AS (SELECT w.doc_id, lang, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS n_upper, len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id),
+features AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed, coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_share, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share,
+  coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_share, coalesce(n_upper / nullif(word_chars, 0), 0) AS upper_share, greatest(0.0::DOUBLE, 5.0 - coalesce(word_chars / nullif(n_words, 0), 0)) AS short_word_excess FROM counts),
+told AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 OR max(quality) = 0),
+strata AS (SELECT f.lang, s.step, count(*) FILTER (good) AS n, count(*) FILTER (good AND ({exceeds})) AS k, count(*) FILTER (NOT good) AS bad, count(*) FILTER (NOT good AND ({exceeds})) AS caught
+  FROM features f JOIN told USING (doc_id), steps s WHERE NOT base_failed GROUP BY f.lang, s.step HAVING count(*) FILTER (good) > 0),
+thin AS (SELECT *, n * ln(1 - {risk}) > ln({miss} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM strata))) AS thin FROM strata),
+alone AS (SELECT *, CASE WHEN NOT thin THEN lang END AS alone FROM thin),
+grouped AS (SELECT *, sum(n) OVER (PARTITION BY thin, alone, step) AS group_n, sum(k) OVER (PARTITION BY thin, alone, step) AS group_k, sum(bad) OVER (PARTITION BY thin, alone, step) AS group_bad, sum(caught) OVER (PARTITION BY thin, alone, step) AS group_caught FROM alone),
+tails AS (SELECT *, CASE WHEN group_k >= group_n * {risk} THEN 1 ELSE list_sum(list_transform(range(CAST(group_k AS BIGINT) + 1), lambda i: exp(lgamma(group_n + 1) - lgamma(i + 1) - lgamma(group_n - i + 1) + i * ln({risk}) + (group_n - i) * ln(1 - {risk})))) END AS tail FROM grouped),
+tests AS (SELECT *, (NOT thin OR k <= n * {risk}) AND tail <= {miss} / (SELECT count(*) FROM (SELECT DISTINCT thin, alone FROM alone)) AS passes FROM tails),
+best AS (SELECT lang, step FROM (SELECT *, min(passes) OVER (PARTITION BY lang ORDER BY step) AS ok FROM tests) WHERE ok
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY group_caught DESC, CASE WHEN group_bad > 0 THEN step ELSE -step END) = 1),
+cuts AS (SELECT lang AS at_lang, s.* FROM best JOIN steps s USING (step))
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({exceeds}, false) AS kept
+FROM features f LEFT JOIN cuts s ON f.lang IS NOT DISTINCT FROM s.at_lang
+"""
+
+
 #: The template rule of gyrolake.llm.templates over two documents and more.
 TEMPLATES_SQL = r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
@@ -152,4 +189,4 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op8_line_templates": TEMPLATES_SQL, "op10_repeats": REPEATS_SQL}
+    return {"op1_mixing": MIXING_SQL, "op2_quality_rules": rules_sql(Rules()), "op8_line_templates": TEMPLATES_SQL, "op10_repeats": REPEATS_SQL}

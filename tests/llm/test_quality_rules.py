@@ -54,7 +54,7 @@ def test_no_cutoff_without_evidence(spark):
     docs, labels = labelled(spark, 60)
     assert keep_good(docs, labels).count() == 65
     docs, labels = labelled(spark, 3000, 0.02)  # good documents look alike
-    assert keep_good(docs, labels).count() == 3005
+    assert keep_good(docs, labels, Rules(risk=0.005)).count() == 3005
     assert keep_good(docs, labels.filter("false")).count() == 3005
 
 
@@ -77,7 +77,33 @@ def test_thin_strata_are_tested_as_one_group(spark):
     own = [(20_000, noisy, "xx"), (20_001, noisy, "xx")]  # good by their labels, so xx keeps what the group rejects
     docs = spark.createDataFrame(rows + junk + own, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i, _, _ in rows + own], "doc_id long, quality int")
-    kept = {r.doc_id for r in keep_good(docs, labels).collect()}
+    strict = Rules(risk=0.005)
+    kept = {r.doc_id for r in keep_good(docs, labels, strict).collect()}
     assert kept == {i for i, _, _ in rows + own} | {10_004, 10_005}
     few = labels.filter("doc_id % 1000 < 100")
-    assert keep_good(docs, few).count() == docs.count()
+    assert keep_good(docs, few, strict).count() == docs.count()
+
+
+def test_rules_together_stay_within_the_risk(spark):
+    text = " ".join(f"word{i}" for i in range(300))
+    odd = {0: text.replace("word", "#$"), 1: text.upper(), 2: text + "\nend" * 60}
+    rows = [(i, odd.get(i % 100, text), "en") for i in range(2000)]  # each rule alone would reject 1 %, together 3 %
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert keep_good(docs, labels, Rules(risk=0.03)).count() > 0.97 * 2000
+    assert keep_good(docs, labels, Rules(risk=0.05)).count() <= 0.97 * 2000
+
+
+def test_verdicts_of_the_whole_table_as_sql(spark):
+    import duckdb
+
+    from gyrolake.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()["op2_quality_rules"]).df()
+    got = queries.queries()["op2_quality_rules"](spark, "/root/testdata/sf0.01").toPandas()
+    rows = lambda d: sorted(map(tuple, d[sorted(got.columns)].itertuples(index=False)))
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+    assert (~got.kept & ~got.base_failed).sum() > 0
