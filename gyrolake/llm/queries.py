@@ -58,7 +58,8 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = find_personal_data(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256")
-    return told.select("doc_id", *map(count, ("email", "ip", "card", "phone")), base, joined(F.col("spans")).alias("spans"))
+    secrets = F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret")
+    return told.select("doc_id", *map(count, ("email", "ip", "card", "phone")), base, joined(F.col("spans")).alias("spans"), secrets, F.size("spans").cast("long").alias("n_spans"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
