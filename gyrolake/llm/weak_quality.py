@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 from gyrolake.llm.text import keyed
 from gyrolake.plans.staging import staged
 
-TRAIN_ROWS = 20_000  # documents in the training sample, those of least hash
+TRAIN_ROWS = 20_000  # documents in the training sample, about: those whose hash is below the share of them
+TRAIN_TASKS = 16  # each sends one gradient a round to the driver, of 256 KB
 BUCKETS = 1 << 15
 ROUNDS = 30
 EM_ROUNDS = 60
 WORD_CACHE = 1_000_000
 LABELLERS = ("length", "symbols", "capitals", "lines", "variety", "function_words", "sentences")
 STOP = frozenset("the of and to in is that it for as with was on be by le la les de des et un une que qui dans en du au el los las y que su con por para der die das und in den von zu mit ist ein eine für".encode().split())
+NO_WORDS = "-1,0,0,0,0,0,0"
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 CAPITALS = re.compile(rb"[A-Z]")
 ENDS = re.compile(rb"[.!?]\s")
@@ -129,8 +131,13 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(sample: DataFrame) -> np.ndarray:
-    """Weights of BUCKETS + 1 (the bias) from ``sample`` (text, p), by full-batch Adam with soft labels."""
-    bags = staged(sample.select("text", "p").mapInArrow(_bags, "at array<long>, share array<double>, p double"), "bags")
+    """Weights of BUCKETS + 1 (the bias) from ``sample`` (k1, k2, text, p), by full-batch Adam with soft labels.
+
+    The sample is dealt to ``TRAIN_TASKS`` tasks by its keys, so neither the gradients
+    nor what the driver receives follow the partitions of the corpus.
+    """
+    dealt = sample.repartition(TRAIN_TASKS, "k1", "k2").sortWithinPartitions("k1", "k2")
+    bags = staged(dealt.select("text", "p").mapInArrow(_bags, "at array<long>, share array<double>, p double"), "bags").coalesce(TRAIN_TASKS)
     weights, m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for step in range(1, ROUNDS + 1):
 
@@ -163,8 +170,10 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_i
 
     Null and empty texts have score 0. Repeated rows get the same score, ids may be null,
     other columns are ignored, and an empty table gives an empty result. Texts may be of
-    any length. The training sample is the ``train_rows`` documents of least key hash,
-    a bound that does not follow the corpus; votes, patterns and scores cover all rows.
+    any length. The training sample is the documents with a vote beside their length
+    whose hash is below a threshold set by their number, so that about ``train_rows`` of
+    them, a bound that does not follow the corpus, are taken; votes, patterns and scores
+    cover all rows.
     """
     spark = docs.sparkSession
     base = keyed(docs, id_col, text_col)
@@ -172,8 +181,12 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_i
     patterns = {r.votes: r.n for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     good, _ = posteriors(patterns)
     table = spark.createDataFrame([(k, float(p)) for k, p in good.items()], "votes string, p double")
-    chosen = voted.filter("votes not like '-1,0,0,0,0,0,0'").orderBy("k2", "k1").limit(train_rows).join(F.broadcast(table), "votes").select("k1", "k2", "p")
-    weights = train(base.join(F.broadcast(chosen.dropDuplicates(["k1", "k2"])), ["k1", "k2"]).select("text", "p"))
+    usable = sum(n for k, n in patterns.items() if k != NO_WORDS)
+    share = min(1.0, train_rows / max(1, usable))
+    drawn = F.pmod(F.xxhash64("k2", "k1"), F.lit(1 << 40)) < int(share * (1 << 40))
+    chosen = voted.filter((F.col("votes") != NO_WORDS) & drawn).join(F.broadcast(table), "votes").select("k1", "k2", "p").dropDuplicates(["k1", "k2"])
+    chosen = staged(chosen, "chosen")  # about train_rows rows of 24 bytes
+    weights = train(base.join(F.broadcast(chosen), ["k1", "k2"]).dropDuplicates(["k1", "k2"]))
     shared = spark.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
