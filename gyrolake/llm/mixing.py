@@ -32,7 +32,7 @@ def poisson_table(rates: DataFrame) -> DataFrame:
     return one.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, add, lambda acc: acc["cdf"])).drop("mean")
 
 
-def replicate(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, seed: int = 0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def replicate(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(row, id, rate, copies, copy): each row ``copies`` times, in an order shuffled over all partitions.
 
     ``weights`` (source, weight) gives sources their share of about ``total`` rows, by
@@ -40,13 +40,13 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, total: int | No
     sources share alike, null being one of them. A source's rate is its share over its
     rows. The number of copies inverts the Poisson distribution of that mean at a
     uniform number seeded by the hash of (seed, id): independent of partitioning and
-    retries. Equal ids get equal numbers, so repeated rows are repeated alike; null ids
-    share one number. ``row`` is the input row as a struct, so extra columns pass
+    retries. Equal ids get equal numbers, so repeated rows are repeated alike; a null id
+    draws by its text's hash. ``row`` is the input row as a struct, so extra columns pass
     through whatever their names; texts may be null, empty or long. An empty table
-    gives an empty result. Copies are scattered by the hash of (id, copy, seed), never
-    by source, so a hot source is no hot partition.
+    gives an empty result. Copies are scattered by the hash of (id, text, copy, seed), never
+    by source, so neither a hot source nor a hot id is a hot partition.
     """
-    rows = packed(docs, F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"))
+    rows = packed(docs, F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("draw"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     counts = staged(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source_counts")
     if weights is None:
         weighed = counts.withColumn("weight", F.lit(1.0))
@@ -59,12 +59,12 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, total: int | No
     wanted = float(counts.agg(F.sum("n")).first()[0] if total is None else total)
     rates = weighed.select(F.col("source").alias("of"), (F.col("weight") / F.lit(float(sums.w)) * wanted / F.col("n")).alias("rate"))
     table = staged(poisson_table(rates), "rates")
-    drawn = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: uniform(F.lit(seed), F.col("id"), j))
+    drawn = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: uniform(F.lit(seed), F.col("draw"), j))
     count = F.aggregate(drawn, F.lit(0), lambda acc, u: acc + F.size(F.filter("cdf", lambda c: c <= u)))
-    counted = rows.join(table, rows.source.eqNullSafe(table.of)).select("row", "id", "rate", count.alias("copies"))
+    counted = rows.join(table, rows.source.eqNullSafe(table.of)).select("row", "id", "text_hash", "rate", count.alias("copies"))
     copies = counted.filter("copies > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    shuffled = copies.withColumn("at", F.xxhash64("id", "copy", F.lit(seed)))
-    return shuffled.repartition("at").sortWithinPartitions("at").drop("at")
+    shuffled = copies.withColumn("at", F.xxhash64("id", "text_hash", "copy", F.lit(seed)))
+    return shuffled.repartition("at").sortWithinPartitions("at").drop("at", "text_hash")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, seed: int = 0, **columns: str) -> DataFrame:

@@ -114,7 +114,7 @@ cdf AS (
 ),
 draws AS (
   SELECT d.doc_id, d.source, j,
-    CAST(('0x' || substr(md5('11|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '|' || j), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+    CAST(('0x' || substr(md5('11|' || coalesce(CAST(d.doc_id AS VARCHAR), md5(coalesce(d.text, ''))) || '|' || j), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
   FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(p.parts)) AS j)
 ),
 copies AS (

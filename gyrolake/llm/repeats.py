@@ -39,7 +39,7 @@ from gyrolake.plans.staging import staged
 
 WINDOW = 35
 SEED_WORDS = 8
-CONTEXTS = 64
+CONTEXTS = 8  # different spans of a seed in a batch that are dealt by the seed
 UNIQUE, OPEN, SAMPLE = 0, 1, 2  # a run whose seed is unique; one to be settled; one sent for others
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 WORD_CACHE = 1_000_000

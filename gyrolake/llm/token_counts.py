@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gyrolake.llm.tokens import encoder
+from gyrolake.plans.staging import staged
 
 TABLE_ENTRIES = 32_768  # chunks in the broadcast table, each of at most CHUNK_CHARS
 SUMMARY_ENTRIES = 4_096  # chunks that a task reports
@@ -41,8 +42,16 @@ def frequent_chunks(texts: DataFrame) -> dict[str, int]:
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["chunk", "n"])
 
     told = texts.select("text").mapInArrow(summaries, "chunk string, n long")
-    top = told.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(TABLE_ENTRIES)
-    return {r.chunk: r.n for r in top.collect()}
+    seen = staged(told.groupBy("chunk").agg(F.sum("n").alias("n")), "chunks")
+    order = F.floor(F.log2("n"))
+    left, chosen = TABLE_ENTRIES, None
+    for r in sorted(seen.groupBy(order.alias("o")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # at most 64 orders of magnitude
+        part = -(-r.n // left) if left else 0  # of the last order that is taken, the share that fits
+        if part:
+            taken = (order == r.o) & (F.pmod(F.xxhash64("chunk"), F.lit(part)) == 0)
+            chosen = taken if chosen is None else chosen | taken
+        left = max(0, left - r.n)
+    return {} if chosen is None else {r.chunk: r.n for r in seen.filter(chosen).collect()}
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,7 +65,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     local = encoder(tokenizer)
-    table = {c: len(local.ids(c)) // 4 for c in frequent_chunks(texts) if local.simple(c)}
+    table = {c: len(local.chunks[c]) // 4 for c in frequent_chunks(texts) if local.split(c) == [c]}
     shared = spark.sparkContext.broadcast(table)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +75,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             for text in batch.column(1):
                 t = text.as_py() or ""
                 n_bytes.append(len(t) if t.isascii() else len(t.encode()))
-                n_tokens.append(sum(map(lengths.__getitem__, t.lower().split())) if own.simple(t) else len(own.whole(t)) // 4)
+                n_tokens.append(sum(map(lengths.__getitem__, chunks)) if (chunks := own.split(t)) is not None else len(own.whole(t)) // 4)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     return texts.mapInArrow(count, COUNTED).withColumnRenamed("id", id_col)

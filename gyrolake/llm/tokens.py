@@ -2,9 +2,9 @@
 
 The tokenizer normalises (NFC, lower case), splits at white space and punctuation and
 merges inside each pre-token, so the ids of a text are those of its white-space chunks
-joined. A chunk seen before costs one dictionary lookup. Texts with characters for which
-this is not certain (other scripts, combining marks) and texts that hold a special
-token's string go through the library whole.
+joined. A chunk seen before costs one dictionary lookup. Chunks with characters for which
+the rest is not certain here (other scripts, combining marks) go through the library, each
+alone; only texts that hold a special token's string go through it whole.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from functools import lru_cache
 #: Characters for which lower-casing, NFC and the classes of the two regex engines agree.
 UNSURE = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]")
 PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-z0-9à-öø-ÿß]+")
+BLANK = re.compile("[\t\n\r\x20]+")
 CACHE_ENTRIES = 1_000_000  # then a worker's cache starts anew
+CACHE_CHARS = 64  # longer keys are not kept
 
 
 def byte_chars() -> list[str]:
@@ -31,6 +33,8 @@ class _Cache(dict):
         self.make = make
 
     def __missing__(self, key):
+        if len(key) > CACHE_CHARS:
+            return self.make(key)
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         value = self[key] = self.make(key)
@@ -55,19 +59,24 @@ class Encoder:
         return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
 
     def _chunk(self, chunk: str) -> bytes:
+        if UNSURE.search(chunk):
+            return self.whole(chunk)
         return b"".join(map(self.pretokens.__getitem__, PRETOKENS.findall(chunk)))
 
-    def simple(self, text: str) -> bool:
-        """Whether the text's ids are those of its chunks."""
-        return not UNSURE.search(text) and not any(s in text for s in self.specials)
+    def split(self, text: str) -> list[str] | None:
+        """The chunks whose ids make up the text's, sure ones in lower case; None for a text with a special token's string."""
+        if any(s in text for s in self.specials):
+            return None
+        if not UNSURE.search(text):
+            return text.lower().split()
+        return [c if UNSURE.search(c) else c.lower() for c in BLANK.split(text) if c]
 
     def whole(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.library.encode(text, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:
-        if self.simple(text):
-            return b"".join(map(self.chunks.__getitem__, text.lower().split()))
-        return self.whole(text)
+        chunks = self.split(text)
+        return self.whole(text) if chunks is None else b"".join(map(self.chunks.__getitem__, chunks))
 
 
 @lru_cache(maxsize=2)

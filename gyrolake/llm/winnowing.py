@@ -69,24 +69,35 @@ def likeness(a: Column, b: Column) -> Column:
 def in_chain(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Window]:
     """Rows (bucket, wrap, id, text, copy) and the window in which each row's successor follows it.
 
-    The order is descending id, null ids last, equal ids by text; after the last row
-    comes the first. No task holds it all: ids are cut at quantiles into buckets, each
-    of which also gets a copy of the row that follows its last one. The cuts are
-    ids that occur, so a row knows from its id alone where its copy goes. At most
-    ``buckets`` ids pass through the driver.
+    The order is descending id, null ids last, equal ids by the text's hash; after the last
+    row comes the first. No task holds it all: ids are cut at quantiles into buckets, and
+    an id that fills several quantiles is cut by ranges of the hash as well. Each bucket
+    also gets a copy of the row that follows its last one, which is the first of the next
+    bucket. At most 2 x ``buckets`` numbers pass through the driver.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumns({"place": F.bitwise_not("id"), "hash": F.xxhash64("text")})
     shares = [k / buckets for k in range(1, buckets + 1)]
-    found = rows.agg(F.percentile_approx("id", shares, 20 * buckets + 10_000).alias("q"), F.max("id").alias("top")).first()
-    cuts = sorted({*(found.q or []), *([] if found.top is None else [found.top])})
-    cut = F.array(*map(F.lit, cuts)).cast(LONGS)
-    bucket = F.size(F.filter(cut, lambda c: c < F.col("id")))
-    place = lambda b, wrap, copy: F.struct(b.cast("int").alias("bucket"), F.lit(wrap).alias("wrap"), F.lit(copy).alias("copy"))
-    own, last = place(F.col("own"), 0, False), len(cuts) - 1
-    ends = F.get(cut, F.col("own")) == F.col("id")
-    places = F.when(ends & (F.col("own") == last), F.array(own, place(F.lit(0), 1, True))).when(ends, F.array(own, place(F.col("own") + 1, 0, True))).otherwise(F.array(own))
-    dealt = rows.withColumn("own", bucket).select("id", "text", F.inline(places))
-    return dealt, Window.partitionBy("bucket").orderBy("wrap", F.desc("id"), "text")
+    quantiles = rows.agg(F.percentile_approx("place", shares, 20 * buckets + 10_000).alias("q")).first().q or []
+    cuts = sorted(set(quantiles))
+    ranges = [quantiles.count(c) if quantiles.count(c) > 2 else 0 for c in cuts] + [0]
+    firsts = [k + sum(ranges[:k]) for k in range(len(ranges))]
+    cut, many, first = (F.array(*map(F.lit, x)).cast(LONGS) for x in (cuts, ranges, firsts))
+    at = F.size(F.filter(cut, lambda c: c < F.col("place")))
+    within = F.shiftright((F.shiftright("hash", 40) + (1 << 23)) * F.get(many, at), 24)
+    bucket = F.get(first, at) + F.when((F.get(many, at) > 0) & (F.get(cut, at) == F.col("place")), within + 1).otherwise(0)
+    rows = rows.withColumn("own", bucket)
+    heads = sorted(rows.groupBy("own").agg(F.min(F.struct("place", "hash")).alias("head")).select("own", "head.*").collect())
+    before = {h.own: heads[k - 1].own for k, h in enumerate(heads)}
+    size = sum(ranges) + len(ranges)
+    spread = lambda values: F.array(*[F.lit(values.get(k)) for k in range(size)]).cast(LONGS)
+    target, place, hashed = spread(before), spread({h.own: h.place for h in heads}), spread({h.own: h.hash for h in heads})
+    wraps = F.col("own") == (heads[0].own if heads else 0)
+    slot = lambda b, wrap, copy: F.struct(b.cast("int").alias("bucket"), wrap.cast("int").alias("wrap"), F.lit(copy).alias("copy"))
+    own = slot(F.col("own"), F.lit(0), False)
+    leads = (F.get(place, F.col("own").cast("int")) == F.col("place")) & (F.get(hashed, F.col("own").cast("int")) == F.col("hash"))
+    slots = F.when(leads, F.array(own, slot(F.get(target, F.col("own").cast("int")), wraps, True))).otherwise(F.array(own))
+    return rows.select("id", "text", "place", "hash", F.inline(slots)), Window.partitionBy("bucket").orderBy("wrap", "copy", "place", "hash")
 
 
 def edited_pairs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,6 +35,16 @@ def test_large_rates_nulls_and_empty(spark):
     assert replicate(docs, spark.createDataFrame([], "source string, weight double")).count() == 0
 
 
+def test_rows_without_ids_draw_alone_and_are_scattered(spark):
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("s").alias("source"))
+    out = replicate(docs, total=50_000)
+    assert abs(out.count() - 50_000) < 5 * math.sqrt(50_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [r["count"] for r in out.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 1.5 * sum(sizes) / len(sizes)
+
+
 def same_as_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

@@ -19,6 +19,18 @@ def test_encoder_matches_the_library():
         assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_chunks_of_any_script_match_the_library():
+    rng = np.random.default_rng(4)
+    own, library = Encoder(PATH), Tokenizer.from_file(PATH)
+    alphabet = [*"abcXYZ019 \t\n\r.,'\"-", *"“”’–€…", *"äßÉñ", *"ΣσςΑΩЖщ", *"汉字テ한", "\u0301", "\u0327", "\xa0", "\u2028", "\u3000", "\x0b", "\x0c", "\x1c", "\x85", "\u200b", "\u200d", "😀", "ﬁ", "İ", "ǅ", "²"]
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet, rng.integers(0, 40)))
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
+    assert own.split("a “b” c") == ["a", "“b”", "c"] and own.split("x <|endoftext|>") is None
+    own.ids("z" * 1000)
+    assert "z" * 1000 not in own.chunks
+
+
 def test_counts(spark):
     rows = [(i, t, 1) for i, t in enumerate(ODD)] + [(None, None, 2), (3, ODD[3], 3), (3, ODD[3], 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")

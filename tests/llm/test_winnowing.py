@@ -3,10 +3,11 @@ import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gyrolake.llm import queries
-from gyrolake.llm.winnowing import edited_pairs, fingerprint, grams, likeness
+from gyrolake.llm.winnowing import edited_pairs, fingerprint, grams, in_chain, likeness
 
 
 def brute_choice(g, window):
@@ -35,7 +36,8 @@ def test_choice_and_guarantee(spark):
 
 
 def brute_edit(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    signed = lambda t: (xxhash.xxh64_intdigest(t or "", 42) + (1 << 63)) % (1 << 64)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
     out = []
     for k, (i, text) in enumerate(order):
         t, nxt = text or "", order[(k + 1) % len(order)][1] or ""
@@ -73,3 +75,13 @@ def test_whole_table(spark):
         own, other = ({re.match("[^@]*", x)[0] for x in f.split()} for f in (r.fingerprint, r.edited_fingerprint))
         assert r.near_edited == (len(own & other) / len(own | other) if own | other else 1.0)
     assert sum(r.near_edited > r.near_next for r in got) > 0.9 * len(got)
+
+
+def test_rows_of_one_id_are_cut_too(spark):
+    rows = [(None if i % 3 else i // 900, f"text {i}") for i in range(6000)] + [(7, None), (9, "x" * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt, _ = in_chain(docs, 16)
+    sizes = [r["count"] for r in dealt.groupBy("bucket").count().collect()]
+    assert max(sizes) < len(rows) / 8
+    got = sorted(((r.doc_id, r.n_chars, r.edited) for r in edited_pairs(docs).select("doc_id", "n_chars", "edited").collect()), key=str)
+    assert got == sorted(brute_edit(rows), key=str)
