@@ -24,14 +24,17 @@ def session(app: str = "gyrolake", master: str | None = None, **conf: str) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset, as in local
-    tests, a temporary folder of this machine becomes the checkpoint folder.
+    It is what ``spark.checkpoint.dir`` names. Where that is unset and all runs in one
+    local process, as in tests, a temporary folder becomes the checkpoint folder; on a
+    cluster it must be set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gyrolake-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
