@@ -155,8 +155,16 @@ def measured(path: str, content: bytes, how: Import) -> dict:
     return {"fps": fps, "key": key, "width": width, "noise_sigma_rad": float(noise), "frames": frames, "n": n, "seq": held.get("sequence_name") if isinstance(held.get("sequence_name"), str) else None}
 
 
-def _rows_of(read: Callable[[str, bytes], dict], schema: pa.Schema):
-    """One row a file: what ``read`` gives, or its problem."""
+def name_of(path: str) -> str:
+    """A file's name without its last suffix; of a part file in a folder ``column=value``, the value."""
+    folder, _, name = path.rpartition("/")
+    if name.startswith("part-") and "=" in folder.rsplit("/", 1)[-1]:
+        return folder.rsplit("=", 1)[-1]
+    return name.rsplit(".", 1)[0]
+
+
+def _rows_of(read: Callable[[str, bytes], dict | list[dict]], schema: pa.Schema):
+    """The rows that ``read`` gives for each file, or one with its problem."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,8 +173,8 @@ def _rows_of(read: Callable[[str, bytes], dict], schema: pa.Schema):
                     row = read(path, content.as_py())
                 except (ValueError, OSError, KeyError, TypeError, AttributeError) as why:
                     row = {"problem": str(why)[:200] or type(why).__name__}
-                row = {"path": path, **row, "seq": row.get("seq") or path.rsplit("/", 1)[-1].rsplit(".", 1)[0]}
-                yield pa.RecordBatch.from_pylist([row], schema)
+                for r in row if isinstance(row, list) else [row]:
+                    yield pa.RecordBatch.from_pylist([{"path": path, **r, "seq": r.get("seq") or name_of(path)}], schema)
 
     return rows
 

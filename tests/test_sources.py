@@ -85,3 +85,42 @@ def test_motion_files(spark, tmp_path):
     assert {r.seq for r in m.motion_vectors(m.motion_files(spark, str(tmp_path))).select("seq").distinct().collect()} == {"walk", "run"}
     assert [r.seq for r in m.motion_files(spark, str(tmp_path), subset="sUB/W").collect()] == ["walk"]
     assert len(m.motion_files(spark, str(tmp_path), limit=2).collect()) == 2
+
+
+def test_tracks(spark, tmp_path):
+    from gyrolake.sources import tracks as k
+
+    rng = np.random.default_rng(3)
+    w, cam = rng.normal(0, 0.3, (7, 21, 3)), rng.normal(0, 0.3, (7, 21, 3))
+    one = {"fps": 30, "confidence": np.full((7, 21), 0.7).tolist(), "smpl_params_global": {"global_orient": np.zeros((7, 3)).tolist(), "body_pose": w.reshape(7, 63).tolist()}, "smpl_params_incam": {"body_pose": cam.reshape(7, 63).tolist()}}
+    (tmp_path / "one.json").write_text(json.dumps(one))
+    (tmp_path / "map.json").write_text(json.dumps({"7": one, "note": "x", "9": {"poses": np.zeros((4, 72)).tolist(), "scores": np.zeros((4, 24, 3)).tolist()}}))
+    (tmp_path / "list.json").write_text(json.dumps([{"no": 1}, one]))
+    (tmp_path / "none.json").write_text(json.dumps({"a": 1}))
+    np.savez(tmp_path / "mats.npz", pred_rotmat=kernels.exp(rng.normal(0, 0.3, (5, 24, 3))), frame_rate=20, scores=np.ones((5, 24)))
+    how = m.Import(frame_rate=10)
+    found = k.tracks(spark, str(tmp_path), how)
+    assert {r.seq: (r.n, r.problem) for r in found.collect()} == {"one": (3, None), "map_7": (3, None), "map_9": (4, None), "list_001": (3, None), "none": (None, "no track of poses"), "mats": (3, None)}
+    rows = m.measurements(m.usable(found), how).collect()
+    poses = rotations_of(rows, 23)
+    want = kernels.exp(w[::3])
+    assert max(np.abs(poses["one"][t, j] - want[t, j]).max() for t in range(3) for j in range(21)) < 1e-9
+    assert all(r.mask == (r.joint < 21) and r.confidence == (0.7 if r.mask else 0) for r in rows if r.seq == "one")
+    assert not any(r.mask for r in rows if r.seq == "map_9") and len(poses["mats"]) == 69
+    other = m.measurements(m.usable(k.tracks(spark, str(tmp_path), how, "incam")), how).filter("seq = 'one'").collect()
+    assert np.abs(rotations_of(other, 23)["one"][1, 2] - kernels.exp(cam[3])[2]).max() < 1e-9
+    assert k.tracks(spark, str(tmp_path), how, pad=False).filter("seq = 'one'").first().problem
+
+
+def test_report_files(spark, tmp_path):
+    from gyrolake.sources import reports as t
+
+    assert t.read_csv(spark, str(tmp_path / "none"), ["a", "b"]).columns == ["a", "b"] and t.read_csv(spark, str(tmp_path / "none"), ["a"]).count() == 0
+    df = spark.createDataFrame([(1.5, "x", None), (float("nan"), "y,z", 3), (float("inf"), "", 4)], "v double, s string, n int")
+    t.write_csv(df, str(tmp_path / "csv"), ["s", "v", "more", "n"])
+    got = t.read_csv(spark, str(tmp_path / "csv"))
+    assert got.columns == ["s", "v", "more", "n"] and sorted(map(tuple, got.fillna("").collect())) == [("", "", "", "4"), ("x", "1.5", "", ""), ("y,z", "", "", "3")]
+    t.write_json(df, str(tmp_path / "json"))
+    assert t.read_json(spark, str(tmp_path / "json"), "v double, s string").filter("v is not null").count() == 1
+    assert t.first_of(t.read_csv(spark, str(tmp_path / "none")), got).count() == 3
+    assert t.tagged(df, s="tag", seed=3).select("s", "seed").distinct().count() == 3
