@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gyrolake.plans import estimators, geometry, reports, streams
+from gyrolake.plans import estimators, geometry, reports, sourced, streams
 
 #: Modules with QUERIES: name -> (query, SQL or None).
-MODULES = [geometry, reports, streams, estimators]
+MODULES = [geometry, reports, streams, estimators, sourced]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
