@@ -19,20 +19,23 @@ def markov_rates(p: float, recovery: float | None = None, entry: float | None =
 
 
 def markov_hidden(frames: DataFrame, key: list[str], p: float, seed: int, recovery: float | None = None) -> DataFrame:
-    """(key, t, hidden): a chain per key along t, folded over the key's ordered uniform numbers.
+    """(key, t, hidden): a chain per key along t, driven by the key's uniform numbers.
 
-    A key's frames are one recording's; they meet in one row as the chain needs its past.
+    Each number maps both states to the next: it hides (both to hidden), shows (both to
+    shown), or keeps or swaps the state. So the state is that of the last number that
+    hides or shows, swapped as often as numbers since then swap: window sums, no fold
+    over a recording.
     """
     enter, leave = markov_rates(p, recovery)
-    drawn = frames.withColumn("u", uniform(F.lit(seed), *map(F.col, key), F.col("t")))
-    listed = drawn.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("t", "u"))).alias("steps"))
-
-    def step(acc: Column, x: Column) -> Column:
-        hidden = F.when(F.size(acc) == 0, x["u"] < p).when(F.element_at(acc, -1), x["u"] >= leave).otherwise(x["u"] < enter)
-        return F.concat(acc, F.array(hidden))
-
-    hidden = F.aggregate("steps", F.array().cast("array<boolean>"), step)
-    return listed.select(*key, F.explode(F.arrays_zip(F.col("steps.t").alias("t"), hidden.alias("hidden"))).alias("z")).select(*key, "z.t", "z.hidden")
+    u, along = F.col("u"), Window.partitionBy(*key).orderBy("t")
+    drawn = frames.select(*key, "t", uniform(F.lit(seed), *map(F.col, key), F.col("t")).alias("u"))
+    first = F.row_number().over(along) == 1
+    from_hidden, from_shown = u >= leave, u < enter
+    told = drawn.withColumn("fixed", F.when(first, u < p).when(from_hidden == from_shown, from_hidden))
+    swaps = F.sum(F.when(F.col("fixed").isNull() & ~from_hidden, 1).otherwise(0)).over(along)
+    told = told.withColumn("swaps", swaps)
+    last = F.last(F.when(F.col("fixed").isNotNull(), F.struct("fixed", "swaps")), ignorenulls=True).over(along)
+    return told.withColumn("last", last).select(*key, "t", (F.col("last.fixed") != ((F.col("swaps") - F.col("last.swaps")) % 2 == 1)).alias("hidden"))
 
 
 def normalised(weights: DataFrame, group: list[str], log_weight: str = "lw") -> DataFrame:

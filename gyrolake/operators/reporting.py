@@ -19,6 +19,7 @@ RAW_METHODS = ("raw_measurement", "raw")
 PERSISTENCE_METHODS = ("persistence",)
 OFFLINE_METHODS = ("ema", "chordal", "savgol_tangent")
 ONLINE_METHODS = ("gaussian_rw", "adaptive_gaussian_rw", "noise_adaptive_selector", "constant_velocity", "mlp_delta", "history_mlp_delta", "gru_delta", "learned_proposal")
+EVIDENCE = ("strong_positive", "positive", "mixed_positive", "mixed", "negative", "insufficient")  # strongest first
 CLASS_PAIRS = (("causal_online_filter", "offline_smoother"), ("causal_online_filter", "causal_baseline"), ("causal_online_filter", "raw_measurement"), ("offline_smoother", "causal_baseline"))
 
 
@@ -160,3 +161,33 @@ def noise_selected(rows: DataFrame, threshold: float = 10.0) -> DataFrame:
     both = rows.groupBy(*CONDITION).agg(*[F.max(F.when(F.col("method") == m, F.col("err"))).alias(m) for m in ("persistence", "gaussian_rw")])
     walk = F.expr("try_cast(noise_deg as double)") <= threshold
     return both.select(*CONDITION, F.when(walk, F.col("gaussian_rw")).otherwise(F.col("persistence")).alias("err"), F.when(walk, "gaussian_rw:filter_error_deg").otherwise("persistence:persistence_error_deg").alias("source_metric"))
+
+
+def placed(rows: DataFrame, order: list) -> DataFrame:
+    """Adds place, a row's number in its context by ``order``."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*CONTEXT).orderBy(*order)))
+
+
+def claim(target: str, baseline: str) -> Column:
+    """What a comparison says, as a sentence."""
+    gain = number(F.col("mean_improvement"), 2)
+    return F.concat(F.col(target), F.lit(" improves on "), F.col(baseline), F.lit(" by "), gain, F.lit(" deg in "), F.col("win_count").cast("string"), F.lit(" of "), F.col("condition_count").cast("string"), F.lit(" conditions"))
+
+
+def number(x: Column, digits: int) -> Column:
+    """A finite number with so many digits, else a blank."""
+    return F.coalesce(F.format_string(f"%.{digits}f", F.round(finite(x.cast("double")), digits)), F.lit(""))
+
+
+def safe_name(path: Column) -> Column:
+    """A path's file name without its suffix, of letters, digits, points, dashes and underscores, at most 80; never empty."""
+    stem = F.regexp_replace(F.regexp_replace(path, "^.*/", ""), r"\.[^.]*$", "")
+    name = F.substring(F.btrim(F.regexp_replace(stem, "[^A-Za-z0-9_.-]+", "_"), F.lit("_")), 1, 80)
+    return F.when(name == "", "segment").otherwise(name)
+
+
+def closest_cell(rows: DataFrame, wanted: dict[str, float]) -> DataFrame:
+    """The rows whose values in the columns ``wanted`` are, within their context, each nearest to the number; of two as near, the lesser."""
+    value = lambda c: F.expr(f"try_cast({c} as double)")
+    near = rows.groupBy(*CONTEXT).agg(*[F.min_by(c, F.struct(F.abs(value(c) - x), value(c))).alias(c) for c, x in wanted.items()])
+    return rows.join(near, [*CONTEXT, *wanted])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gyrolake.functions.rotations import uniform
+
+BUCKETS = 1024
+
 
 def counts(n: int, train: float, val: float) -> tuple[int, int]:
     """How many of ``n`` sequences train and validate; rounding is half to even, and one is left for testing."""
@@ -19,15 +22,17 @@ def counts(n: int, train: float, val: float) -> tuple[int, int]:
 
 
 def assign(sequences: DataFrame, seed: int, train: float = 0.7, val: float = 0.15, key: str = "seq") -> DataFrame:
-    """(key, split): a permutation of the sequence list in order of the key, cut at the fractions.
+    """(key, split): sequences in order of a number drawn from the seed and the key, cut at the fractions.
 
-    Sequences are files; their list is the one thing here that the driver holds.
+    No task or driver holds the list: numbers are dealt to ``BUCKETS`` ranges, ranked
+    there, and shifted by the counts of the ranges before.
     """
-    names = [r[0] for r in sequences.select(key).distinct().orderBy(key).collect()]
-    n_train, n_val = counts(len(names), train, val)
-    rows = []
-    for place, at in enumerate(np.random.default_rng(seed).permutation(len(names))):
-        rows.append((names[at], "train" if place < n_train else "val" if place < n_train + n_val else "test"))
-    kind = sequences.schema[key].dataType.simpleString()
-    table = sequences.sparkSession.createDataFrame(rows, f"{key} {kind}, split string")
-    return sequences.select(key).distinct().join(F.broadcast(table), key)
+    rows = sequences.select(key).distinct().withColumn("u", uniform(F.lit(seed), F.col(key))).withColumn("range", F.floor(F.col("u") * BUCKETS))
+    sizes = rows.groupBy("range").agg(F.count(F.lit(1)).alias("m"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over at most BUCKETS rows
+    ahead = sizes.select("range", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("ahead"))
+    n = sizes.agg(F.sum("m")).first()[0] or 0
+    n_train, n_val = counts(n, train, val)
+    place = F.col("ahead") + F.row_number().over(Window.partitionBy("range").orderBy("u", key))
+    split = F.when(F.col("place") <= n_train, "train").when(F.col("place") <= n_train + n_val, "val").otherwise("test")
+    return rows.join(F.broadcast(ahead), "range").withColumn("place", place).select(key, split.alias("split"))

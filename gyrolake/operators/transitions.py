@@ -49,6 +49,17 @@ def log_prob(deltas: DataFrame, fit: DataFrame) -> DataFrame:
     return deltas.join(F.broadcast(fit.drop("n")), "joint").withColumn("log_prob", terms[0] + terms[1] + terms[2])
 
 
+def isotropic_log_prob(delta: list[Column], std: float) -> Column:
+    """The log density of a step under the same spread in all directions."""
+    return -0.5 * (sum((d * d for d in delta[1:]), delta[0] * delta[0]) / (std * std) + 3 * math.log(2 * math.pi * std * std))
+
+
+def with_history(deltas: DataFrame, length: int) -> DataFrame:
+    """Adds h1_0..h<length>_2: the steps one to ``length`` frames earlier, zero before the first."""
+    w = Window.partitionBy("seq", "joint").orderBy("t")
+    return deltas.withColumns({f"h{lag}_{k}": F.coalesce(F.lag(f"d{k}", lag).over(w), F.lit(0.0)) for lag in range(1, length + 1) for k in range(3)})
+
+
 def random_quaternion(seed: int, key: list[Column]) -> list[Column]:
     """A uniformly distributed unit quaternion of the key."""
     u = [R.uniform(F.lit(seed), *key, F.lit(k)) for k in range(3)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RANGES = 64
 BINS = (("low_motion", 0.0, 0.5), ("medium_motion", 0.5, 1.5), ("high_motion", 1.5, float("inf")))
 
 
@@ -53,8 +54,14 @@ def select_top_motion(rows: DataFrame, limit: int, per_file: int | None = None)
 def select_uniform(rows: DataFrame, limit: int, per_file: int | None = None) -> DataFrame:
     """Evenly spaced rows of the whole list in order of (seq, start): places floor(i (n - 1) / (limit - 1))."""
     per_seq = rows.groupBy("seq").agg(F.count(F.lit(1)).alias("m"))
-    ahead = per_seq.select("seq", F.coalesce(F.sum("m").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    at = rows.join(F.broadcast(ahead), "seq").withColumn("at", F.col("ahead") + F.row_number().over(Window.partitionBy("seq").orderBy("start")) - 1)
+    # sequences are dealt to ranges of their names, so that no task orders all of them
+    cuts = sorted(r.seq for r in per_seq.orderBy(F.xxhash64("seq")).limit(RANGES).select("seq").collect())
+    dealt = per_seq.withColumn("range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("seq"))))
+    sizes = dealt.groupBy("range").agg(F.sum("m").alias("m"))
+    first = F.coalesce(F.sum("m").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over at most RANGES + 1 rows
+    within = F.coalesce(F.sum("m").over(Window.partitionBy("range").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = dealt.withColumn("within", within).join(F.broadcast(sizes.select("range", first.alias("first"))), "range").select("seq", (F.col("within") + F.col("first")).alias("ahead"))
+    at = rows.join(ahead, "seq").withColumn("at", F.col("ahead") + F.row_number().over(Window.partitionBy("seq").orderBy("start")) - 1)
     n = rows.count()
     if n > limit:
         wanted = {i * (n - 1) // max(1, limit - 1) for i in range(limit)} if limit > 1 else {0}

@@ -267,3 +267,23 @@ def chordal_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of rotations over centred windows of five frames; a projection makes them chordal means."""
     near = ordered().rowsBetween(-2, 2)
     return poses(spark, sf_dir).select("seq", "t", "joint", F.count(F.lit(1)).over(near).alias("n"), *[r6(F.sum(f"r{k}").over(near)).alias(f"s{k}") for k in range(9)])
+
+
+_NP = 3 * math.log(2 * math.pi * 0.05**2)
+
+
+@register(f"WITH {DELTAS_SQL}, drawn AS (SELECT *, " + ", ".join(f"0.05::DOUBLE * sqrt(-2*ln(1-CAST(('0x' || substr(md5(concat_ws('|', '21', seq, t, joint, '{k}', 'u')), 1, 8)) AS BIGINT)/4294967296.0::DOUBLE)) * cos(2*pi()*(CAST(('0x' || substr(md5(concat_ws('|', '21', seq, t, joint, '{k}', 'v')), 1, 8)) AS BIGINT)/4294967296.0::DOUBLE)) AS g{k}" for k in range(3)) + " FROM deltas WHERE d0 IS NOT NULL)," + exp_sql("drawn", "moved", ("g0", "g1", "g2"), "q") + f", predicted AS (SELECT *, {_APPLY} FROM moved) SELECT seq, round(sum(-0.5*((d0*d0 + d1*d1 + d2*d2)/0.0025::DOUBLE + {_NP!r})),4)+0.0 AS log_prob, round(avg(degrees({dist_sql('r{k}', 'e{k}')})),6)+0.0 AS sampled_deg FROM predicted GROUP BY seq")
+def noisy_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standing still with the same small noise in every direction: the steps' log density, and the error of a drawn step."""
+    key = [F.col("seq"), F.col("t"), F.col("joint")]
+    steps = deltas(spark, sf_dir).filter("d0 is not null").withColumns({f"g{k}": 0.05 * R.normal(F.lit(21), *key, F.lit(k)) for k in range(3)})
+    drawn = transitions.predicted(R.with_exp(steps, ["g0", "g1", "g2"], "q"))
+    density = transitions.isotropic_log_prob([F.col(f"d{k}") for k in range(3)], 0.05)
+    return drawn.groupBy("seq").agg((F.round(F.sum(density), 4) + 0.0).alias("log_prob"), r6(F.avg(F.degrees(R.geodesic(R.cols("r"), R.cols("e"))))).alias("sampled_deg"))
+
+
+@register(f"WITH {DELTAS_SQL}, h AS (SELECT seq, t, joint, d0, " + ", ".join(f"round(coalesce(lag(d{k}, {lag}) OVER w, 0),6)+0.0 AS h{lag}_{k}" for lag in (1, 2, 3) for k in range(3)) + f" FROM deltas {_W}) SELECT * EXCLUDE (d0) FROM h WHERE d0 IS NOT NULL")
+def history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last three steps before each step; zeros where there were none."""
+    held = transitions.with_history(deltas(spark, sf_dir), 3)
+    return held.filter("d0 is not null").select("seq", "t", "joint", *[r6(f"h{lag}_{k}").alias(f"h{lag}_{k}") for lag in (1, 2, 3) for k in range(3)])

@@ -194,8 +194,57 @@ def selector_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.selector_headroom(board(spark, sf_dir)))
 
 
-@register()
+_DRAW = "CAST(('0x' || substr(md5(concat_ws('|', dataset, motion_bin, target, baseline, d, i // 4)), CAST((i % 4)*8 + 1 AS BIGINT), 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@register(f"""WITH {PAIRS_SQL.replace("b.err - a.err AS diff", "b.err - a.err AS diff, a.noise_deg, a.occlusion_prob")}, g AS (SELECT {CTX}, target, baseline, list(diff ORDER BY noise_deg, occlusion_prob) AS v FROM pairs GROUP BY ALL), draws AS (SELECT *, unnest(range(2000)) AS d FROM g), places AS (SELECT *, unnest(range(len(v))) AS i FROM draws),
+means AS (SELECT {CTX}, target, baseline, len(v) AS n, d, avg(v[CAST(floor({_DRAW} * len(v)) AS BIGINT) + 1]) AS m FROM places GROUP BY ALL), ends AS (SELECT {CTX}, target, baseline, n, list_sort(list(m)) AS m FROM means GROUP BY ALL)
+SELECT {CTX}, target, baseline, n AS condition_count, round(m[50],6)+0.0 AS ci95_low, round(m[1950],6)+0.0 AS ci95_high FROM ends""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gyrolake.operators.resampling import bootstrap_means
 
-    return bootstrap_means(P.method_pairs(board(spark, sf_dir)), [*P.CONTEXT, "target", "baseline"], ["noise_deg", "occlusion_prob"])
+    return rounded(bootstrap_means(P.method_pairs(board(spark, sf_dir)), [*P.CONTEXT, "target", "baseline"], ["noise_deg", "occlusion_prob"]))
+
+
+@register(f"WITH {PAIRS_SQL}, c AS (SELECT {CTX}, target, baseline, count(*) AS n, avg(diff) AS m FROM pairs GROUP BY ALL) SELECT {CTX}, target, baseline, CAST(row_number() OVER (PARTITION BY {CTX} ORDER BY round(m, 9) DESC, target, baseline) AS INTEGER) AS place FROM c")
+def comparison_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons of a context in order of what the target gains, the largest gain first."""
+    return P.placed(P.compared(P.method_pairs(board(spark, sf_dir)), [*P.CONTEXT, "target", "baseline"]), [F.desc(F.round("mean_improvement", 9)), "target", "baseline"]).select(*P.CONTEXT, "target", "baseline", "place")
+
+
+_LABELS = ", ".join(f"('{x}', {i})" for i, x in enumerate(P.EVIDENCE))
+
+
+@register(f"""WITH {PAIRS_SQL}, c AS (SELECT {CTX}, target, baseline, {COMPARED}, avg(diff) - 1.96*stddev_samp(diff)/sqrt(count(diff)) AS low, avg(diff) AS m FROM pairs GROUP BY ALL), e AS (SELECT *, CASE WHEN condition_count < 2 THEN 'insufficient' WHEN low > 0 AND win_count/condition_count >= 0.75 THEN 'strong_positive' WHEN m > 0 AND win_count > loss_count THEN 'positive' WHEN m > 0 THEN 'mixed_positive' WHEN loss_count > win_count THEN 'negative' ELSE 'mixed' END AS evidence FROM c), labels(evidence, strength) AS (VALUES {_LABELS})
+SELECT {CTX}, target, baseline, evidence, CAST(row_number() OVER (PARTITION BY {CTX} ORDER BY strength, round(m, 9) DESC, target, baseline) AS INTEGER) AS place, target || ' improves on ' || baseline || ' by ' || format('{{:.2f}}', round(m, 2)) || ' deg in ' || win_count || ' of ' || condition_count || ' conditions' AS claim FROM e JOIN labels USING (evidence)""")
+def claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims as sentences, the strongest evidence first."""
+    keys = [*P.CONTEXT, "target", "baseline"]
+    pairs = P.method_pairs(board(spark, sf_dir))
+    low = pairs.groupBy(*keys).agg((F.avg("diff") - 1.96 * F.stddev_samp("diff") / F.sqrt(F.count("diff"))).alias("low"))
+    told = P.compared(pairs, keys).join(low, keys).withColumn("evidence", P.evidence(F.col("low")))
+    strength = F.array_position(F.array(*map(F.lit, P.EVIDENCE)), F.col("evidence"))
+    told = P.placed(told, [strength, F.desc(F.round("mean_improvement", 9)), "target", "baseline"])
+    return told.select(*keys, "evidence", "place", P.claim("target", "baseline").alias("claim"))
+
+
+@register(f"WITH {BASED_SQL}, s AS (SELECT {CTX}, method, avg(err) AS m FROM based GROUP BY ALL) SELECT {CTX}, method, CAST(row_number() OVER (PARTITION BY {CTX} ORDER BY round(m, 9), method) AS INTEGER) AS place FROM s")
+def paper_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Methods of a context in order of their mean error."""
+    return P.placed(P.paper_summary(board(spark, sf_dir)), [F.round("mean_err", 9), "method"]).select(*P.CONTEXT, "method", "place")
+
+
+@register(f"""WITH {BOARD_SQL}, near AS (SELECT {CTX}, arg_min(noise_deg, (abs(CAST(noise_deg AS DOUBLE) - 7.5), CAST(noise_deg AS DOUBLE))) AS noise_deg, arg_min(occlusion_prob, (abs(CAST(occlusion_prob AS DOUBLE) - 0.25), CAST(occlusion_prob AS DOUBLE))) AS occlusion_prob FROM board GROUP BY ALL)
+SELECT {CND}, method, round(err,6)+0.0 AS err FROM board JOIN near USING ({CND})""")
+def closest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the grid cell whose values are each nearest to (7.5, 0.25), of two as near the lesser."""
+    rows = board(spark, sf_dir)
+    return rounded(P.closest_cell(rows, {"noise_deg": 7.5, "occlusion_prob": 0.25}).select(*P.CONDITION, "method", "err"))
+
+
+@register("SELECT page_id, coalesce(nullif(left(trim(regexp_replace(regexp_replace(regexp_replace(url, '^.*/', ''), '\\.[^.]*$', ''), '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), 80), ''), 'segment') AS name, format('{:.3f}', round(page_id / 7.0::DOUBLE, 3)) AS shown FROM pages")
+def names_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names made of safe characters, and numbers with a fixed number of digits."""
+    from gyrolake.plans.bindings import table
+
+    return table(spark, sf_dir, "pages").select("page_id", P.safe_name(F.col("url")).alias("name"), P.number(F.col("page_id") / 7.0, 3).alias("shown"))

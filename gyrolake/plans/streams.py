@@ -301,8 +301,63 @@ def select_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.orderBy(F.when(F.lower("url").like("%.html"), 0).otherwise(1), F.lower("url"), "page_id").limit(25)
 
 
-@register()
+@register(f"""WITH s AS (SELECT DISTINCT user_id AS seq FROM events), r AS (SELECT seq, row_number() OVER (ORDER BY {u_sql('0', 'seq')}, seq) AS place, count(*) OVER () AS n FROM s), c AS (SELECT *, greatest(1, round_even(n*0.7, 0)) AS a, greatest(1, round_even(n*0.15, 0)) AS b FROM r)
+SELECT seq, CASE WHEN place <= a THEN 'train' WHEN place <= a + b THEN 'val' ELSE 'test' END AS split FROM c""")
 def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gyrolake.operators.splits import assign
 
     return assign(table(spark, sf_dir, "events").select(F.col("user_id").alias("seq")).distinct(), 0)
+
+
+@register(f"""WITH RECURSIVE {VECTORS_SQL}, u AS (SELECT seq, joint, t, {u_sql('6', 'seq', 'joint', 't')} AS u FROM vectors WHERE joint < 4),
+chain AS (SELECT seq, joint, t, u < 0.4 AS hidden FROM u WHERE t = 0 UNION ALL SELECT u.seq, u.joint, u.t, CASE WHEN c.hidden THEN u.u >= 0.08 ELSE u.u < {O.markov_rates(0.4, 0.08)[0]!r} END FROM chain c JOIN u ON u.seq = c.seq AND u.joint = c.joint AND u.t = c.t + 1)
+SELECT seq, joint, t, hidden FROM chain""")
+def markov_joint_occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of hidden and seen frames for each joint, with a given rate of coming back."""
+    return O.markov_hidden(vectors(spark, sf_dir).filter("joint < 4").select("seq", "joint", "t"), ["seq", "joint"], 0.4, 6, recovery=0.08)
+
+
+@register(f"WITH {CANDIDATES_SQL} SELECT {WINDOW_COLUMNS} FROM cand WHERE cand.motion >= 1.0 AND stop - start >= {LENGTH}")
+def windows_that_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole windows of at least a given motion."""
+    return window_columns(window_rows(spark, sf_dir).filter((F.col("motion") >= 1.0) & (F.col("stop") - F.col("start") >= LENGTH)))
+
+
+_GRID = ", ".join(f"({n}, {o})" for n in (5, 10, 20) for o in (0.0, 0.25, 0.5))
+_UNIT = ", ".join(f"{_n_sql('9', 'seq', 't', 'joint', str(k))} * radians(CAST(noise_deg AS DOUBLE)) AS n{k}" for k in range(3))
+GRID_SQL = POSES_SQL + f", grid(noise_deg, occlusion_prob) AS (VALUES {_GRID}), noise AS (SELECT noise_deg, occlusion_prob, seq, t, joint, {_UNIT}, t = 0 OR {u_sql('3', 'seq', 't', 'joint')} >= occlusion_prob AS mask, {', '.join(f'r{k}' for k in range(9))} FROM poses, grid)," + exp_sql("noise", "turned", ("n0", "n1", "n2"), "q") + ", measured AS (SELECT *, " + ", ".join(f"q{3 * i}*r{j} + q{3 * i + 1}*r{3 + j} + q{3 * i + 2}*r{6 + j} AS o{3 * i + j}" for i in range(3) for j in range(3)) + f" FROM turned), erred AS (SELECT *, degrees({dist_sql('o{k}', 'r{k}')}) AS err FROM measured)"
+
+
+def over_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of all poses under every noise and occlusion of a grid: (noise_deg, occlusion_prob, seq, t, joint, mask, err, ...)."""
+    grid = F.explode(F.array(*[F.struct(F.lit(n).alias("noise_deg"), F.lit(o).alias("occlusion_prob")) for n in (5, 10, 20) for o in (0.0, 0.25, 0.5)]))
+    key = [F.col("seq"), F.col("t"), F.col("joint")]
+    unit = poses(spark, sf_dir).withColumns({f"u{k}": R.normal(F.lit(9), *key, F.lit(k)) for k in range(3)}).withColumn("shown", R.uniform(F.lit(3), *key))
+    cells = unit.select("*", grid.alias("g")).select("*", "g.*").drop("g")
+    cells = cells.withColumns({f"n{k}": F.col(f"u{k}") * F.radians(F.col("noise_deg").cast("double")) for k in range(3)})
+    cells = R.with_exp(cells.withColumn("mask", (F.col("t") == 0) | (F.col("shown") >= F.col("occlusion_prob"))), ["n0", "n1", "n2"], "q")
+    cells = cells.withColumns(dict(zip(R.names("o"), R.matmul(R.cols("q"), R.cols("r")), strict=True)))
+    return cells.withColumn("err", F.degrees(R.geodesic(R.cols("o"), R.cols("r"))))
+
+
+@register(f"WITH {GRID_SQL}, per AS (SELECT noise_deg, occlusion_prob, seq, avg(CASE WHEN mask THEN err END) AS seen, avg(CAST(mask AS INTEGER)) AS share FROM erred GROUP BY ALL) SELECT noise_deg, CAST(occlusion_prob AS DOUBLE) AS occlusion_prob, round(avg(seen),5)+0.0 AS raw_error_deg, round(min(seen),5)+0.0 AS least, round(max(seen),5)+0.0 AS most, round(avg(share),6)+0.0 AS seen_share, count(*) AS sequences FROM per GROUP BY ALL")
+def grid_cell_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over sequences of each sequence's mean error, for every cell of a grid of noise and occlusion."""
+    per = over_grid(spark, sf_dir).groupBy("noise_deg", "occlusion_prob", "seq").agg(F.avg(F.when(F.col("mask"), F.col("err"))).alias("seen"), F.avg(F.col("mask").cast("int")).alias("share"))
+    five = lambda x, n: (F.round(x, 5) + 0.0).alias(n)
+    return per.groupBy("noise_deg", "occlusion_prob").agg(five(F.avg("seen"), "raw_error_deg"), five(F.min("seen"), "least"), five(F.max("seen"), "most"), r6(F.avg("share")).alias("seen_share"), F.count(F.lit(1)).alias("sequences"))
+
+
+_FAR = ", ".join(f"{_n_sql('31', 'seq', 't', 'joint', str(k))} * radians(greatest(45.0, 6 * 12.0)::DOUBLE) AS h{k}" for k in range(3))
+
+
+@register(f"WITH {MEASURED_SQL}, far AS (SELECT *, {_FAR} FROM erred)," + exp_sql("far", "spun", ("h0", "h1", "h2"), "w") + f", z AS (SELECT *, {', '.join(f'w{3 * i}*r{j} + w{3 * i + 1}*r{3 + j} + w{3 * i + 2}*r{6 + j} AS z{3 * i + j}' for i in range(3) for j in range(3))} FROM spun) SELECT seq, count(*) FILTER ({OUTLIER_SQL}) AS outliers, round(avg(CASE WHEN mask THEN CASE WHEN {OUTLIER_SQL} THEN degrees({dist_sql('z{k}', 'r{k}')}) ELSE err END END),5)+0.0 AS observed FROM z GROUP BY seq")
+def outlier_large_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seen joints replaced with probability 0.15 by the truth under a noise six times as large, at least 45 degrees."""
+    key = [F.col("seq"), F.col("t"), F.col("joint")]
+    out = (R.uniform(F.lit(13), *key) < 0.15) & F.col("mask")
+    far = measured(spark, sf_dir).withColumns({f"h{k}": R.normal(F.lit(31), *key, F.lit(k)) * F.radians(F.lit(max(45.0, 6 * 12.0))) for k in range(3)})
+    far = R.with_exp(far, ["h0", "h1", "h2"], "w")
+    far = far.withColumns(dict(zip(R.names("z"), R.matmul(R.cols("w"), R.cols("r")), strict=True)))
+    err = F.when(out, F.degrees(R.geodesic(R.cols("z"), R.cols("r")))).otherwise(F.col("err"))
+    return far.groupBy("seq").agg(F.count_if(out).alias("outliers"), (F.round(F.avg(F.when(F.col("mask"), err)), 5) + 0.0).alias("observed"))
