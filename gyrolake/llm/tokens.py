@@ -14,6 +14,7 @@ from functools import lru_cache
 
 #: Characters for which lower-casing, NFC and the classes of the two regex engines agree.
 UNSURE = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]")
+SURE_ASCII = bytes([9, 10, 13, *range(32, 127)])
 PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-z0-9à-öø-ÿß]+")
 BLANK = re.compile("[\t\n\r\x20]+")
 CACHE_ENTRIES = 1_000_000  # then a worker's cache starts anew
@@ -41,6 +42,11 @@ class _Cache(dict):
         return value
 
 
+def unsure(text: str) -> bool:
+    """Whether a text holds a character outside the sure ones."""
+    return bool(text.encode().translate(None, SURE_ASCII)) if text.isascii() else UNSURE.search(text) is not None
+
+
 class Encoder:
     """``ids(text)``: little-endian uint32 token ids as bytes, without added special tokens."""
 
@@ -59,7 +65,7 @@ class Encoder:
         return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
 
     def _chunk(self, chunk: str) -> bytes:
-        if UNSURE.search(chunk):
+        if unsure(chunk):
             return self.whole(chunk)
         return b"".join(map(self.pretokens.__getitem__, PRETOKENS.findall(chunk)))
 
@@ -67,9 +73,9 @@ class Encoder:
         """The chunks whose ids make up the text's, sure ones in lower case; None for a text with a special token's string."""
         if any(s in text for s in self.specials):
             return None
-        if not UNSURE.search(text):
+        if not unsure(text):
             return text.lower().split()
-        return [c if UNSURE.search(c) else c.lower() for c in BLANK.split(text) if c]
+        return [c if unsure(c) else c.lower() for c in BLANK.split(text) if c]
 
     def whole(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.library.encode(text, add_special_tokens=False).ids)

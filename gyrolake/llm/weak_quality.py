@@ -12,6 +12,7 @@ document.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,9 +34,13 @@ WORD_CACHE = 1_000_000
 LABELLERS = ("length", "symbols", "capitals", "lines", "variety", "function_words", "sentences")
 STOP = frozenset("the of and to in is that it for as with was on be by le la les de des et un une que qui dans en du au el los las y que su con por para der die das und in den von zu mit ist ein eine für".encode().split())
 NO_WORDS = "-1,0,0,0,0,0,0"
-SYMBOLS = re.compile(rb"[#*$%&|<>]")
-CAPITALS = re.compile(rb"[A-Z]")
-ENDS = re.compile(rb"[.!?]\s")
+SYMBOLS = b"#*$%&|<>"
+CAPITALS = bytes(range(65, 91))
+#: For the ends of sentences: all marks as a point, all white space as a blank.
+ENDS = bytes.maketrans(b"!?\t\n\r\x0b\x0c", b"..     ")
+#: A byte's class: small letters and bytes beyond ASCII, capitals, digits; others as they are.
+CLASSES = bytes(97 if 97 <= c < 123 or c >= 128 else 65 if 65 <= c < 91 else 57 if 48 <= c < 58 else c for c in range(256))
+RUN = re.compile(rb"(.)\1+")
 
 
 def votes(text: str | None) -> list[int]:
@@ -49,15 +54,16 @@ def votes(text: str | None) -> list[int]:
     lines = [x for x in b.split(b"\n") if x.strip()]
     rate = lambda x, good, bad: 1 if x <= good else -1 if x >= bad else 0
     few = n < 50
-    stop = sum(x.lower() in STOP for x in w) / n
+    stop = sum(map(STOP.__contains__, b.lower().split())) / n
+    count = lambda chars: len(b) - len(b.translate(None, chars))
     return [
         -1 if n < 20 else 1 if n >= 60 else 0,
-        rate(len(SYMBOLS.findall(b)) / n, 0.02, 0.2),
-        rate(len(CAPITALS.findall(b)) / chars, 0.06, 0.3),
+        rate(count(SYMBOLS) / n, 0.02, 0.2),
+        rate(count(CAPITALS) / chars, 0.06, 0.3),
         rate(1 - len(set(lines)) / len(lines), 0.0, 0.3) if len(lines) > 3 else 0,
         0 if few else rate(1 - len(set(w)) / n, 0.6, 0.8),
         0 if few else rate(-stop, -0.1, -0.02),
-        0 if few else rate(n / (1 + len(ENDS.findall(b))), 30, 80),
+        0 if few else rate(n / (1 + b.translate(ENDS).count(b". ")), 30, 80),
     ]
 
 
@@ -86,8 +92,11 @@ def posteriors(patterns: dict[str, int]) -> tuple[dict[str, float], list[tuple[f
 
 def shape(word: bytes) -> bytes:
     """A word's classes of characters, runs made one: ``Don't,`` is ``Aa'a,``."""
-    kind = re.sub(rb"[a-z\x80-\xff]+", b"a", re.sub(rb"[A-Z]", b"A", word.replace(b"a", b"b")))
-    return re.sub(rb"(.)\1+", rb"\1\1", re.sub(rb"[0-9]+", b"9", kind))[:12]
+    kind = word.translate(CLASSES)
+    for one in (b"a", b"9"):
+        while one + one in kind:
+            kind = kind.replace(one + one, one)
+    return RUN.sub(rb"\1\1", kind)[:12]
 
 
 def buckets(word: bytes) -> tuple[int, int]:
@@ -111,6 +120,12 @@ def _bucket_cache() -> _Cached:
     return _Cached(buckets)
 
 
+@lru_cache(maxsize=1)
+def _word_worth(model: str) -> _Cached:
+    """A worker's words and their share in the score of one model."""
+    return _Cached(None)
+
+
 def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [",".join(map(str, votes(t.as_py()))) for t in batch.column(3)]
@@ -187,11 +202,12 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_i
     chosen = voted.filter((F.col("votes") != NO_WORDS) & drawn).join(F.broadcast(table), "votes").select("k1", "k2", "p").dropDuplicates(["k1", "k2"])
     chosen = staged(chosen, "chosen")  # about train_rows rows of 24 bytes
     weights = train(base.join(F.broadcast(chosen), ["k1", "k2"]).dropDuplicates(["k1", "k2"]))
-    shared = spark.sparkContext.broadcast(weights)
+    shared, model = spark.sparkContext.broadcast(weights.tolist()), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        worth = _Cached(lambda x: sum(w[b] for b in buckets(x)))
+        worth = _word_worth(model)
+        worth.make = lambda x: sum(w[b] for b in buckets(x))
         for batch in batches:
             n_words, scores = [], []
             for text in batch.column(1):
