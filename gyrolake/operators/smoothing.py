@@ -40,36 +40,59 @@ def chordal(measured: DataFrame, width: int = 5) -> DataFrame:
     return projected(held, "s")
 
 
-def _per_joint(measured: DataFrame, smooth) -> DataFrame:
+def _per_sequence(measured: DataFrame, smooth) -> DataFrame:
+    """Applies ``smooth`` to a sequence's observations [T, J, 3, 3] and mask [T, J]; rows that are not there are hidden."""
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        e = smooth(rows[[f"o{k}" for k in range(9)]].to_numpy().reshape(-1, 3, 3), rows["mask"].to_numpy(bool))
-        told = pd.DataFrame(e.reshape(-1, 9), columns=R.names("e"))
+        times, t = np.unique(rows["t"].to_numpy(), return_inverse=True)
+        joints, j = np.unique(rows["joint"].to_numpy(), return_inverse=True)
+        o, mask = np.broadcast_to(np.eye(3), (len(times), len(joints), 3, 3)).copy(), np.zeros((len(times), len(joints)), bool)
+        o[t, j] = rows[[f"o{k}" for k in range(9)]].to_numpy().reshape(-1, 3, 3)
+        mask[t, j] = rows["mask"].to_numpy(bool)
+        told = pd.DataFrame(smooth(o, mask)[t, j].reshape(-1, 9), columns=R.names("e"))
         told.insert(0, "t", rows["t"].to_numpy())
-        told.insert(0, "joint", key[1])
+        told.insert(0, "joint", rows["joint"].to_numpy())
         told.insert(0, "seq", key[0])
         return told
 
-    return measured.select("seq", "joint", "t", "mask", *[f"o{k}" for k in range(9)]).groupBy("seq", "joint").applyInPandas(run, OUT)
+    return measured.select("seq", "joint", "t", "mask", *[f"o{k}" for k in range(9)]).groupBy("seq").applyInPandas(run, OUT)
 
 
 def savgol(measured: DataFrame, width: int = 7, degree: int = 2) -> DataFrame:
-    """A polynomial through the visible tangents of a centred window, at the frame; with too few, a lower degree."""
+    """A polynomial through the visible tangents of a centred window, at the frame; with too few, a lower degree.
 
-    def smooth(o: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        out, last = [], np.eye(3)
-        for t in range(len(o)):
-            near = np.arange(max(0, t - width // 2), min(len(o), t + width // 2 + 1))
-            near = near[mask[near]]
-            if len(near):
-                base = o[near[np.abs(near - t).argmin()]]
-                tangent = K.log(o[near] @ base.T)
-                powers = np.vander(near - t, min(degree, len(near) - 1) + 1, increasing=True)
-                last = K.exp(np.linalg.lstsq(powers.astype(float), tangent, rcond=None)[0][0]) @ base
-            out.append(last)
-        return np.stack(out)
+    The value at the frame is a fixed sum of the tangents for each pattern of visible
+    frames, so all frames and joints of a sequence are done at once.
+    """
+    half = width // 2
+    offsets = np.arange(-half, half + 1)
 
-    return _per_joint(measured, smooth)
+    def weights(seen: np.ndarray) -> np.ndarray:
+        out, near = np.zeros(width), offsets[seen]
+        if len(near):
+            out[seen] = np.linalg.pinv(np.vander(near, min(degree, len(near) - 1) + 1, increasing=True).astype(float))[0]
+        return out
+
+    def smooth(o: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        frames, joints = mask.shape
+        at = np.arange(frames)[:, None] + offsets
+        inside = (at >= 0) & (at < frames)
+        at = at.clip(0, frames - 1)
+        seen = (mask[at] & inside[:, :, None]).transpose(0, 2, 1).reshape(-1, width)
+        near = o[at].transpose(0, 2, 1, 3, 4).reshape(-1, width, 3, 3)
+        base = near[np.arange(len(near)), np.where(seen, np.abs(offsets), width).argmin(axis=1)]
+        patterns, which = np.unique(seen, axis=0, return_inverse=True)
+        rows = np.stack([weights(x) for x in patterns])[which.ravel()]
+        tangent = K.log(near @ np.swapaxes(base, -1, -2)[:, None])
+        value = K.exp((rows[:, :, None] * np.where(seen[:, :, None], tangent, 0.0)).sum(axis=1)) @ base
+        value = value.reshape(frames, joints, 3, 3)
+        known = seen.any(axis=1).reshape(frames, joints)
+        last = np.maximum.accumulate(np.where(known, np.arange(frames)[:, None], -1), axis=0)
+        held = value[last.clip(0), np.arange(joints)]
+        held[last < 0] = np.eye(3)
+        return held
+
+    return _per_sequence(measured, smooth)
 
 
 def ema(measured: DataFrame, alpha: float = 0.35) -> DataFrame:
@@ -78,14 +101,15 @@ def ema(measured: DataFrame, alpha: float = 0.35) -> DataFrame:
         raise ValueError("alpha must be in (0, 1]")
 
     def smooth(o: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        out, state = [], None
-        for x, seen in zip(o, mask, strict=True):
-            if seen:
-                state = x if state is None else K.exp(alpha * K.log(x @ state.T)) @ state
-            out.append(np.eye(3) if state is None else state)
-        return np.stack(out)
-
-    return _per_joint(measured, smooth)
+        out, state, started = np.empty_like(o), np.broadcast_to(np.eye(3), o.shape[1:]).copy(), np.zeros(o.shape[1], bool)
+        for t in range(len(o)):
+            moved = K.exp(alpha * K.log(o[t] @ np.swapaxes(state, -1, -2))) @ state
+            state = np.where(mask[t][:, None, None], np.where(started[:, None, None], moved, o[t]), state)
+            started |= mask[t]
+            out[t] = state
+        return out
+
+    return _per_sequence(measured, smooth)
 
 
 def ridge(pairs: DataFrame, features: str, targets: str, penalty: float = 1e-3) -> np.ndarray:

@@ -1,32 +1,38 @@
 """The tables of the test data as poses, detector streams and metric rows, in Spark and as SQL.
 
-Poses: each label of ``embeddings`` is a sequence, its vectors in order of id are frames,
-and 63 of the 64 numbers are the axis-angle vectors of 21 joints, scaled by label so that
-slow and fast sequences occur. Detector stream: each user of ``events`` is a sequence,
+Poses: each label of ``embeddings`` within a block of BLOCK ids is a sequence (label + 10 x
+block), its vectors in order of id are frames, and 63 of the 64 numbers are the axis-angle
+vectors of 21 joints, scaled by label so that slow and fast sequences occur. A sequence has
+about 64 frames whatever the table's size; their number grows. Detector stream: each user of ``events`` is a sequence,
 errors are hidden frames, the JSON number is the confidence in percent. Metric rows: order
 lines as results of methods under conditions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gyrolake.functions import rotations as R
 
 JOINTS = 21
+BLOCK = 640  # ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sequence() -> Column:
+    return (F.col("label") + 10 * F.floor(F.col("vec_id") / BLOCK)).cast("int")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, t, joint, x, y, z)."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("seq"), "embedding")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", sequence().alias("seq"), "label", "embedding")
     t = F.row_number().over(Window.partitionBy("seq").orderBy("vec_id")) - 1
-    joint = e.withColumn("t", t).select("seq", "t", "embedding", F.explode(F.sequence(F.lit(0), F.lit(JOINTS - 1))).alias("joint"))
-    scale = F.lit(0.02) * (F.col("seq") + 1)
+    joint = e.withColumn("t", t).select("seq", "t", "label", "embedding", F.explode(F.sequence(F.lit(0), F.lit(JOINTS - 1))).alias("joint"))
+    scale = F.lit(0.02) * (F.col("label") + 1)
     part = lambda k: F.get("embedding", F.col("joint") * 3 + k).cast("double") * scale
     return joint.select("seq", "t", "joint", part(0).alias("x"), part(1).alias("y"), part(2).alias("z"))
 
@@ -78,8 +84,9 @@ def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-VECTORS_SQL = """
-frames AS (SELECT label AS seq, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS t, embedding, CAST(0.02 AS DOUBLE) * (label + 1) AS scale FROM embeddings),
+VECTORS_SQL = f"""
+named AS (SELECT CAST(label + 10 * (vec_id // {BLOCK}) AS INTEGER) AS seq, vec_id, label, embedding FROM embeddings),
+frames AS (SELECT seq, CAST(row_number() OVER (PARTITION BY seq ORDER BY vec_id) - 1 AS INTEGER) AS t, embedding, CAST(0.02 AS DOUBLE) * (label + 1) AS scale FROM named),
 vectors AS (SELECT seq, t, CAST(j AS INTEGER) AS joint, CAST(embedding[3 * j + 1] AS DOUBLE) * scale AS x, CAST(embedding[3 * j + 2] AS DOUBLE) * scale AS y, CAST(embedding[3 * j + 3] AS DOUBLE) * scale AS z FROM frames, range(21) g(j))
 """
 

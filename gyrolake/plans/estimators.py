@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from gyrolake.functions import rotations as R
 from gyrolake.operators import particle_filter as P
 from gyrolake.operators import smoothing as S
 from gyrolake.plans.bindings import poses
+from gyrolake.plans.staging import staged
 from gyrolake.plans.streams import measured
 
 QUERIES: dict = {}
@@ -19,9 +22,10 @@ def register(f):
     return f
 
 
-def scored(spark: SparkSession, sf_dir: str, estimates: DataFrame) -> DataFrame:
-    """Mean error of the estimates beside that of the observations, per sequence."""
-    truth = measured(spark, sf_dir).select("seq", "t", "joint", "mask", *R.names("r"), "err")
+def scored(spark: SparkSession, sf_dir: str, estimate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Mean error of the estimates beside that of the observations, per sequence; the measurements are made once."""
+    known = staged(measured(spark, sf_dir).select("seq", "t", "joint", "mask", "confidence", "err", *R.names("r"), *R.names("o")), "measured")
+    truth, estimates = known.select("seq", "t", "joint", "mask", *R.names("r"), "err"), estimate(known)
     error = F.degrees(R.geodesic(R.cols("e"), R.cols("r")))
     both = estimates.join(truth, ["seq", "t", "joint"])
     return both.groupBy("seq").agg(F.avg(error).alias("error_deg"), F.avg(F.when(F.col("mask"), F.col("err"))).alias("observed_deg"), F.avg(F.when(~F.col("mask"), error)).alias("occluded_deg"))
@@ -29,27 +33,27 @@ def scored(spark: SparkSession, sf_dir: str, estimates: DataFrame) -> DataFrame:
 
 @register
 def particle_filter_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir, P.run_filter(measured(spark, sf_dir), P.Options(blocks="global")))
+    return scored(spark, sf_dir, lambda m: P.run_filter(m, P.Options(blocks="global")))
 
 
 @register
 def particle_filter_factorized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir, P.run_filter(measured(spark, sf_dir), P.Options(shared_resampling=True)))
+    return scored(spark, sf_dir, lambda m: P.run_filter(m, P.Options(shared_resampling=True)))
 
 
 @register
 def particle_filter_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir, P.run_filter(measured(spark, sf_dir), P.Options()))
+    return scored(spark, sf_dir, lambda m: P.run_filter(m, P.Options()))
 
 
 @register
 def particle_filter_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir, P.run_filter(measured(spark, sf_dir), P.Options(blocks="contiguous", outlier=0.05)))
+    return scored(spark, sf_dir, lambda m: P.run_filter(m, P.Options(blocks="contiguous", outlier=0.05)))
 
 
 @register
 def particle_filter_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir, P.run_filter(measured(spark, sf_dir), P.Options(velocity=True)))
+    return scored(spark, sf_dir, lambda m: P.run_filter(m, P.Options(velocity=True)))
 
 
 @register
@@ -59,17 +63,17 @@ def filter_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def chordal_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir, S.chordal(measured(spark, sf_dir)))
+    return scored(spark, sf_dir, S.chordal)
 
 
 @register
 def savgol_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir, S.savgol(measured(spark, sf_dir)))
+    return scored(spark, sf_dir, S.savgol)
 
 
 @register
 def ema_smoother(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir, S.ema(measured(spark, sf_dir)))
+    return scored(spark, sf_dir, S.ema)
 
 
 @register

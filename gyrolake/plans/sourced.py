@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gyrolake.functions import rotations as R
-from gyrolake.plans.bindings import METRICS_SQL, VECTORS_SQL, exp_sql, metric_rows, table
+from gyrolake.plans.bindings import METRICS_SQL, VECTORS_SQL, exp_sql, metric_rows, sequence, table
 from gyrolake.plans.geometry import r6
 from gyrolake.plans.reports import BASED_SQL, CND, board
 from gyrolake.plans.staging import shared_dir
@@ -34,8 +34,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, a): each sequence's frames in order, lists of 63 numbers."""
-    e = table(spark, sf_dir, "embeddings").withColumn("seq", F.col("label"))
-    numbers = F.transform(F.slice("embedding", 1, NUMBERS), lambda x: x.cast("double") * (F.lit(0.02) * (F.col("seq") + 1)))
+    e = table(spark, sf_dir, "embeddings").withColumn("seq", sequence())
+    numbers = F.transform(F.slice("embedding", 1, NUMBERS), lambda x: x.cast("double") * (F.lit(0.02) * (F.col("label") + 1)))
     held = e.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("vec_id", numbers.alias("a")))).alias("f"))
     return held.select("seq", F.transform("f", lambda x: x["a"]).alias("a"))
 
@@ -43,7 +43,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written(rows: DataFrame, name: str) -> str:
     """The folder in which each row of ``rows`` (file, ...) is a JSON file named by the column file."""
     path = new_folder(rows.sparkSession, name)
-    rows.repartition("file").write.partitionBy("file").json(path)
+    rows.withColumn("file", F.when(F.col("file").cast("string").rlike("^[0-9]+$"), F.lpad(F.col("file").cast("string"), 9, "0")).otherwise(F.col("file").cast("string"))).repartition("file").write.partitionBy("file").json(path)
     return path
 
 
@@ -91,14 +91,14 @@ def detector_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = joints.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("t", F.transform("j", lambda x: x["m"]).alias("m")))).alias("f"))
     sigma = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda j: 2.0 + j)
     path = written(held.select(F.col("seq").alias("file"), F.transform("f", lambda x: x["m"]).alias("pred_rotmats"), sigma.alias("joint_sigma_deg")), "detector")
-    rows = M.load_measurements(spark, path, M.Import(joints=21))
+    rows = M.load_measurements(spark, path, M.Import(joints=21)).withColumn("seq", F.col("seq").cast("int"))
     truth = [1.0 if k % 4 == 0 else 0.0 for k in range(9)]
-    back = rows.join(R.with_exp(v, ["x", "y", "z"], "w").select(F.col("seq").cast("string").alias("seq"), "t", "joint", *R.names("w")), ["seq", "t", "joint"])
+    back = rows.join(R.with_exp(v, ["x", "y", "z"], "w").select("seq", "t", "joint", *R.names("w")), ["seq", "t", "joint"])
     still = F.forall(F.array(*[F.abs(F.col(f"r{k}") - truth[k]) for k in range(9)]), lambda x: x < 1e-12)
     return shown(back.withColumns({f"r{k}": F.when(~F.col("mask") & still, F.col(f"w{k}")).otherwise(F.col(f"r{k}")) for k in range(9)}))
 
 
-@register("WITH n AS (SELECT label AS seq, count(*) AS n FROM embeddings GROUP BY 1) SELECT seq, CASE WHEN seq = 4 THEN 'no usable pose' WHEN seq = 5 THEN 'confidence outside 0 to 1' WHEN seq = 6 THEN 'noise not above zero' END AS problem, CASE WHEN seq NOT IN (4, 5, 6) THEN CAST(n AS INTEGER) END AS n, CASE WHEN seq NOT IN (4, 5, 6) THEN round(CASE WHEN seq = 7 THEN 0.125 WHEN seq = 8 THEN radians(4.0::DOUBLE) ELSE radians(10.0::DOUBLE) END,6) + 0.0 END AS noise_sigma_rad FROM n")
+@register(f"WITH {VECTORS_SQL}, n AS (SELECT seq, count(*) AS n FROM frames GROUP BY 1) SELECT seq, CASE WHEN seq = 4 THEN 'no usable pose' WHEN seq = 5 THEN 'confidence outside 0 to 1' WHEN seq = 6 THEN 'noise not above zero' END AS problem, CASE WHEN seq NOT IN (4, 5, 6) THEN CAST(n AS INTEGER) END AS n, CASE WHEN seq NOT IN (4, 5, 6) THEN round(CASE WHEN seq = 7 THEN 0.125 WHEN seq = 8 THEN radians(4.0::DOUBLE) ELSE radians(10.0::DOUBLE) END,6) + 0.0 END AS noise_sigma_rad FROM n")
 def detector_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that cannot be used are rows with their reason; the noise of the others is their own or the usual one."""
     f = frames(spark, sf_dir)
@@ -133,7 +133,7 @@ def motion_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("seq").cast("int").alias("seq"), "t", "joint", r6("x").alias("x"), r6("y").alias("y"), r6("z").alias("z"))
 
 
-@register("SELECT label AS seq, round(CASE WHEN label % 3 = 0 THEN 50.0 WHEN label % 3 = 1 THEN 60.0 ELSE 25.0 END,6)+0.0 AS fps, CAST(count(*) AS INTEGER) AS source_frames, CASE WHEN label = 2 THEN 30 ELSE 66 END AS numbers, count(*) >= 45 AND label <> 2 AS valid FROM embeddings GROUP BY label")
+@register(f"WITH {VECTORS_SQL} SELECT seq, round(CASE WHEN seq % 3 = 0 THEN 50.0 WHEN seq % 3 = 1 THEN 60.0 ELSE 25.0 END,6)+0.0 AS fps, CAST(count(*) AS INTEGER) AS source_frames, CASE WHEN seq = 2 THEN 30 ELSE 66 END AS numbers, count(*) >= 45 AND seq <> 2 AS valid FROM frames GROUP BY seq")
 def motion_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates by the first of their keys, and whether a file's table is large enough."""
     rooted = F.transform("a", lambda f: F.when(F.col("seq") == 2, F.slice(f, 1, 30)).otherwise(F.concat(F.array_repeat(F.lit(9.0), 3), f)))
@@ -150,10 +150,11 @@ def hmr_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = lambda sign: F.struct(F.transform("a", lambda x: F.transform(x, lambda v: v * sign)).alias("body_pose"))
     score = of_frame(F.col("a"), lambda t: F.array_repeat(F.array(F.lit(0.1), F.lit(0.2), F.lit(0.75)), 21))
     track = F.struct(params(1.0).alias("smpl_params_global"), params(-1.0).alias("smpl_params_incam"), score.alias("keypoint_scores"), F.lit(40.0).alias("fps"))
-    one = [F.any_value(F.when(F.col("seq") == k, track), F.lit(True)).alias(str(k)) for k in range(10)]
-    path = written(f.groupBy((F.col("seq") % 3).alias("file")).agg(*one), "tracks")
+    one = [F.any_value(F.when(F.col("seq") % 10 == k, track), F.lit(True)).alias(str(k)) for k in range(10)]
+    path = written(f.groupBy((F.floor(F.col("seq") / 10) * 3 + F.col("seq") % 10 % 3).cast("int").alias("file")).agg(*one), "tracks")
     rows = M.measurements(M.usable(K.tracks(spark, path, M.Import())), M.Import())
-    return shown(rows.withColumn("seq", F.element_at(F.split("seq", "_"), -1)))
+    parts = F.split("seq", "_")
+    return shown(rows.withColumn("seq", F.floor(parts[0].cast("int") / 3) * 10 + parts[1].cast("int")))
 
 
 # --- report files -------------------------------------------------------------------------------
@@ -235,7 +236,7 @@ def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read_csv(spark, path)
 
 
-@register("SELECT label AS seq, count(*) AS frames, round(avg(CAST(embedding[1] AS DOUBLE) * (CAST(0.02 AS DOUBLE) * (label + 1))),6)+0.0 AS mean_x FROM embeddings GROUP BY label")
+@register(f"WITH {VECTORS_SQL} SELECT seq, count(*) AS frames, round(avg(x),6)+0.0 AS mean_x FROM vectors WHERE joint = 0 GROUP BY seq")
 def bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements saved by sequence and read again."""
     path = written(frames(spark, sf_dir).select(F.col("seq").alias("file"), F.col("a").alias("poses")), "detector")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gyrolake.functions import rotations as R
 from gyrolake.operators import filtering as O
 from gyrolake.operators import windows as N
-from gyrolake.plans.bindings import DETECTIONS_SQL, POSES_SQL, VECTORS_SQL, detections, dist_sql, exp_sql, poses, table, vectors
+from gyrolake.plans.bindings import DETECTIONS_SQL, POSES_SQL, VECTORS_SQL, detections, dist_sql, exp_sql, poses, sequence, table, vectors
 from gyrolake.plans.geometry import STEPS_SQL, STEP, ordered, r6, stepped
 
 QUERIES: dict = {}
@@ -192,9 +192,9 @@ def detector_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.filter("frames >= 2")
 
 
-@register(f"WITH {DETECTIONS_SQL} SELECT DISTINCT seq FROM detections WHERE seq NOT IN (SELECT label FROM embeddings)")
+@register(f"WITH {DETECTIONS_SQL}, {VECTORS_SQL} SELECT DISTINCT seq FROM detections WHERE seq NOT IN (SELECT seq FROM frames)")
 def detector_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "embeddings").select(F.col("label").alias("seq"))
+    known = table(spark, sf_dir, "embeddings").select(sequence().alias("seq"))
     return detections(spark, sf_dir).select("seq").distinct().join(known, "seq", "left_anti")
 
 

@@ -124,3 +124,52 @@ def test_ridge_recovers_a_linear_map(spark):
 def test_splits_and_rates():
     assert splits.counts(10, 0.7, 0.15) == (7, 2) and sum(splits.counts(3, 0.7, 0.15)) == 2
     assert markov_rates(0) == (0.0, 1.0) and markov_rates(1) == (1.0, 0.0) and markov_rates(0.5) == (0.25, 0.25)
+
+
+def test_savgol_against_one_fit_a_frame(spark):
+    rng = np.random.default_rng(5)
+    o = K.exp(np.cumsum(rng.normal(0, 0.1, (23, 2, 3)), axis=0))
+    mask = rng.random((23, 2)) > 0.45
+    rows = [(3, t, j, *map(float, o[t, j].reshape(-1)), bool(mask[t, j])) for t in range(23) for j in range(2)]
+    df = spark.createDataFrame(rows, "seq long, t int, joint int, " + ", ".join(f"o{k} double" for k in range(9)) + ", mask boolean")
+    got = {(r.t, r.joint): np.array([r[f"e{k}"] for k in range(9)]).reshape(3, 3) for r in S.savgol(df).collect()}
+    for j in range(2):
+        last = np.eye(3)
+        for t in range(23):
+            near = [k for k in range(max(0, t - 3), min(23, t + 4)) if mask[k, j]]
+            if near:
+                base = o[min(near, key=lambda k: (abs(k - t), k)), j]
+                powers = np.vander(np.array(near) - t, min(2, len(near) - 1) + 1, increasing=True).astype(float)
+                last = K.exp(np.linalg.lstsq(powers, K.log(o[near, j] @ base.T), rcond=None)[0][0]) @ base
+            assert np.allclose(got[t, j], last, atol=1e-9), (t, j)
+
+
+def test_estimators_of_the_whole_table(spark):
+    from gyrolake.plans import estimators
+
+    sf = "/root/testdata/sf0.01"
+    for name in ("particle_filter_partitioned", "particle_filter_factorized", "chordal_smoother", "savgol_smoother", "ema_smoother"):
+        rows = estimators.QUERIES[name][0](spark, sf).collect()
+        assert sorted(r.seq for r in rows) == list(range(10))
+        assert all(0 < r.error_deg < 180 and 0 < r.observed_deg < 180 and 0 < r.occluded_deg < 180 for r in rows)
+        assert name.startswith("ema") or sum(r.error_deg for r in rows) < sum(r.observed_deg for r in rows) * 3
+    for r in estimators.filter_diagnostics(spark, sf).collect():
+        assert 1 <= r.min_ess <= r.mean_ess <= P.Options().particles + 1e-6 and r.min_ess <= r.final_ess and 0 <= r.collapse_fraction <= 1
+
+
+def test_learned_delta_against_numpy(spark):
+    from gyrolake.plans import estimators
+    from gyrolake.plans.bindings import vectors as pose_vectors
+
+    rows = pose_vectors(spark, "/root/testdata/sf0.01").toPandas().sort_values(["seq", "t", "joint"])
+    x, y = [], []
+    for _, own in rows.groupby("seq"):
+        v = K.log(K.exp(own[["x", "y", "z"]].to_numpy().reshape(-1, 21, 3))).reshape(-1, 63)
+        x.append(v[:-1])
+        y.append(v[1:] - v[:-1])
+    x, y = np.concatenate(x), np.concatenate(y)
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    cost = 1e-3 * np.eye(64)
+    cost[-1, -1] = 0
+    got = np.array([r.weights for r in estimators.learned_delta_fit(spark, "/root/testdata/sf0.01").orderBy("feature").collect()])
+    assert np.allclose(got, np.linalg.solve(x.T @ x + cost, x.T @ y), atol=1e-6)
