@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,10 @@ class Options:
 
     ``shared_resampling`` gives every block the same ancestors, drawn by the mean weights.
     ``outlier`` mixes a floor into the likelihood, ``gain`` pulls predictions to what is seen,
-    ``velocity`` repeats the last step instead of standing still.
+    ``velocity`` repeats the last step instead of standing still. ``drift`` and ``spread`` are a
+    fitted model's mean step and its standard deviation, three numbers a joint in order of the
+    joints; without them particles stand still under ``noise``. With ``slow``, an angle,
+    particles whose last step was shorter, or that made none yet, stand still.
     """
 
     particles: int = 128
@@ -41,9 +44,19 @@ class Options:
     shared_resampling: bool = False
     outlier: float = 0.0
     velocity: bool = False
+    drift: tuple[float, ...] = ()
+    spread: tuple[float, ...] = ()
+    slow: float | None = None
     seed: int = 0
 
 
+def fitted(options: Options, fit: DataFrame, slow: float | None = None) -> Options:
+    """``options`` with the model of ``fit`` (joint, std0..2 and, if it drifts, mean0..2), one row a joint."""
+    rows = sorted(fit.collect(), key=lambda r: r.joint)
+    numbers = lambda name: tuple(float(r[f"{name}{k}"]) for r in rows for k in range(3)) if f"{name}0" in fit.columns else ()
+    return replace(options, drift=numbers("mean"), spread=numbers("std"), slow=slow)
+
+
 def partition(kind: str, joints: int) -> list[np.ndarray]:
     sizes = {"global": joints, "joint": 1, "contiguous": 4}
     if kind not in sizes:
@@ -63,7 +76,7 @@ def step(state: dict | None, observed: np.ndarray, mask: np.ndarray, confidence:
     joints, n = len(observed), o.particles
     c = np.where(mask, confidence, 0.0)
     parts = partition(o.blocks, joints)
-    noise = K.exp(rng.normal(0, o.noise, (n, joints, 3)))
+    noise = K.exp(rng.normal(0, np.reshape(o.spread, (joints, 3)) if o.spread else o.noise, (n, joints, 3)))
     if state is None:
         start = np.where((c > 0)[:, None, None], observed, np.eye(3))
         x, last, lw = K.exp(rng.normal(0, max(0.25 * o.sigma, 1e-6), (n, joints, 3))) @ start, None, np.zeros((len(parts), n))
@@ -71,6 +84,10 @@ def step(state: dict | None, observed: np.ndarray, mask: np.ndarray, confidence:
         x, last, lw = state["x"], state["last"], state["lw"]
         # products of products drift off the rotations, so a repeated step is projected back
         moved = K.project((x @ np.swapaxes(last, -1, -2)) @ x) if o.velocity and last is not None else x
+        if o.drift:
+            drifted = K.exp(np.reshape(o.drift, (joints, 3))) @ moved
+            still = np.zeros(n, bool) if o.slow is None else np.ones(n, bool) if last is None else K.angle(x, last).mean(axis=1) < o.slow
+            moved = np.where(still[:, None, None, None], moved, drifted)
         last, x = x, noise @ moved
     if o.gain > 0:
         x = K.exp(o.gain * c[None, :, None] * K.log(observed @ np.swapaxes(x, -1, -2))) @ x

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from gyrolake.functions import rotations as R
 from gyrolake.operators import particle_filter as P
 from gyrolake.operators import smoothing as S
+from gyrolake.operators import transitions
 from gyrolake.plans.bindings import poses
+from gyrolake.plans.geometry import deltas
 from gyrolake.plans.staging import staged
 from gyrolake.plans.streams import measured
 
@@ -56,6 +59,27 @@ def particle_filter_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir, lambda m: P.run_filter(m, P.Options(velocity=True)))
 
 
+@register
+def particle_filter_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Particles that move as the random walk fitted to the poses does."""
+    options = P.fitted(P.Options(), transitions.fit_random_walk(deltas(spark, sf_dir), cap_deg=10.0))
+    return scored(spark, sf_dir, lambda m: P.run_filter(m, options))
+
+
+@register
+def particle_filter_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, standing still after a step of less than 1.5 degrees."""
+    options = P.fitted(P.Options(), transitions.fit_random_walk(deltas(spark, sf_dir), cap_deg=10.0), math.radians(1.5))
+    return scored(spark, sf_dir, lambda m: P.run_filter(m, options))
+
+
+@register
+def particle_filter_second_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Particles that repeat their last step under the spread of the poses' second differences."""
+    options = P.fitted(P.Options(velocity=True), transitions.fit_constant_velocity(deltas(spark, sf_dir), cap_deg=10.0))
+    return scored(spark, sf_dir, lambda m: P.run_filter(m, options))
+
+
 @register
 def filter_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.diagnostics(P.run_filter(measured(spark, sf_dir), P.Options()), P.Options().particles)

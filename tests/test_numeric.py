@@ -148,7 +148,7 @@ def test_estimators_of_the_whole_table(spark):
     from gyrolake.plans import estimators
 
     sf = "/root/testdata/sf0.01"
-    for name in ("particle_filter_partitioned", "particle_filter_factorized", "chordal_smoother", "savgol_smoother", "ema_smoother"):
+    for name in ("particle_filter_partitioned", "particle_filter_factorized", "particle_filter_fitted", "particle_filter_adaptive", "particle_filter_second_differences", "chordal_smoother", "savgol_smoother", "ema_smoother"):
         rows = estimators.QUERIES[name][0](spark, sf).collect()
         assert sorted(r.seq for r in rows) == list(range(10))
         assert all(0 < r.error_deg < 180 and 0 < r.observed_deg < 180 and 0 < r.occluded_deg < 180 for r in rows)
@@ -173,3 +173,24 @@ def test_learned_delta_against_numpy(spark):
     cost[-1, -1] = 0
     got = np.array([r.weights for r in estimators.learned_delta_fit(spark, "/root/testdata/sf0.01").orderBy("feature").collect()])
     assert np.allclose(got, np.linalg.solve(x.T @ x + cost, x.T @ y), atol=1e-6)
+
+
+def test_a_fitted_drift_carries_hidden_joints(spark):
+    rows = []
+    for t in range(20):
+        for j in range(2):
+            r = K.exp(np.array([0.1 * t, 0.02 * j, 0.0]))
+            rows.append((0, t, j, *map(float, r.reshape(-1)), t < 10, 1.0))
+    df = spark.createDataFrame(rows, "seq long, t int, joint int, " + ", ".join(f"o{k} double" for k in range(9)) + ", mask boolean, confidence double")
+    fit = spark.createDataFrame([(j, 0.1, 0.0, 0.0, 0.01, 0.01, 0.01) for j in (1, 0)], "joint int, mean0 double, mean1 double, mean2 double, std0 double, std1 double, std2 double")
+    plain = P.Options(particles=64, sigma=0.05)
+
+    def error(options):
+        out = P.run_filter(df, options).join(df, ["seq", "t", "joint"]).filter("t = 19").toPandas()
+        return np.degrees(K.angle(*(out[R.names(p)].to_numpy().reshape(-1, 3, 3) for p in "eo"))).mean()
+
+    moved = P.fitted(plain, fit)
+    assert moved.spread == (0.01,) * 6 and moved.drift[:3] == (0.1, 0.0, 0.0)
+    assert error(moved) < 6 and error(plain) > 40  # ten hidden steps of 5.7 degrees
+    assert error(P.fitted(plain, fit, 0.01)) < 10 and error(P.fitted(plain, fit, 3.0)) > 40
+    assert P.fitted(plain, fit.select("joint", "std0", "std1", "std2")).drift == ()
