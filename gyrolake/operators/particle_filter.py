@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gyrolake.functions import kernels as K
+from gyrolake.operators import proposals
 
 ESTIMATES = "seq long, t int, joint int, " + ", ".join(f"e{k} double" for k in range(9)) + ", ess double, resampled boolean, spread_deg double"
 OBSERVED = [f"o{k}" for k in range(9)]
@@ -32,7 +33,9 @@ class Options:
     ``velocity`` repeats the last step instead of standing still. ``drift`` and ``spread`` are a
     fitted model's mean step and its standard deviation, three numbers a joint in order of the
     joints; without them particles stand still under ``noise``. With ``slow``, an angle,
-    particles whose last step was shorter, or that made none yet, stand still.
+    particles whose last step was shorter, or that made none yet, stand still. ``proposal`` holds
+    the weights of a learned correction (see gyrolake.operators.proposals), which follows every
+    prediction under ``proposal_noise`` and is at most ``proposal_cap`` long.
     """
 
     particles: int = 128
@@ -47,6 +50,9 @@ class Options:
     drift: tuple[float, ...] = ()
     spread: tuple[float, ...] = ()
     slow: float | None = None
+    proposal: tuple[float, ...] = ()
+    proposal_noise: float = 0.0
+    proposal_cap: float | None = None
     seed: int = 0
 
 
@@ -80,8 +86,10 @@ def step(state: dict | None, observed: np.ndarray, mask: np.ndarray, confidence:
     if state is None:
         start = np.where((c > 0)[:, None, None], observed, np.eye(3))
         x, last, lw = K.exp(rng.normal(0, max(0.25 * o.sigma, 1e-6), (n, joints, 3))) @ start, None, np.zeros((len(parts), n))
+        stepped = np.zeros((n, joints, 3))
     else:
         x, last, lw = state["x"], state["last"], state["lw"]
+        stepped = K.log(x @ np.swapaxes(last, -1, -2)) if o.proposal and last is not None else np.zeros((n, joints, 3))
         # products of products drift off the rotations, so a repeated step is projected back
         moved = K.project((x @ np.swapaxes(last, -1, -2)) @ x) if o.velocity and last is not None else x
         if o.drift:
@@ -89,6 +97,10 @@ def step(state: dict | None, observed: np.ndarray, mask: np.ndarray, confidence:
             still = np.zeros(n, bool) if o.slow is None else np.ones(n, bool) if last is None else K.angle(x, last).mean(axis=1) < o.slow
             moved = np.where(still[:, None, None, None], moved, drifted)
         last, x = x, noise @ moved
+    if o.proposal:
+        delta = proposals.correction(o.proposal, proposals.features(x, stepped, observed, mask, confidence), o.proposal_cap)
+        drawn = rng.normal(0, o.proposal_noise, delta.shape) if o.proposal_noise > 0 else 0.0
+        x = K.exp(delta + drawn) @ x
     if o.gain > 0:
         x = K.exp(o.gain * c[None, :, None] * K.log(observed @ np.swapaxes(x, -1, -2))) @ x
     ll = -0.5 * (K.angle(x, observed) / o.sigma) ** 2
@@ -142,6 +154,18 @@ def run_filter(measured: DataFrame, options: Options = Options()) -> DataFrame:
     return measured.select("seq", "t", "joint", *OBSERVED, "mask", "confidence").groupBy("seq").applyInPandas(run, ESTIMATES)
 
 
+def run_variants(measured: DataFrame, variants: list[Options]) -> DataFrame:
+    """run_filter under several options side by side, told apart by ``variant``, their place in the list."""
+    columns = ["variant", *[c.split()[0] for c in ESTIMATES.split(", ")]]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _frames(int(key[1]), rows, None, variants[int(key[0])])[0].assign(variant=int(key[0]))[columns]
+
+    each = F.explode(F.array(*[F.lit(k) for k in range(len(variants))])).alias("variant")
+    rows = measured.select("seq", "t", "joint", *OBSERVED, "mask", "confidence", each)
+    return rows.groupBy("variant", "seq").applyInPandas(run, f"variant int, {ESTIMATES}")
+
+
 def stream_filter(measured: DataFrame, options: Options = Options()) -> DataFrame:
     """The same over a stream whose batches bring whole frames, each sequence's in order; particles are kept as state."""
     columns = [c.split()[0] for c in ESTIMATES.split(", ")]
