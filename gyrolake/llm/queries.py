@@ -97,8 +97,28 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gyrolake.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gyrolake.llm.main_text import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gyrolake.llm.vector_codes import compress, with_group_error
+
+    codes, books = compress(table(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
+    hexed = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "").alias("code")
+    return with_group_error(codes, "label").select("row.vec_id", hexed, "error", F.col("group_error").alias("label_error"), F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_personal_data, op4_quality_classifier, op5_fingerprints, op6_near_duplicates, op7_packing, op8_line_templates, op9_token_counts, op10_repeats)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_personal_data, op4_quality_classifier, op5_fingerprints, op6_near_duplicates, op7_packing, op8_line_templates, op9_token_counts, op10_repeats, op11_phrases, op12_main_text, op13_vector_codes)}
 
 
 #: Rates, distribution functions, draws and copies as in gyrolake.llm.mixing with seed 11 and equal weights.
@@ -125,6 +145,7 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, round(r.rate, 9) AS rate,
 FROM documents d JOIN copies c USING (doc_id) JOIN rates r ON d.source IS NOT DISTINCT FROM r.source, LATERAL (SELECT unnest(range(c.copies)) AS copy) t
 """
 
+
 REPEATS_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 starts AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS p, w FROM w WHERE len(w) >= 35),
@@ -138,8 +159,6 @@ FROM w LEFT JOIN per ON w.doc_id = per.doc_id
 """
 
 
-
-
 def rules_sql(rules: Rules) -> str:
     """Counts, certified steps and verdicts as in gyrolake.llm.quality_rules; the tail is summed through lgamma."""
     steps = ", ".join(f"({i}, {', '.join(repr(float(cs[i])) + '::DOUBLE' for cs in rules.ladders.values())})" for i in range(len(next(iter(rules.ladders.values())))))
@@ -189,5 +208,43 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+#: All phrases of one to four words are counted; scores are exact in 128 bits.
+PHRASES_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS p FROM words),
+grams AS (SELECT lang, k, list_slice(w, p, p + k - 1) AS g FROM starts, range(1, 5) t(k) WHERE p + k - 1 <= len(w)),
+freq AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY lang, k, g HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+halves AS (SELECT lang, g, f AS a, x.k, list_slice(g, 1, x.k) AS head, list_slice(g, x.k + 1, freq.k) AS tail FROM freq, range(1, 4) x(k) WHERE x.k < freq.k),
+cuts AS (SELECT c.lang, c.g, a, c.k, l.f AS l, r.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (l.f + r.f) AS BIGINT) AS score
+  FROM halves c JOIN freq l ON l.lang = c.lang AND l.g = head JOIN freq r ON r.lang = c.lang AND r.g = tail),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (SELECT lang, list_slice(g, p, p + m - 1) AS g, max(f) AS f FROM freq, range(2, 4) t(m), range(1, 4) s(p) WHERE m < k AND p + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM best b LEFT JOIN inside i ON b.lang = i.lang AND b.g = i.g WHERE i.f IS NULL OR 100 * CAST(i.f AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM kept k JOIN totals t ON k.lang = t.lang QUALIFY rank <= 2000
+"""
+
+
+def codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2, width: int = 4) -> str:
+    """Lloyd's rounds with every distance computed."""
+    steps = [f"""
+b0 AS MATERIALIZED (SELECT p, CAST(dense_rank() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS e, j, x FROM parts WHERE vec_id IN (SELECT vec_id FROM sound ORDER BY vec_id LIMIT {entries}))"""]
+    near = "d{k} AS MATERIALIZED (SELECT a.vec_id, a.p, e, CAST(sum((a.x - b.x) * (a.x - b.x)) AS BIGINT) AS d FROM parts a JOIN b{k} b ON a.p = b.p AND a.j = b.j GROUP BY a.vec_id, a.p, e QUALIFY row_number() OVER (PARTITION BY a.vec_id, a.p ORDER BY d, e) = 1)"
+    for k in range(rounds):
+        steps.append(near.format(k=k))
+        steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, b.j, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (SELECT d.p, d.e, j, CAST(sum(x) - (sum(x) % count(*) + count(*)) % count(*) AS BIGINT) // count(*) AS x FROM d{k} d JOIN parts a ON d.vec_id = a.vec_id AND d.p = a.p GROUP BY d.p, d.e, j) m ON b.p = m.p AND b.e = m.e AND b.j = m.j)")
+    steps.append(near.format(k=rounds))
+    return f"""
+WITH sound AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, CAST(p AS INTEGER) AS p, CAST(j AS INTEGER) AS j, v[{width} * p + j + 1] AS x FROM sound, range({parts}) t(p), range({width}) s(j)), {", ".join(steps)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM d{rounds} GROUP BY vec_id)
+SELECT s.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(x, ',' ORDER BY p, e, j)) FROM b{rounds}) AS codebooks_sha256
+FROM sound s JOIN coded c ON s.vec_id = c.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL, "op2_quality_rules": rules_sql(Rules()), "op8_line_templates": TEMPLATES_SQL, "op10_repeats": REPEATS_SQL}
+    return {"op11_phrases": PHRASES_SQL, "op13_vector_codes": codes_sql(), "op1_mixing": MIXING_SQL, "op2_quality_rules": rules_sql(Rules()), "op8_line_templates": TEMPLATES_SQL, "op10_repeats": REPEATS_SQL}
