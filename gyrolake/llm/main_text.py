@@ -5,11 +5,12 @@ its share of function words, its length and its share of text inside links; what
 a form, a sidebar, a notice or another part that the markup names is no main text. Short blocks
 stay open, as do blocks with few function words that are not ruled out. In the second pass an
 open block takes the label of the nearest decided block, the distance being the characters
-between them; of two as near, a good one counts.
+between them. The page's ends count as decided, and no main text; of two labels as near, no main
+text counts.
 
 Where the page marks its article (or, failing that, a part named as content), only that part is
-main text. There every block that is not ruled out is open at worst, and where none is decided
-all are good. A page is one row and is read in one task; its work is in proportion to its length.
+main text. There every block that is not ruled out is open at worst, of two labels as near main
+text counts, the ends decide nothing, and where no block is decided all are good. A page is one row and is read in one task; its work is in proportion to its length.
 """
 
 from __future__ import annotations
@@ -163,19 +164,22 @@ def decided(block: Block, inside: bool) -> bool | None:
 
 
 def nearest(labels: list[bool | None], sizes: list[int], default: bool) -> list[bool]:
-    """The second pass: open labels take the nearest decided one's, by the sizes between; ``default`` where none is decided."""
-    reach: list[dict[bool, float]] = [{} for _ in labels]
+    """The second pass: open labels take the nearest decided one's, by the sizes between; ``default`` where both are as near, or none is decided.
+
+    Unless the default is good, what lies before the first and after the last block is not.
+    """
+    away: list[dict[bool, float]] = [{} for _ in labels]
     for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
-        label, away = None, 0.0
+        label, between = (None if default else False), 0.0
         for k in order:
             if labels[k] is not None:
-                label, away = labels[k], 0.0
+                label, between = labels[k], 0.0
             else:
                 if label is not None:
-                    reach[k][label] = min(away, reach[k].get(label, away))
-                away += sizes[k]
+                    away[k][label] = min(between, away[k].get(label, between))
+                between += sizes[k]
     far = float("inf")
-    return [lab if lab is not None else (default if not near else near.get(True, far) <= near.get(False, far)) for lab, near in zip(labels, reach, strict=True)]
+    return [label if label is not None else default if near.get(True, far) == near.get(False, far) else near.get(True, far) < near.get(False, far) for label, near in zip(labels, away, strict=True)]
 
 
 def main_blocks(page: str | None) -> list[str]:

@@ -1,6 +1,6 @@
 """Frequent phrases and their collocation scores, from vertical positional inverted lists.
 
-Texts are cut into blocks of at most about BLOCK_WORDS words of one language, at the ends of
+Texts are cut into blocks of about BLOCK_WORDS words at most of one language, at the ends of
 pieces, which no phrase crosses; a hot language or a very long text is thus many blocks. In a
 block a phrase is the list of the positions where it occurs. Lists of length k become lists of
 length k + 1 by merge-joining them, shifted, with the postings of the words next to them; the
@@ -57,7 +57,7 @@ def pieces(text: str | None) -> list[bytes]:
     return [w for w in spaced.split(b" ") if w] + [b"."]
 
 
-def to_blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+def to_blocks(docs: DataFrame, text_col: str, lang_col: str, size: int = BLOCK_WORDS) -> DataFrame:
     """(block, lang, n_words, numbers, words, counts): texts as numbers of words, int32 in order, and the distinct words with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,12 +84,12 @@ def to_blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 at = 0
                 while at < len(found):
                     words, arrays = held.setdefault(lang, (Numbers(), []))
-                    room = BLOCK_WORDS - sizes.get(lang, 0)
+                    room = size - sizes.get(lang, 0)
                     end = len(found) if len(found) - at <= room else found.index(b".", at + max(0, room - 1)) + 1
                     arrays.append(np.fromiter(map(words.__getitem__, found[at:end]), np.int32, end - at))
                     sizes[lang] = sizes.get(lang, 0) + end - at
                     at = end
-                    if sizes[lang] >= BLOCK_WORDS:
+                    if sizes[lang] >= size:
                         yield block(lang)
         for lang in list(held):
             yield block(lang)
@@ -158,9 +158,9 @@ def extend(k: int, blocks: DataFrame, kept: DataFrame) -> DataFrame:
     return blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(run, schema)
 
 
-def mine(docs: DataFrame, text_col: str, lang_col: str, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mine(docs: DataFrame, text_col: str, lang_col: str, least: int, size: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The frequent phrases of one to LONGEST words (w array<bigint>, f), the frequent words (id, lang, word), and the languages (lang, n)."""
-    blocks = staged(to_blocks(docs, text_col, lang_col), "blocks")
+    blocks = staged(to_blocks(docs, text_col, lang_col, size), "blocks")
     totals = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
     each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "x"))
     each = each.select("block", (F.col("number") + 1).alias("number"), "lang", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
@@ -183,7 +183,7 @@ def mine(docs: DataFrame, text_col: str, lang_col: str, least: int) -> tuple[Dat
     return staged(every, "frequent"), vocabulary, totals
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, top: int = 2000, covered: int = 80) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, top: int = 2000, covered: int = 80, size: int = BLOCK_WORDS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of two to LONGEST words of every language.
 
     a is a phrase's frequency, l and r those of its two parts at the cut of least score
@@ -193,7 +193,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     languages are "und"; a table without frequent phrases gives no rows; repeated rows and rows
     without ids count like all others, since no id is read.
     """
-    every, vocabulary, totals = mine(docs, text_col, lang_col, least)
+    every, vocabulary, totals = mine(docs, text_col, lang_col, least, size)
     phrases = every.filter(F.size("w") > 1)
     cut = phrases.select("w", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
     cut = cut.withColumns({"head": F.slice("w", F.lit(1), F.col("k")), "tail": F.slice("w", F.col("k") + 1, F.size("w"))})

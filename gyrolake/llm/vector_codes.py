@@ -187,7 +187,7 @@ def compress(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int
     keep = keep or [c for c in vectors.columns if c != vector_col]
     rows = whole_components(vectors, vector_col, list(dict.fromkeys([id_col, *keep])), parts, scale)
     now, before = first_entries(rows, id_col, parts, entries), None
-    state = rows.filter(F.size("v") == now.entries[:, 0].size)
+    state = rows.filter(F.size("v") == now.entries.shape[0] * now.entries.shape[2])
     for k in range(rounds):
         state = staged(assigned(state, now, before).drop("error", "scanned"), f"codes_{k}")
         now, before = updated(state, now), now
