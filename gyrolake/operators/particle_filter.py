@@ -1,8 +1,9 @@
 """Particle filters over sequences of partly hidden rotations, in batch and as a stream.
 
 A sequence's past is its state, so frames of one sequence meet in one task, in order, and
-sequences run side by side. One step function serves both forms; its random numbers
-depend on (seed, sequence, frame) alone, so results do not depend on how frames arrive.
+sequences run side by side. A task reads them in batches and holds one frame and the particles,
+however long a sequence is. One step function serves both forms; its random numbers depend on
+(seed, sequence, frame) alone, so results do not depend on how frames arrive.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gyrolake.functions import kernels as K
 from gyrolake.operators import proposals
+from gyrolake.operators.motions import Motion
 
 ESTIMATES = "seq long, t int, joint int, " + ", ".join(f"e{k} double" for k in range(9)) + ", ess double, resampled boolean, spread_deg double"
 OBSERVED = [f"o{k}" for k in range(9)]
@@ -33,8 +36,9 @@ class Options:
     ``velocity`` repeats the last step instead of standing still. ``drift`` and ``spread`` are a
     fitted model's mean step and its standard deviation, three numbers a joint in order of the
     joints; without them particles stand still under ``noise``. With ``slow``, an angle,
-    particles whose last step was shorter, or that made none yet, stand still. ``proposal`` holds
-    the weights of a learned correction (see gyrolake.operators.proposals), which follows every
+    particles whose last step was shorter, or that made none yet, stand still. ``model`` is a model
+    of motion in place of all these; particles keep as many past poses as it looks at. ``sigma`` is
+    the noise where the measurements do not tell it. ``proposal`` holds the weights of a learned correction (see gyrolake.operators.proposals), which follows every
     prediction under ``proposal_noise`` and is at most ``proposal_cap`` long.
     """
 
@@ -50,6 +54,7 @@ class Options:
     drift: tuple[float, ...] = ()
     spread: tuple[float, ...] = ()
     slow: float | None = None
+    model: Motion | None = None
     proposal: tuple[float, ...] = ()
     proposal_noise: float = 0.0
     proposal_cap: float | None = None
@@ -76,19 +81,25 @@ def resample(w: np.ndarray, u: float) -> np.ndarray:
     return np.searchsorted(upto, (u + np.arange(len(w))) / len(w))
 
 
-def step(state: dict | None, observed: np.ndarray, mask: np.ndarray, confidence: np.ndarray, t: int, key: int, o: Options) -> tuple[dict, np.ndarray, float, bool, float]:
-    """The state after frame ``t``, its estimate [J, 3, 3], effective size, whether particles were redrawn, and their spread in degrees."""
+def step(state: dict | None, observed: np.ndarray, mask: np.ndarray, confidence: np.ndarray, t: int, key: int, o: Options, sigma: np.ndarray | None = None) -> tuple[dict, np.ndarray, float, bool, float]:
+    """The state after frame ``t``, its estimate [J, 3, 3], effective size, whether particles were redrawn, and their spread in degrees.
+
+    ``sigma`` [J] is the frame's noise, NaN where it is the options'. The state holds the particles
+    ``x``, their log weights and ``past``, their earlier poses, oldest first; all are redrawn together.
+    """
+    sigma = np.full(len(observed), o.sigma) if sigma is None else np.where(np.isnan(sigma), o.sigma, sigma)
     rng = np.random.default_rng([o.seed, key % (1 << 63), t])
     joints, n = len(observed), o.particles
     c = np.where(mask, confidence, 0.0)
     parts = partition(o.blocks, joints)
-    noise = K.exp(rng.normal(0, np.reshape(o.spread, (joints, 3)) if o.spread else o.noise, (n, joints, 3)))
+    noise = None if o.model else K.exp(rng.normal(0, np.reshape(o.spread, (joints, 3)) if o.spread else o.noise, (n, joints, 3)))
     if state is None:
         start = np.where((c > 0)[:, None, None], observed, np.eye(3))
-        x, last, lw = K.exp(rng.normal(0, max(0.25 * o.sigma, 1e-6), (n, joints, 3))) @ start, None, np.zeros((len(parts), n))
+        x, past, lw = K.exp(rng.normal(0, max(0.25 * o.sigma, 1e-6), (n, joints, 3))) @ start, [], np.zeros((len(parts), n))
         stepped = np.zeros((n, joints, 3))
     else:
-        x, last, lw = state["x"], state["last"], state["lw"]
+        x, past, lw = state["x"], state["past"], state["lw"]
+        last = past[-1] if past else None
         stepped = K.log(x @ np.swapaxes(last, -1, -2)) if o.proposal and last is not None else np.zeros((n, joints, 3))
         # products of products drift off the rotations, so a repeated step is projected back
         moved = K.project((x @ np.swapaxes(last, -1, -2)) @ x) if o.velocity and last is not None else x
@@ -96,14 +107,15 @@ def step(state: dict | None, observed: np.ndarray, mask: np.ndarray, confidence:
             drifted = K.exp(np.reshape(o.drift, (joints, 3))) @ moved
             still = np.zeros(n, bool) if o.slow is None else np.ones(n, bool) if last is None else K.angle(x, last).mean(axis=1) < o.slow
             moved = np.where(still[:, None, None, None], moved, drifted)
-        last, x = x, noise @ moved
+        keep = max(1, o.model.history if o.model else 1)
+        past, x = [*past, x][-keep:], o.model.drawn([*past, x][-1 - o.model.history :], rng) if o.model else noise @ moved
     if o.proposal:
         delta = proposals.correction(o.proposal, proposals.features(x, stepped, observed, mask, confidence), o.proposal_cap)
         drawn = rng.normal(0, o.proposal_noise, delta.shape) if o.proposal_noise > 0 else 0.0
         x = K.exp(delta + drawn) @ x
     if o.gain > 0:
         x = K.exp(o.gain * c[None, :, None] * K.log(observed @ np.swapaxes(x, -1, -2))) @ x
-    ll = -0.5 * (K.angle(x, observed) / o.sigma) ** 2
+    ll = -0.5 * (K.angle(x, observed) / np.maximum(sigma, 1e-8)) ** 2
     if o.outlier > 0:
         ll = np.logaddexp(np.log1p(-o.outlier) + ll, np.log(o.outlier))
     lw = lw + np.stack([(ll[:, p] * c[p]).sum(axis=1) for p in parts])
@@ -121,64 +133,106 @@ def step(state: dict | None, observed: np.ndarray, mask: np.ndarray, confidence:
     else:
         due = ess < o.threshold * n
         ancestors = [resample(w[b], us[b]) if due[b] else None for b in range(len(parts))]
-    x, last = x.copy(), None if last is None else last.copy()
+    held = [a.copy() for a in (x, *past)] if due.any() else [x, *past]
     for b, p in enumerate(parts):
         if due[b]:
-            x[:, p] = x[ancestors[b]][:, p]
-            if last is not None:
-                last[:, p] = last[ancestors[b]][:, p]
+            for a in held:
+                a[:, p] = a[ancestors[b]][:, p]
             lw[b] = 0.0
-    return {"x": x, "last": last, "lw": lw}, estimate, float(ess.mean()), bool(due.any()), spread
+    return {"x": held[0], "past": held[1:], "lw": lw}, estimate, float(ess.mean()), bool(due.any()), spread
 
 
-def _frames(seq: int, rows: pd.DataFrame, state: dict | None, o: Options) -> tuple[pd.DataFrame, dict | None]:
-    out, key = [], xxhash.xxh64_intdigest(str(seq))
-    for t, frame in rows.sort_values(["t", "joint"]).groupby("t", sort=True):
-        seen = frame[OBSERVED].to_numpy().reshape(-1, 3, 3)
-        state, estimate, ess, redrawn, spread = step(state, seen, frame["mask"].to_numpy(bool), frame["confidence"].to_numpy(float), int(t), key, o)
-        told = pd.DataFrame(estimate.reshape(-1, 9), columns=[f"e{k}" for k in range(9)])
-        told.insert(0, "joint", frame["joint"].to_numpy())
-        out.append(told.assign(t=int(t), ess=ess, resampled=redrawn, spread_deg=spread))
-    done = pd.concat(out) if out else pd.DataFrame(columns=["t", "joint"])
-    done.insert(0, "seq", seq)
-    return done, state
+NOISE = "sigma"
+INPUT = ["t", "joint", *OBSERVED, "mask", "confidence", NOISE]
 
 
-def run_filter(measured: DataFrame, options: Options = Options()) -> DataFrame:
-    """ESTIMATES of every frame and joint of ``measured`` (seq, t, joint, o0..o8, mask, confidence)."""
-    columns = [c.split()[0] for c in ESTIMATES.split(", ")]
+def _picked(measured: DataFrame, *keys) -> DataFrame:
+    """What the filter reads; ``sigma``, the noise of a joint and frame, may be missing or null."""
+    noise = F.col(NOISE).cast("double") if NOISE in measured.columns else F.lit(None).cast("double")
+    return measured.select(*keys, F.col("t").cast("int").alias("t"), F.col("joint").cast("int").alias("joint"), *[F.col(c).cast("double").alias(c) for c in OBSERVED], F.coalesce("mask", F.lit(False)).alias("mask"), F.col("confidence").cast("double").alias("confidence"), noise.alias(NOISE))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _frames(int(key[0]), rows, None, options)[0][columns]
 
-    return measured.select("seq", "t", "joint", *OBSERVED, "mask", "confidence").groupBy("seq").applyInPandas(run, ESTIMATES)
+class _Sequence:
+    """Frames of one sequence, taken in pieces that may end inside a frame."""
 
+    def __init__(self, seq: int, options: Options, state: dict | None = None):
+        self.key, self.options, self.state = xxhash.xxh64_intdigest(str(seq)), options, state
+        self.open: list[np.ndarray] = []
+
+    def take(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Rows of INPUT in order of frames and joints; the finished frames as rows t, joint, e0..e8, ess, resampled, spread."""
+        done, cuts = [], np.flatnonzero(np.diff(rows[:, 0])) + 1
+        for piece in np.split(rows, cuts):
+            if self.open and self.open[0][0, 0] != piece[0, 0]:
+                done.append(self.finish())
+            self.open.append(piece)
+        return done
+
+    def finish(self) -> np.ndarray:
+        frame = np.concatenate(self.open)
+        self.open = []
+        t, mask = int(frame[0, 0]), frame[:, 11] != 0
+        self.state, estimate, ess, redrawn, spread = step(self.state, frame[:, 2:11].reshape(-1, 3, 3), mask, frame[:, 12], t, self.key, self.options, frame[:, 13])
+        told = np.broadcast_to([ess, redrawn, spread], (len(frame), 3))
+        return np.concatenate([frame[:, :2], estimate.reshape(-1, 9), told], axis=1)
+
+
+def _estimates(keys: dict[str, int], rows: list[np.ndarray]) -> pa.RecordBatch:
+    a = np.concatenate(rows)
+    columns = {k: pa.array(np.full(len(a), v), pa.int32() if k == "variant" else pa.int64()) for k, v in keys.items()}
+    columns |= {"t": pa.array(a[:, 0].astype(np.int32)), "joint": pa.array(a[:, 1].astype(np.int32)), **{f"e{k}": pa.array(a[:, 2 + k]) for k in range(9)}}
+    columns |= {"ess": pa.array(a[:, 11]), "resampled": pa.array(a[:, 12] != 0), "spread_deg": pa.array(a[:, 13])}
+    return pa.RecordBatch.from_pydict(columns)
 
-def run_variants(measured: DataFrame, variants: list[Options]) -> DataFrame:
-    """run_filter under several options side by side, told apart by ``variant``, their place in the list."""
-    columns = ["variant", *[c.split()[0] for c in ESTIMATES.split(", ")]]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _frames(int(key[1]), rows, None, variants[int(key[0])])[0].assign(variant=int(key[0]))[columns]
+def _in_order(rows: DataFrame, keys: list[str], options_of) -> DataFrame:
+    """Filters sequences, told apart by ``keys``, side by side; ``options_of`` gives the options of a key."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, own = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in keys], axis=1)
+            values = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in INPUT], axis=1)
+            for piece in np.split(np.arange(len(ids)), np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1):
+                key = tuple(int(k) for k in ids[piece[0]])
+                if key != current:
+                    if own is not None:
+                        yield _estimates(dict(zip(keys, current, strict=True)), [own.finish()])
+                    current, own = key, _Sequence(key[-1], options_of(key))
+                if done := own.take(values[piece]):
+                    yield _estimates(dict(zip(keys, current, strict=True)), done)
+        if own is not None:
+            yield _estimates(dict(zip(keys, current, strict=True)), [own.finish()])
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "t", "joint")
+    return dealt.mapInArrow(run, ("variant int, " if "variant" in keys else "") + ESTIMATES)
+
+
+def run_filter(measured: DataFrame, options: Options = Options()) -> DataFrame:
+    """ESTIMATES of every frame and joint of ``measured`` (seq, t, joint, o0..o8, mask, confidence and, if known, sigma)."""
+    return _in_order(_picked(measured, F.col("seq").cast("long").alias("seq")), ["seq"], lambda key: options)
+
+
+def run_variants(measured: DataFrame, variants: list[Options]) -> DataFrame:
+    """run_filter under several options side by side, told apart by ``variant``, their place in the list."""
     each = F.explode(F.array(*[F.lit(k) for k in range(len(variants))])).alias("variant")
-    rows = measured.select("seq", "t", "joint", *OBSERVED, "mask", "confidence", each)
-    return rows.groupBy("variant", "seq").applyInPandas(run, f"variant int, {ESTIMATES}")
+    return _in_order(_picked(measured, each, F.col("seq").cast("long").alias("seq")), ["variant", "seq"], lambda key: variants[key[0]])
 
 
 def stream_filter(measured: DataFrame, options: Options = Options()) -> DataFrame:
     """The same over a stream whose batches bring whole frames, each sequence's in order; particles are kept as state."""
-    columns = [c.split()[0] for c in ESTIMATES.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(state.get[0]) if state.exists else None
-        rows = pd.concat(list(batches))
-        done, held = _frames(int(key[0]), rows, held, options)
-        state.update((pickle.dumps(held),))
-        yield done[columns]
-
-    picked = measured.select("seq", "t", "joint", *OBSERVED, "mask", "confidence")
-    return picked.groupBy("seq").applyInPandasWithState(run, ESTIMATES, "held binary", "append", "NoTimeout")
+        own = _Sequence(int(key[0]), options, pickle.loads(state.get[0]) if state.exists else None)
+        rows = pd.concat(list(batches)).sort_values(["t", "joint"])
+        done = own.take(rows[INPUT].to_numpy(float))
+        told = _estimates({"seq": int(key[0])}, [*done, own.finish()])
+        state.update((pickle.dumps(own.state),))
+        yield told.to_pandas()
+
+    return _picked(measured, "seq").groupBy("seq").applyInPandasWithState(run, ESTIMATES, "held binary", "append", "NoTimeout")
 
 
 def diagnostics(estimates: DataFrame, particles: int) -> DataFrame:
