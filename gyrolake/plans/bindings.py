@@ -10,6 +10,8 @@ lines as results of methods under conditions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,21 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.with_exp(vectors(spark, sf_dir), ["x", "y", "z"], "r")
 
 
+def moving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, t, joint, x, y, z, r0..r8): the same sequences with motion of their own.
+
+    Joints swing with a period of 24 frames, by an angle that the sequence's mean numbers tell,
+    and the frame's own numbers add a little noise. Steps are some ten times as long as in ``poses``.
+    """
+    e = table(spark, sf_dir, "embeddings").select("vec_id", sequence().alias("seq"), "embedding")
+    t = F.row_number().over(Window.partitionBy("seq").orderBy("vec_id")) - 1
+    joint = e.withColumn("t", t).select("seq", "t", "embedding", F.explode(F.sequence(F.lit(0), F.lit(JOINTS - 1))).alias("joint"))
+    raw = joint.select("seq", "t", "joint", *[F.get("embedding", F.col("joint") * 3 + k).cast("double").alias(f"e{k}") for k in range(3)])
+    mean = [F.avg(f"e{k}").over(Window.partitionBy("seq", "joint")) for k in range(3)]
+    swing = [F.sin(2.0 * math.pi * F.col("t") / 24.0 + F.col("joint") + k) * (0.4 + 2.0 * mean[k]) + 0.1 * F.col(f"e{k}") for k in range(3)]
+    return R.with_exp(raw.select("seq", "t", "joint", *[c.alias(n) for c, n in zip(swing, "xyz", strict=True)]), ["x", "y", "z"], "r")
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, t, mask, confidence, angle, value, ts, event_id)."""
     e = table(spark, sf_dir, "events")
@@ -104,6 +121,13 @@ def exp_sql(source: str, name: str, v: tuple[str, str, str] = ("x", "y", "z"), o
 
 POSES_SQL = VECTORS_SQL + "," + exp_sql("vectors", "poses")
 
+MOVING_SQL = f"""
+named AS (SELECT CAST(label + 10 * (vec_id // {BLOCK}) AS INTEGER) AS seq, vec_id, embedding FROM embeddings),
+frames AS (SELECT seq, CAST(row_number() OVER (PARTITION BY seq ORDER BY vec_id) - 1 AS INTEGER) AS t, embedding FROM named),
+raw AS (SELECT seq, t, CAST(j AS INTEGER) AS joint, {", ".join(f"CAST(embedding[3 * j + {k + 1}] AS DOUBLE) AS e{k}" for k in range(3))} FROM frames, range(21) g(j)),
+swing AS (SELECT seq, t, joint, {", ".join(f"sin(2.0::DOUBLE*pi()*t/24.0::DOUBLE + joint + {k}) * (0.4::DOUBLE + 2.0::DOUBLE * avg(e{k}) OVER (PARTITION BY seq, joint)) + 0.1::DOUBLE * e{k} AS {c}" for k, c in enumerate("xyz"))} FROM raw)
+""" + "," + exp_sql("swing", "poses")
+
 
 def dist_sql(a: str, b: str) -> str:
     """The angle between rotations whose elements are named by the patterns a and b, with {k} for 0 to 8."""

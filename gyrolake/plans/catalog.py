@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gyrolake.plans import estimators, evaluations, geometry, reports, sourced, streams
+from gyrolake.plans import estimators, evaluations, experiments, geometry, reports, sourced, streams
 
 #: Modules with QUERIES: name -> (query, SQL or None).
-MODULES = [geometry, reports, streams, estimators, evaluations, sourced]
+MODULES = [geometry, reports, streams, estimators, evaluations, sourced, experiments]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -66,8 +66,13 @@ MEASURED_SQL = POSES_SQL + ", noise AS (SELECT *, " + ", ".join(f"0.2::DOUBLE*{_
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """poses with mask, confidence, the noisy observation o0..o8, its error in degrees, and the mask of the frame before."""
+    return observed(poses(spark, sf_dir))
+
+
+def observed(p: DataFrame) -> DataFrame:
+    """The same for any poses."""
     key = [F.col("seq"), F.col("t"), F.col("joint")]
-    p = poses(spark, sf_dir).withColumns({f"n{k}": 0.2 * R.normal(F.lit(9), *key, F.lit(k)) for k in range(3)})
+    p = p.withColumns({f"n{k}": 0.2 * R.normal(F.lit(9), *key, F.lit(k)) for k in range(3)})
     p = p.withColumns({"mask": (F.col("t") == 0) | (R.uniform(F.lit(3), *key) >= 0.25), "confidence": 0.2 + 0.8 * R.uniform(F.lit(4), *key)})
     p = R.with_exp(p, ["n0", "n1", "n2"], "q")
     p = p.withColumns(dict(zip(R.names("o"), R.matmul(R.cols("q"), R.cols("r")), strict=True)))
