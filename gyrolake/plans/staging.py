@@ -46,9 +46,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     The result has no lineage beyond the files, so neither a lost executor nor a
     second use recomputes what led to it.
     """
-    path = f"{shared_dir(df.sparkSession)}/gyrolake/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Stage(df, name).rows
+
+
+class Stage:
+    """``rows``: a staged table. ``drop`` deletes its files, once what was made of it is staged as well."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark = df.sparkSession
+        self.path = f"{shared_dir(self.spark)}/gyrolake/{uuid.uuid4().hex}/{name}"
+        df.write.option("compression", "zstd").parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tasks(spark: SparkSession) -> int:
