@@ -4,9 +4,9 @@ Texts are cut into blocks of about BLOCK_WORDS words at most of one language, at
 pieces, which no phrase crosses; a hot language or a very long text is thus many blocks. In a
 block a phrase is the list of the positions where it occurs. Lists of length k become lists of
 length k + 1 by merge-joining them, shifted, with the postings of the words next to them; the
-length of a list is the phrase's exact frequency in the block, and the sum over blocks, in a
-shuffle of one row a phrase and block, its frequency in the language. Only phrases that reach
-the least frequency there are extended, and only by words that end another such phrase.
+length of a list is the phrase's exact frequency in the block, and the sum over blocks its
+frequency in the language; for that, the lists of a block travel bucket by bucket. Only phrases that reach the least frequency are extended, and only by words that
+end another such phrase.
 
 A word is told by the place (block, number) of its first posting, so keys are exact longs; no
 table of words or phrases is broadcast. Blocks and levels are staged; what a task holds is one
@@ -19,15 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyrolake.plans.staging import staged, tasks
+from gyrolake.plans.staging import Stage, staged, tasks
 
 BLOCK_WORDS = 1 << 20
 NUMBERS = 1 << 24  # of words or phrases in a block; only a piece of as many different words without any end would need more
 BLOCKS = 1 << 14  # of a task
+BUCKETS = 16  # of lists for every shuffle partition
+SHARE = 1 << 20  # occurrences of a phrase, from which what follows it is dealt to shares
 LONGEST = 4  # words of a phrase
 NO_LANG = "und"
 
@@ -75,7 +78,7 @@ def to_blocks(docs: DataFrame, text_col: str, lang_col: str, size: int = BLOCK_W
             made += 1
             if len(words) > NUMBERS or made >= BLOCKS:
                 raise ValueError(f"a block of {len(words)} different words, or {made} blocks in a task: read the table in smaller partitions")
-            row = [[parts * BLOCKS + made], [lang], [int(counts[1:].sum())], [numbers.tobytes()], [[w.decode() for w in spelt]], [counts[1:].tolist()]]
+            row = [[parts * BLOCKS + made], [lang], [int(counts[1:].sum())], [packed(numbers)], [[w.decode() for w in spelt]], [counts[1:].tolist()]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)], ["block", "lang", "n_words", "numbers", "words", "counts"])
 
         for b in batches:
@@ -109,74 +112,109 @@ def frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     return told.filter(F.col("f") >= least)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """int32 values byte by byte, lowest bytes first, compressed."""
+    return zstandard.compress(np.ascontiguousarray(values, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
 def ints(value: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(value[0].as_py(), np.int32)
+    return np.frombuffer(zstandard.decompress(value[0].as_py()), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+
+
+def share(word: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Which of ``shares`` a following word belongs to."""
+    return (word * np.int64(0x9E3779B1) >> np.int64(7)) % shares
 
 
-def lists(keys: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys, the length of each one's list, the list's number of every entry, and the positions, list by list in order."""
-    order = np.lexsort((positions, keys))
-    distinct, number, length = np.unique(keys[order], return_inverse=True, return_counts=True)
-    return distinct, length, number.astype(np.int32), positions[order]
+def bucket(words: np.ndarray, part: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of phrases [k, n] and shares; all lists that begin with a phrase and have a share go to one."""
+    mixed = part.astype(np.int64) * np.int64(0x85EBCA77)
+    for w in words:
+        mixed = (mixed ^ w) * np.int64(0x9E3779B97F4A7C1)
+        mixed ^= mixed >> np.int64(29)
+    return mixed % buckets
 
 
-def extend(k: int, blocks: DataFrame, kept: DataFrame) -> DataFrame:
+def extend(k: int, blocks: DataFrame, kept: DataFrame, buckets: int) -> DataFrame:
     """Lists of k + 1 words from lists of k words.
 
-    ``blocks`` (block, positions, numbers) has the lists as one array of positions and one of list
-    numbers; for k = 1 (block, numbers) has the word at every position. ``kept`` (block, number, w1..wk) the lists whose phrases are frequent. The result
-    (block, positions, numbers, w1..w<k+1>, n) has arrays of the new lists' words and lengths.
+    ``blocks`` (block, steps, numbers) has the list number of every position that is in a list, and
+    the steps from one such position to the next; for k = 1 (block, numbers) has the word at every
+    position. ``kept`` (block, number, w1..wk, f) tells the lists whose phrases are frequent, and how
+    frequent. The result has the new lists as ``steps`` and ``numbers`` again, and bucket by bucket
+    the number of the first list, the lists' words w1..w<k+1> and lengths n. A bucket has all lists
+    with the same first k words; those of a very frequent phrase are dealt to shares by the following
+    word, so that what must meet in a bucket has no more than about SHARE occurrences.
     """
     names = [f"w{j}" for j in range(1, k + 2)]
-    schema = "block bigint, positions binary, numbers binary, " + ", ".join(f"{w} array<bigint>" for w in names) + ", n array<int>"
+    schema = "block bigint, steps binary, numbers binary, bucket array<int>, number array<int>, " + ", ".join(f"{w} array<array<bigint>>" for w in names) + ", n array<array<int>>"
+    columns = ["block", "steps", "numbers", "bucket", "number", *names, "n"]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.list_(pa.list_(pa.int64()))] * (k + 1), pa.list_(pa.list_(pa.int32()))]
 
     def run(key: tuple, held: pa.Table, good: pa.Table) -> pa.Table:
         if held.num_rows == 0 or good.num_rows == 0:
-            return pa.Table.from_arrays([pa.array([], f) for f in (pa.int64(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * (k + 1), pa.list_(pa.int32()))], ["block", "positions", "numbers", *names, "n"])
+            return pa.Table.from_arrays([pa.array([], t) for t in kinds], columns)
         numbers = ints(held["numbers"])
-        positions = np.arange(len(numbers), dtype=np.int32) if k == 1 else ints(held["positions"])
-        words = np.stack([good[w].to_numpy() for w in names[:-1]])
-        row = np.full(max(int(numbers.max(initial=-1)) + 1, 1), -1, np.int64)
+        positions = np.arange(len(numbers)) if k == 1 else np.cumsum(ints(held["steps"]), dtype=np.int64)
+        words, often = np.stack([good[w].to_numpy() for w in names[:-1]]), good["f"].to_numpy()
+        row = np.full(max(int(numbers.max(initial=0)), int(good["number"].to_numpy().max())) + 1, -1, np.int32)
         row[good["number"].to_numpy()] = np.arange(good.num_rows)
-        mine = row[numbers]
-        at, of = positions[mine >= 0], mine[mine >= 0]
-        order = np.argsort(at)
-        at, of = at[order], of[order]
+        of = row[numbers]
+        at, of = positions[of >= 0], of[of >= 0]
         # postings of the words that end a frequent phrase of k words, each at its own position
         post_at, post_word = at + k - 1, words[k - 1, of]
         _, left, right = np.intersect1d(at + k, post_at, assume_unique=True, return_indices=True)
-        if k > 1:  # the phrase that starts one word later must be frequent as well, so the posting is its own end
-            assert np.array_equal(post_at[right] - k + 1, at[left] + 1)
-        spelt, of_word = np.unique(post_word[right], return_inverse=True)
-        distinct, length, number, found = lists(of[left] * max(1, len(spelt)) + of_word, at[left])
-        before, last = np.divmod(distinct, max(1, len(spelt)))
-        columns = [*(words[j, before] for j in range(k)), spelt[last] if len(spelt) else np.array([], np.int64)]
-        kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * (k + 1), pa.list_(pa.int32())]
-        values = [[key[0].as_py()], [found.astype(np.int32).tobytes()], [number.tobytes()], *[[c] for c in columns], [length.astype(np.int32)]]
-        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], ["block", "positions", "numbers", *names, "n"])
+        head, word, found = of[left], post_word[right], at[left]
+        part = share(word, often[head] // SHARE + 1)
+        dealt = bucket(words[:, head], part, buckets)
+        order = np.lexsort((word, head, dealt))
+        head, word, dealt = head[order], word[order], dealt[order]
+        new = np.ones(len(order), bool)  # whether a list begins
+        new[1:] = (head[1:] != head[:-1]) | (word[1:] != word[:-1])
+        starts = np.flatnonzero(new)
+        number = np.empty(len(order), np.int32)
+        number[order] = np.cumsum(new) - 1
+        lengths = np.diff(np.append(starts, len(order)))
+        first = np.flatnonzero(np.diff(dealt[starts], prepend=-1))  # the first list of every bucket
+        offsets = pa.array(np.append(first, len(starts)).astype(np.int32))
+
+        def nested(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+            inner = pa.ListArray.from_arrays(offsets, pa.array(values, kind))
+            return pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner)
+
+        back = np.argsort(found)
+        told = [[key[0].as_py()], [packed(np.diff(found[back], prepend=0))], [packed(number[back])], [dealt[starts[first]].astype(np.int32)], [first.astype(np.int32)]]
+        lists = [nested(words[j, head[starts]], pa.int64()) for j in range(k)] + [nested(word[starts], pa.int64()), nested(lengths, pa.int32())]
+        return pa.Table.from_arrays([*(pa.array(v, t) for v, t in zip(told, kinds, strict=False)), *lists], columns)
 
     return blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(run, schema)
 
 
 def mine(docs: DataFrame, text_col: str, lang_col: str, least: int, size: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The frequent phrases of one to LONGEST words (w array<bigint>, f), the frequent words (id, lang, word), and the languages (lang, n)."""
-    blocks = staged(to_blocks(docs, text_col, lang_col, size), "blocks")
-    totals = blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "x"))
+    blocks = Stage(to_blocks(docs, text_col, lang_col, size), "blocks")
+    totals = staged(blocks.rows.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
+    each = blocks.rows.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "x"))
     each = each.select("block", (F.col("number") + 1).alias("number"), "lang", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     told = frequent(each, ["lang", "word"], least)
     own = F.col("first") == place()
     kept = staged(told.select("block", "number", F.col("first").alias("w1"), "f", F.when(own, F.col("lang")).alias("lang"), F.when(own, F.col("word")).alias("word")), "words")
     vocabulary = kept.filter("word is not null").select(F.col("w1").alias("id"), "lang", "word")
     found = [kept.filter("word is not null").select(F.array("w1").alias("w"), "f")]
-    held = blocks.select("block", "numbers")
+    held, buckets = blocks, BUCKETS * tasks(docs.sparkSession)
     for k in range(1, LONGEST):
-        held = staged(extend(k, held, kept.select("block", "number", *[f"w{j}" for j in range(1, k + 1)])), f"lists_{k + 1}")
         names = [f"w{j}" for j in range(1, k + 2)]
-        rows = held.select("block", F.posexplode(F.arrays_zip(*names, "n")).alias("number", "x")).select("block", "number", *[F.col(f"x.{c}").alias(c) for c in (*names, "n")])
-        kept = staged(frequent(rows, names, least).withColumn("own", F.col("first") == place()).drop("first", "n"), f"phrases_{k + 1}")
+        extended = Stage(extend(k, held.rows.select("block", "numbers", *["steps"][: k - 1]), kept.select("block", "number", *names[:-1], "f"), buckets), f"lists_{k + 1}")
+        held.drop()
+        held = extended
+        dealt = held.rows.select("block", F.explode(F.arrays_zip("bucket", "number", *names, "n")).alias("x")).select("block", "x.*").repartition("bucket")
+        # lists travel by buckets and come apart where they are counted
+        rows = dealt.select("block", "bucket", "number", F.posexplode(F.arrays_zip(*names, "n")).alias("ahead", "x"))
+        rows = rows.select("block", "bucket", (F.col("number") + F.col("ahead")).alias("number"), *[F.col(f"x.{c}").alias(c) for c in (*names, "n")])
+        told = frequent(rows, ["bucket", *names], least).withColumn("own", F.col("first") == place())
+        kept = staged(told.select("block", "number", *names, "f", "own"), f"phrases_{k + 1}")
         found.append(kept.filter("own").select(F.array(*names).alias("w"), "f"))
-        held = held.select("block", "positions", "numbers")
+    held.drop()
     every = found[0]
     for one in found[1:]:
         every = every.unionByName(one)
