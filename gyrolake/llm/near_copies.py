@@ -5,22 +5,26 @@
 2. Pairs are proposed by SimHash fingerprints within ``radius`` bits, linked through
    BK-trees (see gyrolake.llm.simhash), and, as a fingerprint of 64 bits that differs in
    few bits misses most pairs near the threshold, by ``BANDS`` values made of ``BAND_ROWS``
-   minima of the set each. Documents that share a value form a bucket; in it, in order of
-   id, each document is proposed to the first before it whose minima agree enough, so a
-   bucket proposes at most one pair a document.
-3. A proposed pair is a link if the exact similarity is at least ``similar``.
-4. In order of id, a document goes if it is linked to one that stays. Documents whose links
-   all went with the documents at their other end are proposed anew among themselves, until
-   no link is found.
-
-A bucket may hold most documents: large ones are cut into parts, each of which also gets
-the bucket's first document; the firsts of the parts meet in the next round.
+   minima of the set each. Documents that share a value form a bucket.
+3. In a bucket, in order of id, a document is proposed to the earlier documents whose minima
+   agree enough: in the first round to the first of them, later to the first 4, 16, 64.. of
+   those that stay so far, by estimates from ``LONG`` more minima. Pairs that were tested are
+   not tested again.
+4. A proposed pair is a link if the exact similarity is at least ``similar``. After every
+   round, over all links found so far, a document goes if it is linked to an earlier one that
+   stays. Rounds end when those that stay have nothing left to be tested against, so a
+   document that was told apart from its first proposals meets all others of its buckets.
+
+A bucket may hold most documents. In the first round a large one is cut into parts, each of
+which also gets the bucket's first document; groups of copies shrink to a few there. In later
+rounds what stays of a bucket of several parts meets part by part, every two of them in a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,43 +34,55 @@ from pyspark.sql import functions as F
 
 from gyrolake.llm.simhash import fingerprint_links, majority, shingle_hashes
 from gyrolake.llm.text import keyed, packed, salted_join
+from gyrolake.operators.components import connected_components
 from gyrolake.plans.staging import staged
 
 BANDS, BAND_ROWS = 10, 5
 PART = 4096  # documents of a bucket's part
-LEAST_LIKE = 0.62  # of the minima of a pair that is compared exactly: about three standard errors less than SIMILAR
+LONG = 200  # more minima, for later rounds
+ERRORS = 3.2  # standard errors below the threshold from which an estimate leads to an exact comparison
 SIMILAR = 0.8
-PRINTS = "k1 long, k2 long, id long, fp long, s1 long, s2 long, bands array<long>, sketch binary"
+ROUNDS = 5  # of settling links, before components are settled each in a task
+LOCAL = 200_000  # links of such a component
+GROWTH = 4  # of the number of proposals a document, from round to round
+PRINTS = "k1 long, k2 long, id long, fp long, s1 long, s2 long, bands array<long>, sketch binary, long_sketch binary"
 
 
 @lru_cache(maxsize=1)
 def _multipliers() -> np.ndarray:
     """Odd multipliers, by which one hash of a shingle gives as many orders of the shingles."""
-    return np.random.default_rng(17).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(17).integers(0, 1 << 63, BANDS * BAND_ROWS + LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def least_like(similar: float, minima_count: int) -> float:
+    """The share of equal minima from which a pair is compared exactly."""
+    return similar - ERRORS * (similar * (1 - similar) / minima_count) ** 0.5
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The least shingle under each of the orders."""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for part in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[part : part + 4096, None] * _multipliers()[None, :]).min(axis=0))
+    least = np.full(len(_multipliers()), np.iinfo(np.uint64).max, np.uint64)
+    for part in range(0, len(hashes), 512):
+        least = np.minimum(least, (hashes[part : part + 512, None] * _multipliers()[None, :]).min(axis=0))
     return least
 
 
 def _prints(shingle: int):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sets, bands, sketches = [], [], [], []
+            fps, sets, bands, sketches, longer = [], [], [], [], []
             for text in batch.column(3):
                 hashes = shingle_hashes(text.as_py(), shingle)
                 fps.append(majority(hashes))
                 hashes = np.unique(hashes)
                 sets.append([xxhash.xxh64_intdigest(hashes.tobytes(), seed) - (1 << 63) for seed in (1, 2)])
                 least = minima(hashes) if len(hashes) else np.zeros(0, np.uint64)
-                bands.append([xxhash.xxh64_intdigest(least[k : k + BAND_ROWS].tobytes(), k) - (1 << 63) for k in range(0, len(least), BAND_ROWS)])
-                sketches.append((least >> np.uint64(40)).astype(np.uint8).tobytes())
-            columns = [pa.array(fps, pa.int64()), *(pa.array([s[k] for s in sets], pa.int64()) for k in (0, 1)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["k1", "k2", "id", "fp", "s1", "s2", "bands", "sketch"])
+                bands.append([xxhash.xxh64_intdigest(least[k : k + BAND_ROWS].tobytes(), k) - (1 << 63) for k in range(0, min(len(least), BANDS * BAND_ROWS), BAND_ROWS)])
+                low = (least >> np.uint64(40)).astype(np.uint8).tobytes()
+                sketches.append(low[: BANDS * BAND_ROWS])
+                longer.append(low[BANDS * BAND_ROWS :])
+            columns = [pa.array(fps, pa.int64()), *(pa.array([s[k] for s in sets], pa.int64()) for k in (0, 1)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(longer, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["k1", "k2", "id", "fp", "s1", "s2", "bands", "sketch", "long_sketch"])
 
     return compute
 
@@ -76,46 +92,53 @@ def order() -> Column:
     return F.struct(F.col("id").isNull().alias("no_id"), "id", "k2", "k1")
 
 
-def _leaders(least_like: float):
-    """From rows sorted by (bucket, part, order) to (a1, a2, b1, b2): a is proposed to b; a = b for the firsts of a cut bucket's part."""
+def _proposed(like_enough: float, most: int):
+    """From rows sorted by (bucket, meeting, order) to (a1, a2, b1, b2): a is proposed to the first ``most`` before it that are like it; a = b if there are more."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, held = None, [], np.zeros((0, BANDS * BAND_ROWS), np.uint8)
+        at, n, keys, held = None, 0, np.zeros((0, 2), np.int64), np.zeros((0, 0), np.uint8)
         for batch in batches:
             out = []
-            for bucket, part, cut, k1, k2, sketch in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                if (bucket, part) != at:
-                    at, keys, held = (bucket, part), [], np.zeros((64, BANDS * BAND_ROWS), np.uint8)
+            for bucket, meeting, k1, k2, sketch in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 own = np.frombuffer(sketch, np.uint8)
-                n = len(keys)
-                like = np.flatnonzero((held[:n] == own).mean(axis=1) >= least_like) if n else ()
-                if len(like):
-                    if keys[like[0]] != (k1, k2):
-                        out.append((k1, k2, *keys[like[0]]))
-                    continue
+                if (bucket, meeting) != at:
+                    at, n, keys, held = (bucket, meeting), 0, np.zeros((64, 2), np.int64), np.zeros((64, len(own)), np.uint8)
+                if n:
+                    like = np.flatnonzero((held[:n] == own).mean(axis=1) >= like_enough)
+                    out += [(k1, k2, *keys[b]) for b in like[:most] if (keys[b] != (k1, k2)).any()]
+                    if len(like) > most:
+                        out.append((k1, k2, k1, k2))
                 if n == len(held):
-                    held = np.concatenate([held, np.zeros_like(held)])
-                held[n] = own
-                keys.append((k1, k2))
-                if cut:
-                    out.append((k1, k2, k1, k2))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], ["a1", "a2", "b1", "b2"])
+                    held, keys = np.concatenate([held, np.zeros_like(held)]), np.concatenate([keys, np.zeros_like(keys)])
+                held[n], keys[n] = own, (k1, k2)
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([int(r[k]) for r in out], pa.int64()) for k in range(4)], ["a1", "a2", "b1", "b2"])
 
     return found
 
 
-def bucket_pairs(prints: DataFrame, least_like: float = LEAST_LIKE) -> DataFrame:
-    """(a1, a2, b1, b2) proposed by shared bands: a to the earlier b."""
-    dealt = staged(prints.select("k1", "k2", F.explode("bands").alias("bucket")), "bands")
+def bucket_pairs(dealt: DataFrame, prints: DataFrame, like_enough: float, most: int, first_round: bool) -> DataFrame:
+    """(a1, a2, b1, b2) proposed in the buckets ``dealt`` (bucket, k1, k2) of ``prints``: a to earlier b; rows a = b tell that more is to be tested."""
+    sketch = F.col("sketch" if first_round else "long_sketch").alias("sketch")
     full = staged(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / PART)), "buckets")
-    own = salted_join(dealt, full, ["bucket"], ["k1", "k2"]).join(prints.select("k1", "k2", "id", "sketch"), ["k1", "k2"])
-    own = staged(own.withColumn("part", F.pmod(F.xxhash64("k1", "k2"), F.col("parts"))), "in_buckets")
-    firsts = own.filter("parts > 1").groupBy("bucket", "parts").agg(F.min(F.struct(order().alias("o"), "sketch")).alias("first"))
-    firsts = firsts.select("bucket", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "first.o.id", "first.o.k1", "first.o.k2", "first.sketch")
-    columns = ["bucket", "part", F.expr("parts > 1").alias("cut"), "k1", "k2", "sketch", "id"]
-    rows = own.select(*columns).unionByName(firsts.select(*columns))
-    dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.col("id").isNull(), "id", "k2", "k1")
-    return dealt.drop("id").mapInArrow(_leaders(least_like), "a1 long, a2 long, b1 long, b2 long")
+    own = salted_join(dealt, full, ["bucket"], ["k1", "k2"]).join(prints.select("k1", "k2", "id", sketch), ["k1", "k2"])
+    own = own.withColumn("part", F.pmod(F.xxhash64("k1", "k2"), F.col("parts")))
+    columns = ["bucket", "meeting", "k1", "k2", "sketch", "id"]
+    if first_round:
+        own = staged(own, "in_buckets")
+        firsts = own.filter("parts > 1").groupBy("bucket", "parts").agg(F.min(F.struct(order().alias("o"), "sketch")).alias("first"))
+        firsts = firsts.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("meeting"), "first.o.id", "first.o.k1", "first.o.k2", "first.sketch")
+        rows = own.withColumnRenamed("part", "meeting").select(*columns).unionByName(firsts.select(*columns))
+    else:  # part i meets every part j, in the meeting of both
+        other = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+        meeting = F.explode(F.transform(other, lambda j: F.least(j, F.col("part")) * F.col("parts") + F.greatest(j, F.col("part")))).alias("meeting")
+        rows = own.select("bucket", meeting, "k1", "k2", "sketch", "id")
+    sorted_ = rows.repartition("bucket", "meeting").sortWithinPartitions("bucket", "meeting", F.col("id").isNull(), "id", "k2", "k1")
+    pairs = sorted_.drop("id").mapInArrow(_proposed(like_enough, most), "a1 long, a2 long, b1 long, b2 long")
+    if first_round:  # parts of one bucket have not met
+        cut = own.filter("parts > 1").select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("k1").alias("b1"), F.col("k2").alias("b2"))
+        pairs = pairs.unionByName(cut.limit(1))
+    return pairs
 
 
 def fingerprint_pairs(prints: DataFrame, radius: int) -> DataFrame:
@@ -150,15 +173,48 @@ def exact_links(pairs: DataFrame, base: DataFrame, shingle: int, similar: float)
     return both.filter(similarity(F.col("of_a"), F.col("of_b")) >= similar).select("a1", "a2", "b1", "b2")
 
 
+def _settled(rows: pa.Table) -> pa.Table:
+    """(k1, k2) of the documents of one component that go, from its links (a1, a2, b1, b2) to earlier documents."""
+    a, b = (list(zip(rows[f"{x}1"].to_pylist(), rows[f"{x}2"].to_pylist(), strict=True)) for x in "ab")
+    later, waits = {}, {}
+    for x, y in zip(a, b, strict=True):
+        later.setdefault(y, []).append(x)
+        waits[x] = waits.get(x, 0) + 1
+    gone, open_ = set(), [y for y in later if y not in waits]
+    while open_:
+        stays = open_.pop()
+        for x in later.get(stays, ()):
+            if x not in gone:
+                gone.add(x)
+                for y in later.get(x, ()):
+                    waits[y] -= 1
+                    if not waits[y] and y not in gone:
+                        open_.append(y)
+    keys = sorted(gone)
+    return pa.table({"k1": pa.array([k for k, _ in keys], pa.int64()), "k2": pa.array([k for _, k in keys], pa.int64())})
+
+
 def gone_of(links: DataFrame) -> DataFrame:
     """(k1, k2) of the documents that go: those linked to an earlier one that stays.
 
-    Each round settles the documents whose earlier ends are all settled, so there are as
-    many rounds as the longest chain of links.
+    A round settles the documents whose earlier ends are all settled. After ``ROUNDS`` of them
+    what is left, such as long chains of versions, is settled component by component, each in
+    a task; components of more than ``LOCAL`` links go on in rounds.
     """
     gone, left = [], links
     ends = lambda df, side: df.select(F.col(f"{side}1").alias("k1"), F.col(f"{side}2").alias("k2"))
-    while not left.isEmpty():
+    for done in count():
+        if left.isEmpty():
+            break
+        if done % ROUNDS == ROUNDS - 1:
+            node = lambda side: F.xxhash64(f"{side}1", f"{side}2")  # noqa: E731  equal hashes would only join two components
+            roots = connected_components(left.select(node("a").alias("a"), node("b").alias("b")))
+            named = staged(left.withColumn("node", node("a")).join(roots, "node").drop("node"), "named_links")
+            sizes = named.groupBy("root").agg((F.count(F.lit(1)) <= LOCAL).alias("local"))
+            named = staged(named.join(sizes, "root"), "sized_links")
+            gone.append(staged(named.filter("local").groupBy("root").applyInArrow(lambda rows: _settled(rows), "k1 long, k2 long"), "gone"))
+            left = named.filter("not local").select("a1", "a2", "b1", "b2")
+            continue
         stay = ends(left, "b").distinct().join(ends(left, "a"), ["k1", "k2"], "left_anti").toDF("b1", "b2")
         gone.append(staged(ends(left.join(stay, ["b1", "b2"], "left_semi"), "a").distinct(), "gone"))
         left = left.join(gone[-1].toDF("a1", "a2"), ["a1", "a2"], "left_anti").join(gone[-1].toDF("b1", "b2"), ["b1", "b2"], "left_anti")
@@ -169,26 +225,37 @@ def gone_of(links: DataFrame) -> DataFrame:
     return out
 
 
-def near_copy_keys(docs: DataFrame, shingle: int, radius: int, similar: float, least_like: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def near_copy_keys(docs: DataFrame, shingle: int, radius: int, similar: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Two tables (k1, k2): the first documents of all shingle sets, and those of them that go."""
     base = keyed(docs, id_col, text_col)
     prints = staged(base.mapInArrow(_prints(shingle), PRINTS), "prints")
     firsts = prints.groupBy("s1", "s2").agg(F.min(order()).alias("o")).select("o.k1", "o.k2")
     prints = staged(prints.join(firsts, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).drop("s1", "s2"), "distinct_sets")
-    gone, active, proposed = prints.select("k1", "k2").filter("false"), prints, fingerprint_pairs(prints, radius)
-    while True:
-        pairs = staged(bucket_pairs(active, least_like).unionByName(proposed).distinct(), "pairs")
-        links = staged(exact_links(pairs.filter("a1 <> b1 or a2 <> b2"), base, shingle, similar), "links")
-        if links.isEmpty():
+    dealt = staged(prints.select("k1", "k2", F.explode("bands").alias("bucket")), "bands")
+    keys = ["a1", "a2", "b1", "b2"]
+    tested = links = fingerprint_pairs(prints, radius).filter("false")
+    gone = prints.select("k1", "k2").filter("false")
+    for k in count():
+        live = dealt.join(gone, ["k1", "k2"], "left_anti") if k else dealt
+        like_enough = least_like(similar, LONG if k else BANDS * BAND_ROWS)
+        found = staged(bucket_pairs(staged(live, "live") if k else live, prints, like_enough, GROWTH**k, not k), "pairs")
+        new = found.filter("a1 <> b1 or a2 <> b2")
+        new = staged((new.unionByName(fingerprint_pairs(prints, radius)) if not k else new).distinct().join(tested, keys, "left_anti"), "new_pairs")
+        more = not found.filter("a1 = b1 and a2 = b2").isEmpty()
+        if new.isEmpty():
+            if not more:
+                return prints.select("k1", "k2"), gone
+            continue
+        tested = tested.unionByName(new)
+        linked = staged(exact_links(new, base, shingle, similar), "links")
+        if not linked.isEmpty():
+            links = links.unionByName(linked)
+            gone = staged(gone_of(links), "gone_now")
+        elif not more:
             return prints.select("k1", "k2"), gone
-        now = staged(gone_of(links), "gone_now")
-        gone = gone.unionByName(now)
-        again = links.unionByName(pairs.filter("a1 = b1 and a2 = b2")).select(F.col("a1").alias("k1"), F.col("a2").alias("k2"))
-        active = staged(active.join(again, ["k1", "k2"], "left_semi").join(now, ["k1", "k2"], "left_anti"), "active")
-        proposed = pairs.filter("false")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, similar: float = SIMILAR, least_like: float = LEAST_LIKE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near copies of earlier documents that stay, and without repeats of rows equal in id and text.
 
     Earlier is a lesser id (null ids last), then a lesser key. Each document that goes has
@@ -197,7 +264,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 4, similar
     columns are kept whatever their names; an empty table gives an empty result. Long texts are handled one
     at a time, whole.
     """
-    firsts, gone = near_copy_keys(docs, shingle, radius, similar, least_like, id_col, text_col)
+    firsts, gone = near_copy_keys(docs, shingle, radius, similar, id_col, text_col)
     id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
     rows = packed(docs, F.coalesce(id_, F.lit(0)).alias("k1"), F.xxhash64(id_, text).alias("k2"))
     kept = firsts.join(gone, ["k1", "k2"], "left_anti")
