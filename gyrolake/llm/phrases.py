@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gyrolake.plans.staging import Stage, staged, tasks
 
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 21
 NUMBERS = 1 << 24  # of words or phrases in a block; only a piece of as many different words without any end would need more
 BLOCKS = 1 << 14  # of a task
 BUCKETS = 16  # of lists for every shuffle partition
@@ -140,8 +140,8 @@ def extend(k: int, blocks: DataFrame, kept: DataFrame, buckets: int) -> DataFram
 
     ``blocks`` (block, steps, numbers) has the list number of every position that is in a list, and
     the steps from one such position to the next; for k = 1 (block, numbers) has the word at every
-    position. ``kept`` (block, number, w1..wk, f) tells the lists whose phrases are frequent, and how
-    frequent. The result has the new lists as ``steps`` and ``numbers`` again, and bucket by bucket
+    position. ``kept`` (block, number, w1..wk, shares) tells the lists whose phrases are frequent, and in
+    how many shares their followers are counted. The result has the new lists as ``steps`` and ``numbers`` again, and bucket by bucket
     the number of the first list, the lists' words w1..w<k+1> and lengths n. A bucket has all lists
     with the same first k words; those of a very frequent phrase are dealt to shares by the following
     word, so that what must meet in a bucket has no more than about SHARE occurrences.
@@ -156,7 +156,7 @@ def extend(k: int, blocks: DataFrame, kept: DataFrame, buckets: int) -> DataFram
             return pa.Table.from_arrays([pa.array([], t) for t in kinds], columns)
         numbers = ints(held["numbers"])
         positions = np.arange(len(numbers)) if k == 1 else np.cumsum(ints(held["steps"]), dtype=np.int64)
-        words, often = np.stack([good[w].to_numpy() for w in names[:-1]]), good["f"].to_numpy()
+        words, shares = np.stack([good[w].to_numpy() for w in names[:-1]]), good["shares"].to_numpy()
         row = np.full(max(int(numbers.max(initial=0)), int(good["number"].to_numpy().max())) + 1, -1, np.int32)
         row[good["number"].to_numpy()] = np.arange(good.num_rows)
         of = row[numbers]
@@ -165,7 +165,7 @@ def extend(k: int, blocks: DataFrame, kept: DataFrame, buckets: int) -> DataFram
         post_at, post_word = at + k - 1, words[k - 1, of]
         _, left, right = np.intersect1d(at + k, post_at, assume_unique=True, return_indices=True)
         head, word, found = of[left], post_word[right], at[left]
-        part = share(word, often[head] // SHARE + 1)
+        part = share(word, shares[head])
         dealt = bucket(words[:, head], part, buckets)
         order = np.lexsort((word, head, dealt))
         head, word, dealt = head[order], word[order], dealt[order]
@@ -204,7 +204,7 @@ def mine(docs: DataFrame, text_col: str, lang_col: str, least: int, size: int =
     held, buckets = blocks, BUCKETS * tasks(docs.sparkSession)
     for k in range(1, LONGEST):
         names = [f"w{j}" for j in range(1, k + 2)]
-        extended = Stage(extend(k, held.rows.select("block", "numbers", *["steps"][: k - 1]), kept.select("block", "number", *names[:-1], "f"), buckets), f"lists_{k + 1}")
+        extended = Stage(extend(k, held.rows.select("block", "numbers", *["steps"][: k - 1]), kept.select("block", "number", *names[:-1], (F.floor(F.col("f") / SHARE) + 1).alias("shares")), buckets), f"lists_{k + 1}")
         held.drop()
         held = extended
         dealt = held.rows.select("block", F.explode(F.arrays_zip("bucket", "number", *names, "n")).alias("x")).select("block", "x.*").repartition("bucket")
