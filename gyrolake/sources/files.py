@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 from typing import Any
 
 import numpy as np
@@ -37,6 +38,19 @@ def with_content(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     return held.join(files.select("path"), "path", "left_semi")
 
 
+DEEPEST = 64  # levels of nested objects and lists
+_STRINGS = re.compile(rb'"(?:[^"\\]|\\.)*"', re.S)
+
+
+def payload_of(content: bytes) -> Any:
+    """What a JSON file holds; nesting beyond DEEPEST is an error before anything is parsed."""
+    marks = np.frombuffer(_STRINGS.sub(b"", content), np.uint8)
+    level = np.cumsum(np.isin(marks, (91, 123)).astype(np.int32) - np.isin(marks, (93, 125)))
+    if level.max(initial=0) > DEEPEST:
+        raise ValueError("nested too deeply")
+    return json.loads(content)
+
+
 def numeric(value: Any) -> np.ndarray | None:
     """``value`` as an array of doubles, nulls as NaN; None if it is no even table of numbers."""
     try:
@@ -54,7 +68,7 @@ def arrays_of(path: str, content: bytes) -> dict[str, Any]:
     if path.lower().endswith(".npz"):
         with np.load(io.BytesIO(content), allow_pickle=False) as held:
             return {k: str(held[k]) if held[k].dtype.kind in "US" else held[k].astype(np.float64) for k in held.files}
-    payload = json.loads(content)
+    payload = payload_of(content)
     if not isinstance(payload, dict):
         raise ValueError("no named arrays")
     frames = payload.pop("frames", None) if isinstance(payload.get("frames"), list) else None

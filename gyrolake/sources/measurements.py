@@ -164,14 +164,16 @@ def name_of(path: str) -> str:
 
 
 def _rows_of(read: Callable[[str, bytes], dict | list[dict]], schema: pa.Schema):
-    """The rows that ``read`` gives for each file, or one with its problem."""
+    """The rows that ``read`` gives for each file, or one with its problem, whatever is wrong with the file; only a lack of memory ends the task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
                     row = read(path, content.as_py())
-                except (ValueError, OSError, KeyError, TypeError, AttributeError) as why:
+                except MemoryError:
+                    raise
+                except Exception as why:  # noqa: BLE001  damaged archives raise errors of many kinds
                     row = {"problem": str(why)[:200] or type(why).__name__}
                 for r in row if isinstance(row, list) else [row]:
                     yield pa.RecordBatch.from_pylist([{"path": path, **r, "seq": r.get("seq") or name_of(path)}], schema)

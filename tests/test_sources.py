@@ -124,3 +124,56 @@ def test_report_files(spark, tmp_path):
     assert t.read_json(spark, str(tmp_path / "json"), "v double, s string").filter("v is not null").count() == 1
     assert t.first_of(t.read_csv(spark, str(tmp_path / "none")), got).count() == 3
     assert t.tagged(df, s="tag", seed=3).select("s", "seed").distinct().count() == 3
+
+
+def test_damaged_files_end_nothing(spark, tmp_path):
+    from gyrolake.sources import tracks as k
+
+    good = {"body_pose": np.zeros((4, 69)).tolist()}
+    (tmp_path / "good.json").write_text(json.dumps(good))
+    np.savez(tmp_path / "whole.npz", body_pose=np.zeros((4, 69)))
+    (tmp_path / "cut.npz").write_bytes((tmp_path / "whole.npz").read_bytes()[:200])
+    (tmp_path / "empty.npz").write_bytes(b"")
+    (tmp_path / "deep.json").write_text("[" * 100_000 + "]" * 100_000)
+    (tmp_path / "text.json").write_text('{"body_pose": "[[[[[')
+    (tmp_path / "bytes.json").write_bytes(b"\xff\xfe\x00")
+    (tmp_path / "brackets.json").write_text(json.dumps({**good, "note": "[" * 500}))
+    np.savez(tmp_path / "objects.npz", body_pose=np.array([{"a": 1}], dtype=object))
+    for rows in (m.parsed(spark, str(tmp_path)), k.tracks(spark, str(tmp_path))):
+        told = {r.seq: r.problem for r in rows.select("seq", "problem").collect()}
+        assert {s for s, p in told.items() if p is None} == {"good", "whole", "brackets"}
+        assert told.keys() == {"good", "whole", "cut", "deep", "text", "bytes", "brackets", "objects"}  # Spark lists no empty files
+        assert told["deep"] == "nested too deeply"
+    assert m.motion_files(spark, str(tmp_path)).filter("problem is null").count() == 0
+
+
+def test_values_of_tracks(spark, tmp_path):
+    """Shapes of confidences, masks and poses, and what is taken where several would do."""
+    from gyrolake.sources import tracks as k
+
+    body = np.arange(2 * 4 * 3).reshape(2, 4, 3) / 100
+    files = {
+        "number": {"body_pose": body, "confidence": 0.5, "mask": [1, 0]},
+        "frame": {"body_pose": body, "confidence": [0.25, 0.75]},
+        "joint": {"body_pose": body.reshape(2, 12), "confidence": [9, 0.1, 0.2, 0.3, 0.4]},
+        "root": {"poses": np.concatenate([np.full((2, 1, 3), 9.0), body], axis=1), "scores": [[[0, 0, 0.5]] * 5, [[0, 0, 1.0]] * 5]},
+        "invalid": {"body_pose": body, "scores": 7, "a": {"confidence": [0.5, 0.25]}},
+        "bad_first": {"a": {"body_pose": [1, 2]}, "x": {"pred_rotmat": np.tile(np.eye(3), (2, 4, 1, 1))}},
+        "one_track": {"a": {"body_pose": [1, 2]}, "poses": body},
+        "world": {"x": {"body_pose": body + 1}, "in_the_world": {"body_pose": body}},
+        "few": {"body_pose": body[:, :2], "joint_noise_sigma_deg": [6.0], "fps": None, "source_fps": 40},
+    }
+    for name, f in files.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(f, default=lambda a: a.tolist()))
+    how = m.Import(joints=4, frame_rate=20)
+    found = {r.seq: r for r in k.tracks(spark, str(tmp_path), how).collect()}
+    frames = lambda n: [(f.p, f.confidence, f.mask) for f in found[n].frames]
+    flat = [x.ravel().tolist() for x in body]
+    assert frames("number") == [(flat[0], [0.5] * 4, [1.0] * 4), (flat[1], [0.5] * 4, [0.0] * 4)]
+    assert [c for _, c, _ in frames("frame")] == [[0.25] * 4, [0.75] * 4] and frames("joint")[1][1] == [0.1, 0.2, 0.3, 0.4]
+    assert frames("root") == [(flat[0], [0.5] * 4, [1.0] * 4), (flat[1], [1.0] * 4, [1.0] * 4)] and found["root"].key == "poses"
+    assert frames("invalid")[0][1] == [0.5] * 4 and found["bad_first_x"].width == 9 and "bad_first" not in found
+    assert found["one_track"].problem == "no track of poses"  # it names poses itself, and the first of them has no shape of poses
+    assert found["world_in_the_world"].n == 2 and found["world_x"].n == 2
+    assert found["few"].n == 1 and frames("few")[0] == (flat[0][:6] + [0.0] * 6, [1.0, 1.0, 0.0, 0.0], [1.0, 1.0, 0.0, 0.0])
+    assert found["few"].noise_sigma_rad == pytest.approx(math.radians(6)) and found["few"].fps == 40
