@@ -48,7 +48,7 @@ MORE = [
     ("email", rf"(?<!{LOCAL}){LOCAL}++\x20[\[(]?at[\])]?\x20[A-Za-z0-9-]++\x20[\[(]?dot[\])]?\x20[A-Za-z]{{2,10}}+(?![A-Za-z])", r"(?: |\(|\[)at(?: |\)|\])"),
     ("phone", r"(?<![0-9+(][\x20(]?)(?<![0-9][ .-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])", "[0-9]{3}[.-][0-9]{4}"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]{2}-[0-9]"),
-    ("secret", SECRET_START + "[A-Za-z0-9+/_.~-]{16,}+", SECRET_START),
+    ("secret", SECRET_START + "[A-Za-z0-9+/_.~-]{15,}[A-Za-z0-9+/_]", SECRET_START),
     ("secret", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+|[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])", "AKIA|gh[opsu]_|eyJ|[0-9a-f]{32}|[0-9A-F]{32}"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}"),
     ("name", rf"(?<![A-Za-z])(?:{TITLES})\.?\x20\p{{Lu}}\p{{Ll}}++(?:\x20\p{{Lu}}\p{{Ll}}++)?(?!\p{{L}})", rf"(?:{TITLES})\.?\x20\p{{Lu}}"),
@@ -88,6 +88,22 @@ def prefix_sums(a: Column) -> Column:
     return let(a, strided)
 
 
+def scanned(a: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What ``step`` has made of all elements before each, from ``zero`` on; by strides, so that long arrays stay fast."""
+
+    def within(v: Column, start: Column) -> Column:
+        first = F.struct(start.alias("now"), F.array().cast("array<int>").alias("held"))
+        return F.aggregate(v, first, lambda acc, x: F.struct(step(acc["now"], x).alias("now"), F.concat(acc["held"], F.array(acc["now"])).alias("held")))["held"]
+
+    strides = F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / STRIDE).cast("int")), lambda b: F.slice(a, b * STRIDE + 1, F.lit(STRIDE)))
+
+    def joined_up(vs: Column) -> Column:
+        starts = F.aggregate(vs, F.array(zero), lambda acc, v: F.concat(acc, F.array(F.aggregate(v, F.element_at(acc, -1), step))))
+        return let(starts, lambda at: F.flatten(F.transform(vs, lambda v, b: within(v, F.get(at, b)))))
+
+    return let(strides, joined_up)
+
+
 def found(text: Column, pattern: str) -> Column:
     """array<struct<match, start, before, after>>: leftmost non-overlapping matches, their places in code points, and what lies beside them.
 
@@ -268,11 +284,34 @@ def classifier(spans: DataFrame) -> np.ndarray | None:
     return fit(np.array([r["at"] for r in rows]), np.array([r.n for r in rows], float), np.array([belief[r.kind, tuple(r.votes)] for r in rows]))
 
 
+def apart(base: Column, more: Column) -> Column:
+    """Those of ``more`` that overlap none of ``base``, and of those that overlap each other the leftmost, of equal starts the longest; both sorted by start."""
+    least = lambda a, b: F.when(a < b, a).otherwise(b)
+    most = lambda a, b: F.when(a > b, a).otherwise(b)
+    # all spans by start, base ones first: how far those before reach, and, from the other end, where the next begins
+    place = lambda s, of: F.struct(s["start"].alias("start"), F.lit(of).alias("of"), (-s["end"]).alias("back"), s["order"].alias("order"), s["kind"].alias("kind"), s["end"].alias("end"))
+    every = F.array_sort(F.concat(F.transform(base, lambda s: place(s, 0)), F.transform(more, lambda s: place(s, 1))))
+
+    def free(a: Column) -> Column:
+        reach = scanned(a, F.lit(-1), lambda acc, s: F.when(s["of"] == 0, most(acc, s["end"])).otherwise(acc))
+        begins = F.reverse(scanned(F.reverse(a), F.lit(2**31 - 1), lambda acc, s: F.when(s["of"] == 0, least(acc, s["start"])).otherwise(acc)))
+        seen = F.zip_with(F.zip_with(a, reach, lambda s, r: F.struct(s.alias("s"), r.alias("r"))), begins, lambda x, n: F.struct(x["s"].alias("s"), ((x["s"]["of"] == 1) & (x["r"] <= x["s"]["start"]) & (n >= x["s"]["end"])).alias("free")))
+        return F.transform(F.filter(seen, lambda x: x["free"]), lambda x: x["s"])
+
+    def leftmost(a: Column) -> Column:
+        upto = scanned(a, F.lit(-1), lambda acc, s: F.when(s["start"] >= acc, s["end"]).otherwise(acc))
+        taken = F.zip_with(a, upto, lambda s, u: F.struct(s.alias("s"), (s["start"] >= u).alias("taken")))
+        return F.transform(F.filter(taken, lambda x: x["taken"]), lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["order"].alias("order"), x["s"]["kind"].alias("kind"), x["s"]["end"].alias("end")))
+
+    return let(let(every, free), leftmost)
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, base, spans) of every row: arrays of struct<kind, start, end> in order of start, then kind.
 
     ``base`` are the fixed formats' spans that pass their checks, ``spans`` these and the
-    candidates that the span classifier accepts and that overlap none of them. Places
+    candidates that the span classifier accepts and that overlap none of them nor, being the
+    leftmost, the longest, one another. Places
     are code points, ends exclusive; a secret's span is its value, without the word that
     introduces it. Null and empty texts have none. Null ids stay null, repeated rows each
     get their spans, an empty table gives an empty result, and other columns are ignored.
@@ -288,11 +327,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     score = lambda s: F.aggregate(feature_places(s["kind"], s["votes"], s["shape"], s["word"]), F.lit(0.0), lambda acc, x: acc + F.get(worth, x.cast("int")))
     more = F.filter("c", lambda s: ~s["base"] & (score(s) > 0))
     told = held.select("id", F.array_sort(sure).alias("base"), F.array_sort(F.array_distinct(F.transform(more, bare))).alias("more"))
-    # of the base spans, only the last that starts before an added span's end can overlap it
-    before = lambda s: F.size(F.filter("base", lambda b: b["start"] < s["end"]))
-    apart = lambda s: let(before(s), lambda n: (n == 0) | ~F.exists(F.slice("base", F.greatest(n - len(BASE), F.lit(0)) + 1, F.lit(len(BASE))), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    told = told.withColumn("spans", F.when(F.size("more") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", apart(F.col("base"), F.col("more"))))))
     shown = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    told = told.withColumn("spans", F.when(F.size("more") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", F.filter("more", apart)))))
     return told.select(F.col("id").alias(id_col), shown(F.col("base")).alias("base"), shown(F.col("spans")).alias("spans"))
 
 

@@ -106,3 +106,58 @@ def test_no_text_is_too_long_or_too_repetitive(spark):
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.base] for r in find_personal_data(docs).collect()}
     assert got[0] == [("email", 0, 2 * n + 3)] and len(got[1]) == 20_000 and got[1][-1] == ("email", 6 * 19_999, 6 * 20_000 - 1)
     assert [k for k, s, e in got[3]] == ["ip"] * (n // 4)
+
+
+def leftmost(base, more):
+    """Added spans apart from base spans, and among them the leftmost, of equal starts the longest."""
+    free = [s for s in more if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+    taken, end = [], -1
+    for s in sorted(free, key=lambda s: (s[0], -s[1], s[2])):
+        if s[0] >= end:
+            taken.append(s)
+            end = s[1]
+    return taken
+
+
+def test_added_spans_do_not_overlap(spark):
+    from pyspark.sql import functions as F
+
+    from gyrolake.llm.personal_data import apart
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        n, wide = rng.choice((3, 20, 150, 700)), rng.choice((5, 40))
+        cuts = sorted(rng.sample(range(8 * n), 2 * (n // 2)))
+        base = [(a, b, 1) for a, b in zip(cuts[::2], cuts[1::2], strict=True) if rng.random() < 0.3]
+        more = sorted({(a, a + rng.randrange(1, wide), rng.choice((1, 6, 8))) for a in (rng.randrange(8 * n) for _ in range(n))})
+        rows.append((i, base, more))
+    spans = "array<struct<start:int,end:int,order:int>>"
+    df = spark.createDataFrame(rows, f"i int, base {spans}, more {spans}")
+    full = lambda c: F.array_sort(F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), F.lit("k").alias("kind"), s["end"].alias("end"))))
+    got = {r.i: [(s.start, s.end, s.order) for s in r.a] for r in df.select("i", apart(full("base"), full("more")).alias("a")).collect()}
+    for i, base, more in rows:
+        assert got[i] == leftmost(base, more), i
+
+
+def test_one_secret_is_one_span(spark):
+    key = "ghp_" + "aB3" * 12
+    texts = [f"token={key}. end", f"token = {key}", f"(password: {key}...)", f"{key} and api_key='{key}'", "secret: abc_DEF-123/456+789~ ."]
+    rows = [(100 * k + i, f"{i} {t}") for k, t in enumerate(texts) for i in range(30)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        want = "abc_DEF-123/456+789" if i >= 400 else key
+        assert got[i] == [("secret", m.start(), m.end()) for m in re.finditer(re.escape(want), text)], text
+
+
+def test_many_spans_take_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        text = "a@b.co ssn 123-45-6789 " * n
+        began = time.perf_counter()
+        (row,) = find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        took.append(time.perf_counter() - began)
+        assert len(row.base) == n and len(row.spans) == 2 * n
+    assert took[1] < 8 * took[0]  # eight times the spans; most of the first is a fixed part
