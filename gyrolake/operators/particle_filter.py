@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from gyrolake.functions import kernels as K
 from gyrolake.operators import proposals
+from gyrolake.operators.blocks import checked
 from gyrolake.operators.motions import Motion
 
 ESTIMATES = "seq long, t int, joint int, " + ", ".join(f"e{k} double" for k in range(9)) + ", ess double, resampled boolean, spread_deg double"
@@ -29,7 +30,7 @@ OBSERVED = [f"o{k}" for k in range(9)]
 
 @dataclass(frozen=True)
 class Options:
-    """``blocks`` names the weight groups: "global" (one), "joint" (one each) or "contiguous" (four joints each).
+    """``blocks`` are the groups of joints that share weights, by name or as lists (see gyrolake.operators.blocks).
 
     ``shared_resampling`` gives every block the same ancestors, drawn by the mean weights.
     ``outlier`` mixes a floor into the likelihood, ``gain`` pulls predictions to what is seen,
@@ -39,7 +40,8 @@ class Options:
     particles whose last step was shorter, or that made none yet, stand still. ``model`` is a model
     of motion in place of all these; particles keep as many past poses as it looks at. ``sigma`` is
     the noise where the measurements do not tell it. ``proposal`` holds the weights of a learned correction (see gyrolake.operators.proposals), which follows every
-    prediction under ``proposal_noise`` and is at most ``proposal_cap`` long.
+    prediction under ``proposal_noise`` and is at most ``proposal_cap`` long; ``corrector`` is a
+    trained net in its place.
     """
 
     particles: int = 128
@@ -47,7 +49,7 @@ class Options:
     sigma: float = 0.2
     gain: float = 0.2
     threshold: float = 0.5
-    blocks: str = "joint"
+    blocks: str | tuple[tuple[int, ...], ...] = "joint"
     shared_resampling: bool = False
     outlier: float = 0.0
     velocity: bool = False
@@ -58,6 +60,7 @@ class Options:
     proposal: tuple[float, ...] = ()
     proposal_noise: float = 0.0
     proposal_cap: float | None = None
+    corrector: proposals.NetProposal | None = None
     seed: int = 0
 
 
@@ -68,11 +71,8 @@ def fitted(options: Options, fit: DataFrame, slow: float | None = None) -> Optio
     return replace(options, drift=numbers("mean"), spread=numbers("std"), slow=slow)
 
 
-def partition(kind: str, joints: int) -> list[np.ndarray]:
-    sizes = {"global": joints, "joint": 1, "contiguous": 4}
-    if kind not in sizes:
-        raise ValueError(f"unknown blocks {kind!r}; known: {', '.join(sizes)}")
-    return [np.arange(k, min(joints, k + sizes[kind])) for k in range(0, joints, sizes[kind])]
+def partition(kind: str | tuple[tuple[int, ...], ...], joints: int) -> list[np.ndarray]:
+    return [np.array(b) for b in checked(kind, joints)]
 
 
 def resample(w: np.ndarray, u: float) -> np.ndarray:
@@ -107,12 +107,14 @@ def step(state: dict | None, observed: np.ndarray, mask: np.ndarray, confidence:
             drifted = K.exp(np.reshape(o.drift, (joints, 3))) @ moved
             still = np.zeros(n, bool) if o.slow is None else np.ones(n, bool) if last is None else K.angle(x, last).mean(axis=1) < o.slow
             moved = np.where(still[:, None, None, None], moved, drifted)
-        keep = max(1, o.model.history if o.model else 1)
+        keep = max(1, o.model.history if o.model else 1, o.corrector.history if o.corrector else 1)
         past, x = [*past, x][-keep:], o.model.drawn([*past, x][-1 - o.model.history :], rng) if o.model else noise @ moved
     if o.proposal:
         delta = proposals.correction(o.proposal, proposals.features(x, stepped, observed, mask, confidence), o.proposal_cap)
         drawn = rng.normal(0, o.proposal_noise, delta.shape) if o.proposal_noise > 0 else 0.0
         x = K.exp(delta + drawn) @ x
+    if o.corrector and past:
+        x = o.corrector.corrected(x, past, observed, mask, c, sigma, rng)
     if o.gain > 0:
         x = K.exp(o.gain * c[None, :, None] * K.log(observed @ np.swapaxes(x, -1, -2))) @ x
     ll = -0.5 * (K.angle(x, observed) / np.maximum(sigma, 1e-8)) ** 2
@@ -121,7 +123,9 @@ def step(state: dict | None, observed: np.ndarray, mask: np.ndarray, confidence:
     lw = lw + np.stack([(ll[:, p] * c[p]).sum(axis=1) for p in parts])
     w = np.exp(lw - lw.max(axis=1, keepdims=True))
     w /= w.sum(axis=1, keepdims=True)
-    of_joint = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    of_joint = np.empty(joints, int)
+    for b, p in enumerate(parts):
+        of_joint[p] = b
     estimate = K.project(np.einsum("jn,njab->jab", w[of_joint], x))
     ess = 1 / (w * w).sum(axis=1)
     spread = float(np.degrees(K.angle(x, estimate)).mean())

@@ -108,9 +108,22 @@ def adam(weights: list[np.ndarray], gradient_of, rounds: int, rate: float, decay
     return losses
 
 
-def fit_net(poses: DataFrame, history: int = 0, how: Training = Training(), cap_deg: float | None = None, scale: float = 1.0, step_cap: float = np.inf) -> tuple[Net, list[float]]:
-    """A net from a pose (and its last ``history`` steps) to the next step, and the loss of every round."""
-    pairs = staged(examples(frames_of(poses), history), "examples")
+@dataclass(frozen=True)
+class Trained:
+    """A net's moments and weights, what it leaves of the targets, and the loss of every round."""
+
+    moments: np.ndarray
+    target_moments: np.ndarray
+    w1: np.ndarray
+    b1: np.ndarray
+    w2: np.ndarray
+    b2: np.ndarray
+    left: np.ndarray
+    losses: list[float]
+
+
+def trained(pairs: DataFrame, how: Training) -> Trained:
+    """A net from x to y, for staged ``pairs`` (x, y)."""
     at, to, n = moments(pairs)
     at[1], to[1] = np.maximum(at[1], how.floor), clamped(to[1], None)
     weights = start(at.shape[1], how.hidden, to.shape[1], how.seed)
@@ -122,4 +135,10 @@ def fit_net(poses: DataFrame, history: int = 0, how: Training = Training(), cap_
     losses = adam(weights, mean_gradient, how.rounds, how.rate, how.decay)
     w1, b1, w2, b2 = weights
     left = left_spread(pairs, lambda x: (np.tanh((x - at[0]) / at[1] @ w1 + b1) @ w2 + b2) * to[1] + to[0])
-    return Net(clamped(left.reshape(-1, 3), cap_deg), at, to, w1, b1, w2, b2, scale, step_cap, history=history), losses
+    return Trained(at, to, w1, b1, w2, b2, left, losses)
+
+
+def fit_net(poses: DataFrame, history: int = 0, how: Training = Training(), cap_deg: float | None = None, scale: float = 1.0, step_cap: float = np.inf) -> tuple[Net, list[float]]:
+    """A net from a pose (and its last ``history`` steps) to the next step, and the loss of every round."""
+    t = trained(staged(examples(frames_of(poses), history), "examples"), how)
+    return Net(clamped(t.left.reshape(-1, 3), cap_deg), t.moments, t.target_moments, t.w1, t.b1, t.w2, t.b2, scale, step_cap, history=history), t.losses

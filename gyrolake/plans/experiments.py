@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gyrolake.functions import rotations as R
+from gyrolake.operators import blocks, proposals
 from gyrolake.operators import evaluation as E
 from gyrolake.operators import experiments as X
 from gyrolake.operators import motions as M
 from gyrolake.operators import particle_filter as P
 from gyrolake.operators import training as T
 from gyrolake.operators import transitions
-from gyrolake.plans.bindings import MOVING_SQL, POSES_SQL, delta_sql, dist_sql, exp_sql, moving
+from gyrolake.plans.bindings import MOVING_SQL, POSES_SQL, delta_sql, dist_sql, exp_sql, moving, table
+from gyrolake.plans.estimators import scored
 from gyrolake.plans.evaluations import _HELD, five
 from gyrolake.plans.sourced import new_folder, written
 from gyrolake.plans.staging import staged
@@ -176,6 +179,49 @@ def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.means(rows, ["cell", "noise_deg", "occlusion_prob", "seed", "model"])
 
 
+TEACHING = X.Grid((5.0, 12.0, 20.0), (0.25,), (2,))
+
+
+@register()
+def experiment_net_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test sequences under a filter that stands still: alone, with a linear correction and with a net's, both taught on drawn measurements of training sequences."""
+    train, test = parts(spark, sf_dir)
+    model = M.fit_still(train, math.degrees(0.05))
+    taught = staged(X.drawn(train, TEACHING).withColumn("sigma", F.radians("noise_deg")).withColumn("seq", F.col("key")), "taught")
+    net, _ = proposals.fit_proposal(taught, model, 2, T.Training(hidden=48, rounds=80, rate=0.02), noise=0.5)
+    weights, spread = proposals.fit(taught)
+    base = P.Options(particles=32, gain=0.0, model=model)
+    runs = {"alone": base, "linear": replace(base, proposal=weights, proposal_noise=0.5 * spread, proposal_cap=1.0), "net": replace(base, corrector=net)}
+    known = staged(observed(test).withColumn("sigma", F.lit(0.2)), "known")
+    estimates = staged(P.run_variants(known, list(runs.values())), "estimates")
+    told = E.sequence_metrics(known, estimates, F.lit(32), NOISE_DEG, ("variant", "seq"))
+    return told.withColumn("proposal", F.get(F.array(*map(F.lit, runs)), F.col("variant"))).select("proposal", "seq", "observed_error_deg", "filter_error_deg", "filter_observed_joint_error_deg", "filter_occluded_joint_error_deg", "mean_ess")
+
+
+LIMBS = ((2, 5, 8, 11, 14), (0, 3, 6, 9), (1, 4, 7, 10), (12, 15, 17, 19), (13, 16, 18, 20))
+
+
+@register()
+def particle_filter_limbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joints of a limb share weights and ancestors; the lists come from a table of blocks."""
+    given = blocks.of_table(blocks.block_table(spark, LIMBS, 21), 21)
+    return scored(spark, sf_dir, lambda m: P.run_filter(m, P.Options(blocks=given)))
+
+
+_BLOCKS = "given AS (SELECT p_brand AS block, CAST(p_size * 3 % 70 AS INTEGER) AS joint FROM part)"
+
+
+@register(
+    f"WITH {_BLOCKS} SELECT 'unknown joint' AS problem, block, joint FROM given WHERE joint NOT BETWEEN 0 AND 59 GROUP BY ALL UNION ALL "
+    "SELECT 'doubled joint', NULL, joint FROM given WHERE joint BETWEEN 0 AND 59 GROUP BY joint HAVING count(*) > 1 UNION ALL "
+    "SELECT 'uncovered joint', NULL, CAST(j AS INTEGER) FROM range(60) t(j) WHERE j NOT IN (SELECT joint FROM given)"
+)
+def block_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps a table of blocks from being a partition of 60 joints."""
+    given = table(spark, sf_dir, "part").select(F.col("p_brand").alias("block"), (F.col("p_size") * 3 % 70).cast("int").alias("joint"))
+    return blocks.problems(given, 60)
+
+
 # --- detector files -----------------------------------------------------------------------------
 
 
