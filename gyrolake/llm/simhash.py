@@ -36,7 +36,7 @@ from gyrolake.plans.staging import staged
 
 SEED = 42
 SHARD = 4096  # fingerprints of a tree
-LEAF = 16  # fingerprints that a tree node keeps without splitting
+LEAF = 1  # fingerprints that a tree node keeps without splitting: its pivot alone
 EXPECTED = 1024  # fingerprints of a shard, were they spread evenly, up to which no more blocks are made
 SHARED = 64  # of a large shard's fingerprints that all its parts get, about
 

@@ -153,3 +153,15 @@ def test_pipeline_stage_drops_only_lines_held_elsewhere(spark):
     want = {i: t for i, t, n in brute(rows, corpus_pipeline.BOILERPLATE_DOCS) if not n or re.search("[^ \\t\\n\\x0b\\x0c\\r]", t)}
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()}
     assert got == want and got != dict(rows)
+
+
+def test_equal_rows_are_one_document(spark):
+    """Nine equal rows and one other document hold the line in two documents, not in ten."""
+    rows = [(1, "the line that recurs here\nand more of the first")] * 9 + [(2, "the line that recurs here\nand more of the second")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 4):
+        assert all(r.n_dropped == 0 for r in dedup_lines(docs.repartition(parts), min_docs=10).collect())
+        assert sorted(r.n_dropped for r in dedup_lines(docs.repartition(parts), min_docs=2).collect()) == [0] * 9 + [1]
+    others = docs.unionByName(spark.createDataFrame([(10 + k, "the line that recurs here") for k in range(8)], "doc_id long, text string"))
+    assert sum(r.n_dropped for r in dedup_lines(others.repartition(3), min_docs=10).collect()) == 9
+    assert sum(r.n_dropped for r in dedup_lines(others.repartition(3), min_docs=11).collect()) == 0
