@@ -108,10 +108,10 @@ def detector_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.parsed(spark, path, M.Import(joints=21)).select(F.col("seq").cast("int").alias("seq"), "problem", "n", r6("noise_sigma_rad").alias("noise_sigma_rad"))
 
 
-@register(f"WITH {VECTORS_SQL} SELECT seq, t, joint, round(x,6)+0.0 AS x, round(y,6)+0.0 AS y, round(z,6)+0.0 AS z FROM vectors WHERE seq < 6 AND seq % 2 = 0")
+@register(f"WITH {VECTORS_SQL} SELECT seq, t, joint, round(x,6)+0.0 AS x, round(y,6)+0.0 AS y, round(z,6)+0.0 AS z FROM vectors WHERE seq % 2 = 0")
 def detector_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of files that name one sequence the last is taken; files of few frames and outside the subset are left out."""
-    f = frames(spark, sf_dir).filter("seq < 6")
+    f = frames(spark, sf_dir)
     own = f.select(F.concat(F.lit("Take_"), F.col("seq").cast("string"), F.lit("b")).alias("file"), F.when(F.col("seq") % 2 == 0, F.col("a")).otherwise(F.slice("a", 1, 1)).alias("poses"), F.col("seq").cast("string").alias("sequence_name"))
     older = f.select(F.concat(F.lit("Take_"), F.col("seq").cast("string"), F.lit("a")).alias("file"), F.slice("a", 2, 9).alias("poses"), F.when(F.col("seq") % 2 == 0, F.col("seq").cast("string")).otherwise("short").alias("sequence_name"))
     other = f.select(F.concat(F.lit("other_"), F.col("seq").cast("string")).alias("file"), F.col("a").alias("poses"), F.lit(None).cast("string").alias("sequence_name"))

@@ -314,12 +314,12 @@ def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "events").select(F.col("user_id").alias("seq")).distinct(), 0)
 
 
-@register(f"""WITH RECURSIVE {VECTORS_SQL}, u AS (SELECT seq, joint, t, {u_sql('6', 'seq', 'joint', 't')} AS u FROM vectors WHERE joint < 4),
+@register(f"""WITH RECURSIVE {VECTORS_SQL}, u AS (SELECT seq, joint, t, {u_sql('6', 'seq', 'joint', 't')} AS u FROM vectors),
 chain AS (SELECT seq, joint, t, u < 0.4 AS hidden FROM u WHERE t = 0 UNION ALL SELECT u.seq, u.joint, u.t, CASE WHEN c.hidden THEN u.u >= 0.08 ELSE u.u < {O.markov_rates(0.4, 0.08)[0]!r} END FROM chain c JOIN u ON u.seq = c.seq AND u.joint = c.joint AND u.t = c.t + 1)
 SELECT seq, joint, t, hidden FROM chain""")
 def markov_joint_occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain of hidden and seen frames for each joint, with a given rate of coming back."""
-    return O.markov_hidden(vectors(spark, sf_dir).filter("joint < 4").select("seq", "joint", "t"), ["seq", "joint"], 0.4, 6, recovery=0.08)
+    return O.markov_hidden(vectors(spark, sf_dir).select("seq", "joint", "t"), ["seq", "joint"], 0.4, 6, recovery=0.08)
 
 
 @register(f"WITH {CANDIDATES_SQL} SELECT {WINDOW_COLUMNS} FROM cand WHERE cand.motion >= 1.0 AND stop - start >= {LENGTH}")
