@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gyrolake.operators.reporting import safe_name
+
 RANGES = 64
 BINS = (("low_motion", 0.0, 0.5), ("medium_motion", 0.5, 1.5), ("high_motion", 1.5, float("inf")))
 
@@ -80,3 +82,37 @@ def select_balanced(rows: DataFrame, limit: int, per_file: int | None = None) ->
     by = ["late", F.when(F.col("late") == 0, F.col("bin_order")).otherwise(F.lit(0)), F.desc("motion"), "seq", "start"]
     chosen = marked.orderBy(*by).limit(limit)
     return capped(chosen, by, limit, per_file).drop("bin_order", "place", "late")
+
+
+def manifest(selected: DataFrame, order: list, source: Column, per_source: int = 1) -> DataFrame:
+    """One row a selected window: rank in ``order``, source, its first and last source frame, motion, bin and the file it becomes.
+
+    ``selected`` (seq, start, stop, motion) is a selection and thus bounded; a frame stands for ``per_source`` source frames.
+    """
+    ranked = selected.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("source", source)
+    name = F.concat(F.lit("segment_"), F.lpad(F.col("rank").cast("string"), 3, "0"), F.lit("_"), safe_name(F.col("source")), F.lit(".npz"))
+    frames = [(F.col(c) * per_source).alias(f"source_{n}_frame") for c, n in (("start", "start"), ("stop", "stop"))]
+    return ranked.select("rank", "source", *frames, "motion", bin_of(F.col("motion")).alias("motion_bin"), name.alias("output"))
+
+
+def segment_diagnostics(windows: DataFrame, source: Column, stride: int, min_frames: int, examples: int = 5) -> DataFrame:
+    """Per motion bin of ``windows`` (seq, start, stop, motion): how many there are and how many keep ``min_frames`` after ``stride``, with the first sources and rejections.
+
+    Examples are found by rank within parts of a bin, then of the bin, so no bin is gathered.
+    """
+    frames = F.ceil((F.col("stop") - F.col("start")) / stride)
+    rows = windows.withColumns({"source": source, "frames": frames, "motion_bin": bin_of(F.col("motion"))}).withColumn("usable", F.col("frames") >= min_frames)
+    counted = rows.groupBy("motion_bin").agg(F.count(F.lit(1)).alias("windows"), F.count_if("usable").alias("usable"))
+    told = F.concat("source", F.lit("@"), F.col("start").cast("string"))
+    short = F.concat(told, F.lit(": "), F.col("frames").cast("string"), F.lit(f" frames, {min_frames} needed"))
+
+    def first(df: DataFrame, what: Column, name: str) -> DataFrame:
+        order = ["seq", "start"]
+        part = df.withColumn("part", F.pmod(F.xxhash64("seq", "start"), F.lit(RANGES)))
+        for keys in (["motion_bin", "part"], ["motion_bin"]):
+            part = part.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("nth") <= examples)
+        held = F.array_sort(F.collect_list(F.struct("nth", what.alias("w"))))
+        return part.groupBy("motion_bin").agg(F.array_join(F.transform(held, lambda x: x["w"]), "; ").alias(name))
+
+    out = counted.join(first(rows, told, "source_examples"), "motion_bin", "left").join(first(rows.filter(~F.col("usable")), short, "rejection_examples"), "motion_bin", "left")
+    return out.select("motion_bin", "windows", "usable", "source_examples", F.coalesce("rejection_examples", F.lit("")).alias("rejection_examples"))

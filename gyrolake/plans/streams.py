@@ -271,6 +271,32 @@ def select_top_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_columns(N.select_top_motion(window_rows(spark, sf_dir), LIMIT))
 
 
+_BIN = "CASE WHEN motion >= 0 AND motion < 0.5 THEN 'low_motion' WHEN motion >= 0.5 AND motion < 1.5 THEN 'medium_motion' ELSE 'high_motion' END"
+
+
+@register(
+    f"WITH {CANDIDATES_SQL}, top AS (SELECT * FROM cand ORDER BY motion DESC, seq, start LIMIT {LIMIT}), r AS (SELECT *, row_number() OVER (ORDER BY motion DESC, seq, start) - 1 AS rank FROM top) "
+    f"SELECT CAST(rank AS INTEGER) AS rank, 'takes/take ' || seq || '.npz' AS source, start * 3 AS source_start_frame, stop * 3 AS source_stop_frame, round(motion,6)+0.0 AS motion, {_BIN} AS motion_bin, 'segment_' || lpad(CAST(rank AS VARCHAR), 3, '0') || '_take_' || seq || '.npz' AS output FROM r"
+)
+def window_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the fastest windows come from, and the files they become."""
+    chosen = N.select_top_motion(window_rows(spark, sf_dir), LIMIT)
+    source = F.concat(F.lit("takes/take "), F.col("seq").cast("string"), F.lit(".npz"))
+    return N.manifest(chosen, [F.desc("motion"), "seq", "start"], source, 3).withColumn("motion", r6("motion"))
+
+
+_AT = "'take_' || seq || '@' || start"
+
+
+@register(
+    f"WITH {CANDIDATES_SQL}, w AS (SELECT *, {_BIN} AS motion_bin, CAST(ceil((stop - start) / 5.0) AS BIGINT) AS frames, {_AT} AS told FROM cand), e AS (SELECT *, row_number() OVER (PARTITION BY motion_bin ORDER BY seq, start) AS nth, row_number() OVER (PARTITION BY motion_bin, frames < 3 ORDER BY seq, start) AS short FROM w) "
+    "SELECT motion_bin, count(*) AS windows, count(*) FILTER (frames >= 3) AS usable, string_agg(told, '; ' ORDER BY nth) FILTER (nth <= 5) AS source_examples, coalesce(string_agg(told || ': ' || frames || ' frames, 3 needed', '; ' ORDER BY short) FILTER (frames < 3 AND short <= 5), '') AS rejection_examples FROM e GROUP BY motion_bin"
+)
+def segment_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of each motion bin, those that are long enough after downsampling by five, and examples."""
+    return N.segment_diagnostics(window_rows(spark, sf_dir), F.concat(F.lit("take_"), F.col("seq").cast("string")), 5, 3)
+
+
 @register(f"WITH {CANDIDATES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY motion DESC, start) AS nth FROM cand) SELECT {WINDOW_COLUMNS} FROM k WHERE nth <= 2 ORDER BY k.motion DESC, k.seq, k.start LIMIT {LIMIT}")
 def per_file_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_columns(N.select_top_motion(window_rows(spark, sf_dir), LIMIT, per_file=2))
