@@ -7,13 +7,14 @@
    few bits misses most pairs near the threshold, by ``BANDS`` values made of ``BAND_ROWS``
    minima of the set each. Documents that share a value form a bucket.
 3. In a bucket, in order of id, a document is proposed to the earlier documents whose minima
-   agree enough: in the first round to the first of them, later to the first 4, 16, 64.. of
+   agree enough: in the first round to the first of them, later to the first 16, 256.. of
    those that stay so far, by estimates from ``LONG`` more minima. Pairs that were tested are
    not tested again.
 4. A proposed pair is a link if the exact similarity is at least ``similar``. After every
    round, over all links found so far, a document goes if it is linked to an earlier one that
    stays. Rounds end when those that stay have nothing left to be tested against, so a
-   document that was told apart from its first proposals meets all others of its buckets.
+   document that was told apart from its first proposals meets all others of its buckets;
+   that is so when no document has more to propose and none that had gone is back.
 
 A bucket may hold most documents. In the first round a large one is cut into parts, each of
 which also gets the bucket's first document; groups of copies shrink to a few there. In later
@@ -44,7 +45,7 @@ ERRORS = 3.2  # standard errors below the threshold from which an estimate leads
 SIMILAR = 0.8
 ROUNDS = 5  # of settling links, before components are settled each in a task
 LOCAL = 200_000  # links of such a component
-GROWTH = 4  # of the number of proposals a document, from round to round
+GROWTH = 16  # of the number of proposals a document, from round to round
 PRINTS = "k1 long, k2 long, id long, fp long, s1 long, s2 long, bands array<long>, sketch binary, long_sketch binary"
 
 
@@ -233,14 +234,15 @@ def near_copy_keys(docs: DataFrame, shingle: int, radius: int, similar: float, i
     prints = staged(prints.join(firsts, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).drop("s1", "s2"), "distinct_sets")
     dealt = staged(prints.select("k1", "k2", F.explode("bands").alias("bucket")), "bands")
     keys = ["a1", "a2", "b1", "b2"]
-    tested = links = fingerprint_pairs(prints, radius).filter("false")
+    proposed = fingerprint_pairs(prints, radius)
+    tested = links = proposed.filter("false")
     gone = prints.select("k1", "k2").filter("false")
     for k in count():
         live = dealt.join(gone, ["k1", "k2"], "left_anti") if k else dealt
         like_enough = least_like(similar, LONG if k else BANDS * BAND_ROWS)
         found = staged(bucket_pairs(staged(live, "live") if k else live, prints, like_enough, GROWTH**k, not k), "pairs")
         new = found.filter("a1 <> b1 or a2 <> b2")
-        new = staged((new.unionByName(fingerprint_pairs(prints, radius)) if not k else new).distinct().join(tested, keys, "left_anti"), "new_pairs")
+        new = staged((new.unionByName(proposed) if not k else new).distinct().join(tested, keys, "left_anti"), "new_pairs")
         more = not found.filter("a1 = b1 and a2 = b2").isEmpty()
         if new.isEmpty():
             if not more:
@@ -248,10 +250,11 @@ def near_copy_keys(docs: DataFrame, shingle: int, radius: int, similar: float, i
             continue
         tested = tested.unionByName(new)
         linked = staged(exact_links(new, base, shingle, similar), "links")
+        before = gone
         if not linked.isEmpty():
             links = links.unionByName(linked)
             gone = staged(gone_of(links), "gone_now")
-        elif not more:
+        if not more and before.join(gone, ["k1", "k2"], "left_anti").isEmpty():
             return prints.select("k1", "k2"), gone
 
 
