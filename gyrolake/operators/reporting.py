@@ -169,14 +169,15 @@ def placed(rows: DataFrame, order: list) -> DataFrame:
 
 
 def claim(target: str, baseline: str) -> Column:
-    """What a comparison says, as a sentence."""
-    gain = number(F.col("mean_improvement"), 2)
+    """What a comparison says, as a sentence; null if it has no mean."""
+    gain = F.when(F.col("mean_improvement").isNotNull(), number(F.col("mean_improvement"), 2))
     return F.concat(F.col(target), F.lit(" improves on "), F.col(baseline), F.lit(" by "), gain, F.lit(" deg in "), F.col("win_count").cast("string"), F.lit(" of "), F.col("condition_count").cast("string"), F.lit(" conditions"))
 
 
 def number(x: Column, digits: int) -> Column:
-    """A finite number with so many digits, else a blank."""
-    return F.coalesce(F.format_string(f"%.{digits}f", F.round(finite(x.cast("double")), digits)), F.lit(""))
+    """A finite number with so many digits, else a blank; what is rounded to zero from below keeps its sign."""
+    x = finite(x.cast("double"))
+    return F.when(x.isNull(), "").otherwise(F.format_string(f"%.{digits}f", F.when(x < 0, -F.round(-x, digits)).otherwise(F.round(x, digits))))
 
 
 def safe_name(path: Column) -> Column:

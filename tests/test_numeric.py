@@ -194,3 +194,9 @@ def test_a_fitted_drift_carries_hidden_joints(spark):
     assert error(moved) < 6 and error(plain) > 40  # ten hidden steps of 5.7 degrees
     assert error(P.fitted(plain, fit, 0.01)) < 10 and error(P.fitted(plain, fit, 3.0)) > 40
     assert P.fitted(plain, fit.select("joint", "std0", "std1", "std2")).drift == ()
+
+
+def test_numbers_keep_the_sign_of_what_rounds_to_zero(spark):
+    values = [(-0.003,), (0.003,), (-0.005,), (0.005,), (-1.236,), (1.236,), (0.0,), (None,), (float("nan"),), (float("-inf"),)]
+    got = [r.x for r in spark.createDataFrame(values, "v double").select(B.number(F.col("v"), 2).alias("x")).collect()]
+    assert got == ["-0.00", "0.00", "-0.01", "0.01", "-1.24", "1.24", "0.00", "", "", ""]
