@@ -45,9 +45,14 @@ def method_class(method: Column, backend: Column | None = None) -> Column:
 
 
 def with_baselines(rows: DataFrame) -> DataFrame:
-    """Adds raw_err and persistence_err of the condition, and the improvements over both."""
-    base = rows.groupBy(*CONDITION).agg(F.max(F.when(F.col("method") == "raw_measurement", F.col("err"))).alias("raw_err"), F.max(F.when(F.col("method") == "persistence", F.col("err"))).alias("persistence_err"))
-    return rows.join(base, CONDITION).withColumns({"improvement_vs_raw": F.col("raw_err") - F.col("err"), "improvement_vs_persistence": F.col("persistence_err") - F.col("err")})
+    """Adds raw_err and persistence_err of the condition, and the improvements over both; rows of no condition go.
+
+    Both come from the very rows they stand beside: computed a second time, a mean's floats may be added in
+    another order, and a baseline would then differ from itself.
+    """
+    own = lambda method: F.max(F.when(F.col("method") == method, F.col("err"))).over(Window.partitionBy(*CONDITION))
+    based = rows.dropna(subset=CONDITION).withColumns({"raw_err": own("raw_measurement"), "persistence_err": own("persistence")})
+    return based.withColumns({"improvement_vs_raw": F.col("raw_err") - F.col("err"), "improvement_vs_persistence": F.col("persistence_err") - F.col("err")})
 
 
 def ranked(rows: DataFrame) -> DataFrame:

@@ -196,6 +196,19 @@ def test_a_fitted_drift_carries_hidden_joints(spark):
     assert P.fitted(plain, fit.select("joint", "std0", "std1", "std2")).drift == ()
 
 
+def test_a_baseline_is_no_worse_than_itself(spark):
+    """The errors are drawn anew whenever the board is computed, as the last bits of a mean may be."""
+    drawn = F.udf(lambda: float(np.random.default_rng().random()), "double").asNondeterministic()
+    cells = spark.range(12).select(F.lit("a").alias("dataset"), F.lit("b").alias("motion_bin"), F.col("id").cast("string").alias("noise_deg"), F.lit("0").alias("occlusion_prob"))
+    methods = spark.createDataFrame([("raw_measurement",), ("persistence",), ("ema",)], "method string")
+    board = cells.crossJoin(methods).withColumns({"err": drawn(), "row_count": F.lit(1)})
+    told = {r.method: r for r in B.paper_summary(board).collect()}
+    assert told["raw_measurement"].mean_improvement_vs_raw == told["persistence"].mean_improvement_vs_persistence == 0.0
+    assert told["raw_measurement"].worse_than_raw_count == told["persistence"].worse_than_persistence_count == 0
+    unknown = board.withColumn("noise_deg", F.lit(None).cast("string"))
+    assert B.with_baselines(unknown).count() == 0
+
+
 def test_numbers_keep_the_sign_of_what_rounds_to_zero(spark):
     values = [(-0.003,), (0.003,), (-0.005,), (0.005,), (-1.236,), (1.236,), (0.0,), (None,), (float("nan"),), (float("-inf"),)]
     got = [r.x for r in spark.createDataFrame(values, "v double").select(B.number(F.col("v"), 2).alias("x")).collect()]
