@@ -11,6 +11,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ from gyrolake.functions import kernels as K
 from gyrolake.operators import proposals
 from gyrolake.operators.blocks import checked
 from gyrolake.operators.motions import Motion
+from gyrolake.plans.staging import tasks
 
 ESTIMATES = "seq long, t int, joint int, " + ", ".join(f"e{k} double" for k in range(9)) + ", ess double, resampled boolean, spread_deg double"
 OBSERVED = [f"o{k}" for k in range(9)]
@@ -72,6 +74,11 @@ def fitted(options: Options, fit: DataFrame, slow: float | None = None) -> Optio
 
 
 def partition(kind: str | tuple[tuple[int, ...], ...], joints: int) -> list[np.ndarray]:
+    return _partition(kind if isinstance(kind, str) else tuple(map(tuple, kind)), joints)
+
+
+@cache
+def _partition(kind: str | tuple[tuple[int, ...], ...], joints: int) -> list[np.ndarray]:
     return [np.array(b) for b in checked(kind, joints)]
 
 
@@ -102,7 +109,7 @@ def step(state: dict | None, observed: np.ndarray, mask: np.ndarray, confidence:
         last = past[-1] if past else None
         stepped = K.log(x @ np.swapaxes(last, -1, -2)) if o.proposal and last is not None else np.zeros((n, joints, 3))
         # products of products drift off the rotations, so a repeated step is projected back
-        moved = K.project((x @ np.swapaxes(last, -1, -2)) @ x) if o.velocity and last is not None else x
+        moved = K.straightened((x @ np.swapaxes(last, -1, -2)) @ x) if o.velocity and last is not None else x
         if o.drift:
             drifted = K.exp(np.reshape(o.drift, (joints, 3))) @ moved
             still = np.zeros(n, bool) if o.slow is None else np.ones(n, bool) if last is None else K.angle(x, last).mean(axis=1) < o.slow
@@ -120,7 +127,8 @@ def step(state: dict | None, observed: np.ndarray, mask: np.ndarray, confidence:
     ll = -0.5 * (K.angle(x, observed) / np.maximum(sigma, 1e-8)) ** 2
     if o.outlier > 0:
         ll = np.logaddexp(np.log1p(-o.outlier) + ll, np.log(o.outlier))
-    lw = lw + np.stack([(ll[:, p] * c[p]).sum(axis=1) for p in parts])
+    told = (ll * c).T
+    lw = lw + np.add.reduceat(told[np.concatenate(parts)], np.cumsum([0, *map(len, parts[:-1])]), axis=0)
     w = np.exp(lw - lw.max(axis=1, keepdims=True))
     w /= w.sum(axis=1, keepdims=True)
     of_joint = np.empty(joints, int)
@@ -131,18 +139,20 @@ def step(state: dict | None, observed: np.ndarray, mask: np.ndarray, confidence:
     spread = float(np.degrees(K.angle(x, estimate)).mean())
     lw = np.log(w + 1e-300)
     us = rng.random(len(parts))
+    held = [x, *past]
     if o.shared_resampling:
         due = np.full(len(parts), ess.mean() < o.threshold * n)
-        ancestors = [resample(w.mean(axis=0), us[0])] * len(parts)
+        if due.any():
+            ancestors = resample(w.mean(axis=0), us[0])
+            held, lw = [a[ancestors] for a in held], np.zeros_like(lw)
     else:
         due = ess < o.threshold * n
-        ancestors = [resample(w[b], us[b]) if due[b] else None for b in range(len(parts))]
-    held = [a.copy() for a in (x, *past)] if due.any() else [x, *past]
-    for b, p in enumerate(parts):
-        if due[b]:
-            for a in held:
-                a[:, p] = a[ancestors[b]][:, p]
-            lw[b] = 0.0
+        if due.any():
+            rows = np.repeat(np.arange(n)[:, None], joints, axis=1)  # each joint's ancestors
+            for b in np.flatnonzero(due):
+                rows[:, parts[b]] = resample(w[b], us[b])[:, None]
+            held = [a[rows, np.arange(joints)] for a in held]
+            lw[due] = 0.0
     return {"x": held[0], "past": held[1:], "lw": lw}, estimate, float(ess.mean()), bool(due.any()), spread
 
 
@@ -189,40 +199,47 @@ def _estimates(keys: dict[str, int], rows: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 
 
-def _in_order(rows: DataFrame, keys: list[str], options_of) -> DataFrame:
-    """Filters sequences, told apart by ``keys``, side by side; ``options_of`` gives the options of a key."""
+def _in_order(measured: DataFrame, variants: list[Options], schema: str) -> DataFrame:
+    """Filters sequences side by side, every one under all ``variants`` in the same pass over its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, own = None, None
+        current, own = None, []
+
+        def told(k: int, frames: list[np.ndarray]) -> pa.RecordBatch:
+            return _estimates({"variant": k, "seq": current} if numbered else {"seq": current}, frames)
+
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in keys], axis=1)
+            ids = b.column("seq").to_numpy()
             values = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in INPUT], axis=1)
-            for piece in np.split(np.arange(len(ids)), np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1):
-                key = tuple(int(k) for k in ids[piece[0]])
-                if key != current:
-                    if own is not None:
-                        yield _estimates(dict(zip(keys, current, strict=True)), [own.finish()])
-                    current, own = key, _Sequence(key[-1], options_of(key))
-                if done := own.take(values[piece]):
-                    yield _estimates(dict(zip(keys, current, strict=True)), done)
-        if own is not None:
-            yield _estimates(dict(zip(keys, current, strict=True)), [own.finish()])
-
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "t", "joint")
-    return dealt.mapInArrow(run, ("variant int, " if "variant" in keys else "") + ESTIMATES)
+            for piece in np.split(values, np.flatnonzero(ids[1:] != ids[:-1]) + 1):
+                at, ids = int(ids[0]), ids[len(piece) :]
+                if at != current:
+                    for k, o in enumerate(own):
+                        yield told(k, [o.finish()])
+                    current, own = at, [_Sequence(at, o) for o in variants]
+                for k, o in enumerate(own):
+                    if done := o.take(piece):
+                        yield told(k, done)
+        for k, o in enumerate(own):
+            yield told(k, [o.finish()])
+
+    numbered = schema.startswith("variant")
+    rows = _picked(measured, F.col("seq").cast("long").alias("seq"))
+    # a sequence is little to read and much to filter, so parts of a few bytes are not joined again
+    dealt = rows.repartition(tasks(rows.sparkSession), "seq").sortWithinPartitions("seq", "t", "joint")
+    return dealt.mapInArrow(run, schema)
 
 
 def run_filter(measured: DataFrame, options: Options = Options()) -> DataFrame:
     """ESTIMATES of every frame and joint of ``measured`` (seq, t, joint, o0..o8, mask, confidence and, if known, sigma)."""
-    return _in_order(_picked(measured, F.col("seq").cast("long").alias("seq")), ["seq"], lambda key: options)
+    return _in_order(measured, [options], ESTIMATES)
 
 
 def run_variants(measured: DataFrame, variants: list[Options]) -> DataFrame:
     """run_filter under several options side by side, told apart by ``variant``, their place in the list."""
-    each = F.explode(F.array(*[F.lit(k) for k in range(len(variants))])).alias("variant")
-    return _in_order(_picked(measured, each, F.col("seq").cast("long").alias("seq")), ["variant", "seq"], lambda key: variants[key[0]])
+    return _in_order(measured, variants, "variant int, " + ESTIMATES)
 
 
 def stream_filter(measured: DataFrame, options: Options = Options()) -> DataFrame:

@@ -213,3 +213,41 @@ def test_numbers_keep_the_sign_of_what_rounds_to_zero(spark):
     values = [(-0.003,), (0.003,), (-0.005,), (0.005,), (-1.236,), (1.236,), (0.0,), (None,), (float("nan"),), (float("-inf"),)]
     got = [r.x for r in spark.createDataFrame(values, "v double").select(B.number(F.col("v"), 2).alias("x")).collect()]
     assert got == ["-0.00", "0.00", "-0.01", "0.01", "-1.24", "1.24", "0.00", "", "", ""]
+
+
+def test_straightened_finds_the_nearest_rotations():
+    rng = np.random.default_rng(5)
+    a, b = K.exp(rng.normal(0, 2.0, (40, 6, 3))), K.exp(rng.normal(0, 0.3, (40, 6, 3)))
+    m = a @ b @ a
+    m[3, 2] *= 1.02
+    m[4] += rng.normal(0, 0.05, (6, 3, 3))
+    m[5, 1] *= -1.0
+    m[6] += rng.normal(0, 1e-9, (6, 3, 3))
+    got = K.straightened(m)
+    assert np.allclose(got, K.project(m), atol=1e-14) and np.allclose(np.linalg.det(got), 1.0, atol=1e-14)
+
+
+@pytest.mark.parametrize("options", [P.Options(particles=24, velocity=True), P.Options(particles=24, velocity=True, spread=(0.05,) * 18)])
+def test_a_repeated_step_takes_no_singular_values_of_particles(monkeypatch, options):
+    """Of a frame only the six estimates are decomposed, not the 24 x 6 particles."""
+    rng, sizes, svd = np.random.default_rng(1), [], np.linalg.svd
+    monkeypatch.setattr(np.linalg, "svd", lambda m, *a, **k: (sizes.append(len(m.reshape(-1, 9))), svd(m, *a, **k))[1])
+    state = None
+    for t in range(30):
+        state, estimate, *_ = P.step(state, K.exp(rng.normal(0, 0.5, (6, 3))), np.ones(6, bool), np.ones(6), t, 7, options)
+    assert sizes == [6] * 30
+    monkeypatch.undo()
+    assert np.allclose(state["x"], K.project(state["x"]), atol=1e-12)
+
+
+def test_variants_share_one_pass_over_the_measurements(spark):
+    rows = spark.range(60).select((F.col("id") % 3).alias("seq"), (F.floor(F.col("id") / 6) % 10).cast("int").alias("t"), (F.floor(F.col("id") / 3) % 2).cast("int").alias("joint"), *[F.lit(1.0 if k % 4 == 0 else 0.0).alias(f"o{k}") for k in range(9)], F.lit(True).alias("mask"), F.lit(1.0).alias("confidence"))
+    runs = [P.Options(particles=8), P.Options(particles=16, gain=0.0), P.Options(particles=8, blocks="global")]
+    both = P.run_variants(rows, runs)
+    plan = both._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "explode" not in plan and "REPARTITION_BY_NUM" in plan
+    got = {(r.variant, r.seq, r.t, r.joint): r[4:] for r in both.collect()}
+    for k, o in enumerate(runs):
+        for r in P.run_filter(rows, o).collect():
+            assert got.pop((k, r.seq, r.t, r.joint)) == r[3:]
+    assert not got
