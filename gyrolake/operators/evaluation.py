@@ -95,9 +95,12 @@ def sequence_metrics(known: DataFrame, estimates: DataFrame, particles: Column,
 
     ``known`` (seq, t, joint, mask, confidence, err, r0..r8, o0..o8) has the truth, ``estimates`` what a filter
     made of it; ``keys`` tell runs over the same measurements apart. Rows without an estimate do not count.
+    What depends on the measurements alone is told once, however many runs there are.
     """
-    both = with_held(known.join(estimates.select(*keys, "t", "joint", *R.names("e")), ["seq", "t", "joint"]), keys)
-    both = with_changes(both, ["r", "o", "e"], keys)
+    at, changes = ["seq", "t", "joint"], lambda p: [f"{p}{c}{k}" for c in "aj" for k in range(3)]
+    covered = known.join(estimates.select(*at), at, "left_semi")
+    own = with_changes(with_held(covered), ["r", "o"]).select(*at, *R.names("r"), "mask", "confidence", "err", "held", "back", *changes("r"), *changes("o"))
+    both = own.join(with_changes(estimates.select(*keys, "t", "joint", *R.names("e")), ["e"], keys).select(*keys, "t", "joint", *R.names("e"), *changes("e")), at)
     error = F.degrees(R.geodesic(R.cols("e"), R.cols("r")))
     columns = measurement_columns(noise_deg) | split_errors("filter", error) | split_errors("persistence", F.col("held"))
     for name, prefix in (("observed", "o"), ("filter", "e"), ("persistence", None)):
