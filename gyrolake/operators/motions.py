@@ -27,6 +27,7 @@ from gyrolake.operators import transitions
 from gyrolake.operators.smoothing import ridge
 
 FLOOR = math.radians(transitions.FLOOR_DEG)
+ROWS = 512  # of an Arrow batch that a task works on at a time
 
 
 @dataclass(frozen=True, eq=False)
@@ -166,6 +167,18 @@ def with_past(frames: DataFrame, history: int) -> DataFrame:
     return held.filter("y is not null")
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of ``batches``, at most ROWS at a time: what a task computes with takes many times the room of its rows. No slice is empty."""
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS):
+            yield b.slice(k, ROWS)
+
+
+def lists(a: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel()))
+
+
 def poses_of(column: pa.Array) -> np.ndarray:
     """[n, joints, 3, 3] of a list column; rows without a list are NaN."""
     flat, n = column.flatten().to_numpy(zero_copy_only=False), len(column)
@@ -190,10 +203,10 @@ def one_step(frames: DataFrame, model: Motion) -> DataFrame:
     """(seq, t, error, log_density) of every step to frame t: the mean angle in radians between its joints and the expected ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             error, density = np.zeros(b.num_rows), np.full(b.num_rows, np.nan)
-            true = poses_of(b.column("y")) if b.num_rows else None
-            for rows, past in pasts(b, model.history) if b.num_rows else ():
+            true = poses_of(b.column("y"))
+            for rows, past in pasts(b, model.history):
                 error[rows] = K.angle(model.following(past), true[rows]).mean(axis=1)
                 if np.all(model.deviation(past) > 0):
                     density[rows] = model.log_density(past, true[rows])
@@ -212,7 +225,7 @@ def rollout(frames: DataFrame, model: Motion, horizon: int, warm: int = 0) -> Da
     rows = first.groupBy("seq").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "x"))), lambda f: f["x"])).alias("x"), F.count(F.lit(1)).cast("int").alias("n"), F.first(F.size("x")).alias("width"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lengths = b.column("n").to_numpy()
             for n in np.unique(lengths[lengths > warm + 1]):
                 taken = b.take(pa.array(np.flatnonzero(lengths == n)))
@@ -276,15 +289,13 @@ def examples(frames: DataFrame, history: int) -> DataFrame:
     """(x, y): features of every frame that has a next one, and the step to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             true, made = poses_of(b.column("y")), []
             for rows, past in pasts(b, history):
                 made.append((rows, pose_features(past, history), steps(past[-1], true[rows]).reshape(len(rows), -1)))
             order = np.argsort(np.concatenate([r for r, _, _ in made]))
             columns = [np.concatenate([m[k] for m in made])[order] for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.list_(pa.float64())) for c in columns], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([lists(c) for c in columns], ["x", "y"])
 
     return with_past(frames, history).mapInArrow(run, "x array<double>, y array<double>")
 
@@ -293,12 +304,11 @@ def left_spread(pairs: DataFrame, predict: Callable[[np.ndarray], np.ndarray]) -
     """The standard deviation, target by target, of what ``predict`` leaves of y given x."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (c.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in (b.column("x"), b.column("y")))
-                left = y - predict(x)
-                k = np.arange(left.shape[1], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), len(left))), pa.array(left.sum(0)), pa.array((left * left).sum(0))], ["k", "n", "s", "ss"])
+        for b in slices(batches):
+            x, y = (c.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in (b.column("x"), b.column("y")))
+            left = y - predict(x)
+            k = np.arange(left.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), len(left))), pa.array(left.sum(0)), pa.array((left * left).sum(0))], ["k", "n", "s", "ss"])
 
     sums = pairs.select("x", "y").mapInArrow(run, "k int, n bigint, s double, ss double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     rows = sorted(sums.collect(), key=lambda r: r.k)

@@ -117,16 +117,14 @@ def net_examples(drawn: DataFrame, model: M.Motion, history: int) -> DataFrame:
     held = frames.withColumns({**{f"x{k}": F.lag("x", k).over(w) for k in range(1, deep + 1)}, **{f"next_{c}": F.lead(c).over(w) for c in "xom"}}).filter("next_x is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in M.slices(batches):
             made = []
-            for rows, past in M.pasts(b, deep) if b.num_rows else ():
+            for rows, past in M.pasts(b, deep):
                 true, seen = (M.poses_of(b.column(f"next_{c}").take(pa.array(rows))) for c in "xo")
                 told = b.column("next_m").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1, 3)
                 predicted = model.following(past[-1 - model.history :])
                 made.append((net_features(predicted, past, seen, told[:, :, 0], told[:, :, 1], told[:, :, 2], history), M.steps(predicted, true).reshape(len(rows), -1)))
-            if made:
-                columns = [np.concatenate([m[k] for m in made]) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.list_(pa.float64())) for c in columns], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([M.lists(np.concatenate([m[k] for m in made])) for k in (0, 1)], ["x", "y"])
 
     return held.mapInArrow(run, "x array<double>, y array<double>")
 

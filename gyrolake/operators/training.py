@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyrolake.operators.motions import Net, clamped, examples, frames_of, left_spread
+from gyrolake.operators.motions import Net, clamped, examples, frames_of, left_spread, slices
 from gyrolake.plans.staging import staged
 
 GROUPS = 16  # of tasks, whose sums the driver collects
@@ -37,13 +37,12 @@ def moments(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """[2, features] and [2, targets]: mean and standard deviation of x and y, and the number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                z = np.concatenate([c.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in (b.column("x"), b.column("y"))], axis=1)
-                width = len(b.column("x").flatten()) // b.num_rows
-                mean = z.mean(0)
-                k = np.arange(z.shape[1], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), width)), pa.array(np.full(len(k), len(z))), pa.array(mean), pa.array(((z - mean) ** 2).sum(0))], ["k", "width", "n", "mean", "m2"])
+        for b in slices(batches):
+            z = np.concatenate([c.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in (b.column("x"), b.column("y"))], axis=1)
+            width = len(b.column("x").flatten()) // b.num_rows
+            mean = z.mean(0)
+            k = np.arange(z.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), width)), pa.array(np.full(len(k), len(z))), pa.array(mean), pa.array(((z - mean) ** 2).sum(0))], ["k", "width", "n", "mean", "m2"])
 
     parts = pairs.select("x", "y").mapInArrow(run, "k int, width bigint, n bigint, mean double, m2 double")
     # sums of squares about each batch's own mean, brought to the common one
@@ -76,12 +75,11 @@ def gradient_sum(pairs: DataFrame, weights: list[np.ndarray], at: np.ndarray, to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, total = 0.0, np.zeros(sum(w.size for w in weights))
-        for b in batches:
-            if b.num_rows:
-                x, y = (c.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in (b.column("x"), b.column("y")))
-                part, grads = gradient((x - at[0]) / at[1], (y - to[0]) / to[1], weights)
-                loss += part
-                total += np.concatenate([g.ravel() for g in grads])
+        for b in slices(batches):
+            x, y = (c.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in (b.column("x"), b.column("y")))
+            part, grads = gradient((x - at[0]) / at[1], (y - to[0]) / to[1], weights)
+            loss += part
+            total += np.concatenate([g.ravel() for g in grads])
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array([loss]), pa.array([total.tobytes()])], ["part", "loss", "g"])
 
     def add(rows: pa.Table) -> pa.Table:

@@ -222,3 +222,25 @@ def test_batches_do_not_matter(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert want.equals(got) and want.equals(runs)
+
+
+class Narrow(M.Motion):
+    """Stands still and takes few poses at a time."""
+
+    def following(self, past):
+        if len(past[-1]) > 512:
+            raise ValueError(f"{len(past[-1])} poses at once")
+        return super().following(past)
+
+
+def test_tasks_work_on_few_poses_at_a_time(spark):
+    """An Arrow batch has up to 10,000 rows, and what is computed from them takes many times their room."""
+    n = 3000
+    x = F.array(*[F.lit(1.0 if k % 4 == 0 else 0.0) for k in range(9)] * 2)
+    frames = spark.range(n).select(F.lit(1).alias("seq"), F.col("id").cast("int").alias("t"), x.alias("x")).coalesce(1)
+    told = M.one_step(frames, Narrow(np.zeros((2, 3)))).collect()
+    assert sorted(r.t for r in told) == list(range(1, n)) and all(r.error == 0.0 for r in told)
+    pairs = M.examples(frames, 2).collect()
+    assert len(pairs) == n - 1 and all(len(r.x) == 18 and len(r.y) == 6 for r in pairs)
+    at, to, count = T.moments(M.examples(frames, 2))
+    assert count == n - 1 and at.shape == (2, 18) and to.shape == (2, 6) and not at.any() and not to.any()
