@@ -78,7 +78,7 @@ def to_blocks(docs: DataFrame, text_col: str, lang_col: str, size: int = BLOCK_W
             made += 1
             if len(words) > NUMBERS or made >= BLOCKS:
                 raise ValueError(f"a block of {len(words)} different words, or {made} blocks in a task: read the table in smaller partitions")
-            row = [[parts * BLOCKS + made], [lang], [int(counts[1:].sum())], [packed(numbers)], [[w.decode() for w in spelt]], [counts[1:].tolist()]]
+            row = [[parts * BLOCKS + made], [lang], [int(counts[1:].sum())], [numbers.astype("<i4").tobytes()], [[w.decode() for w in spelt]], [counts[1:].tolist()]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)], ["block", "lang", "n_words", "numbers", "words", "counts"])
 
         for b in batches:
@@ -112,6 +112,33 @@ def frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     return told.filter(F.col("f") >= least)
 
 
+def counted(dealt: DataFrame, names: list[str], least: int) -> DataFrame:
+    """(block, number, ``names``, f, own): of lists (block, bucket, number, ``names`` and n as arrays) those whose phrases occur ``least``
+    times, with f, their frequency, and own, whether their place is the phrase's least.
+
+    The lists of a bucket are counted where they meet; only what is frequent comes apart into rows.
+    """
+
+    def run(held: pa.Table) -> pa.Table:
+        sizes = np.array([len(x) for x in held["n"]])
+        n = held["n"].combine_chunks().flatten().to_numpy().astype(np.int64)
+        words = np.stack([held[w].combine_chunks().flatten().to_numpy() for w in names])
+        begin = np.cumsum(sizes) - sizes
+        block = np.repeat(held["block"].to_numpy(), sizes)
+        number = np.repeat(held["number"].to_numpy().astype(np.int64) - begin, sizes) + np.arange(len(n))
+        order = np.lexsort((number, block, *words[::-1]))
+        block, number, n, words = block[order], number[order], n[order], words[:, order]
+        own = np.ones(len(n), bool)
+        own[1:] = (words[:, 1:] != words[:, :-1]).any(axis=0)
+        of = np.cumsum(own) - 1
+        f = np.add.reduceat(n, np.flatnonzero(own))[of]
+        good = f >= least
+        columns = [block, number.astype(np.int32), *words, f, own]
+        return pa.Table.from_arrays([pa.array(c[good]) for c in columns], ["block", "number", *names, "f", "own"])
+
+    return dealt.groupBy("bucket").applyInArrow(run, "block bigint, number int, " + ", ".join(f"{w} bigint" for w in names) + ", f bigint, own boolean")
+
+
 def packed(values: np.ndarray) -> bytes:
     """int32 values byte by byte, lowest bytes first, compressed."""
     return zstandard.compress(np.ascontiguousarray(values, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
@@ -154,7 +181,7 @@ def extend(k: int, blocks: DataFrame, kept: DataFrame, buckets: int) -> DataFram
     def run(key: tuple, held: pa.Table, good: pa.Table) -> pa.Table:
         if held.num_rows == 0 or good.num_rows == 0:
             return pa.Table.from_arrays([pa.array([], t) for t in kinds], columns)
-        numbers = ints(held["numbers"])
+        numbers = np.frombuffer(held["numbers"][0].as_py(), "<i4") if k == 1 else ints(held["numbers"])
         positions = np.arange(len(numbers)) if k == 1 else np.cumsum(ints(held["steps"]), dtype=np.int64)
         words, shares = np.stack([good[w].to_numpy() for w in names[:-1]]), good["shares"].to_numpy()
         row = np.full(max(int(numbers.max(initial=0)), int(good["number"].to_numpy().max())) + 1, -1, np.int32)
@@ -207,12 +234,8 @@ def mine(docs: DataFrame, text_col: str, lang_col: str, least: int, size: int =
         extended = Stage(extend(k, held.rows.select("block", "numbers", *["steps"][: k - 1]), kept.select("block", "number", *names[:-1], (F.floor(F.col("f") / SHARE) + 1).alias("shares")), buckets), f"lists_{k + 1}")
         held.drop()
         held = extended
-        dealt = held.rows.select("block", F.explode(F.arrays_zip("bucket", "number", *names, "n")).alias("x")).select("block", "x.*").repartition("bucket")
-        # lists travel by buckets and come apart where they are counted
-        rows = dealt.select("block", "bucket", "number", F.posexplode(F.arrays_zip(*names, "n")).alias("ahead", "x"))
-        rows = rows.select("block", "bucket", (F.col("number") + F.col("ahead")).alias("number"), *[F.col(f"x.{c}").alias(c) for c in (*names, "n")])
-        told = frequent(rows, ["bucket", *names], least).withColumn("own", F.col("first") == place())
-        kept = staged(told.select("block", "number", *names, "f", "own"), f"phrases_{k + 1}")
+        dealt = held.rows.select("block", F.explode(F.arrays_zip("bucket", "number", *names, "n")).alias("x")).select("block", "x.*")
+        kept = staged(counted(dealt, names, least), f"phrases_{k + 1}")
         found.append(kept.filter("own").select(F.array(*names).alias("w"), "f"))
     held.drop()
     every = found[0]
