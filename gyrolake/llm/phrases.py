@@ -5,7 +5,7 @@ pieces, which no phrase crosses; a hot language or a very long text is thus many
 block a phrase is the list of the positions where it occurs. Lists of length k become lists of
 length k + 1 by merge-joining them, shifted, with the postings of the words next to them; the
 length of a list is the phrase's exact frequency in the block, and the sum over blocks its
-frequency in the language; for that, the lists of a block travel bucket by bucket. Only phrases that reach the least frequency are extended, and only by words that
+frequency in the language; for that, the lists of a block travel bucket by bucket, there and back. Only phrases that reach the least frequency are extended, and only by words that
 end another such phrase.
 
 A word is told by the place (block, number) of its first posting, so keys are exact longs; no
@@ -112,17 +112,18 @@ def frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     return told.filter(F.col("f") >= least)
 
 
-def counted(dealt: DataFrame, names: list[str], least: int) -> DataFrame:
-    """(block, number, ``names``, f, own): of lists (block, bucket, number, ``names`` and n as arrays) those whose phrases occur ``least``
-    times, with f, their frequency, and own, whether their place is the phrase's least.
+def counted(dealt: DataFrame, names: list[str], least: int, again: bool = True) -> DataFrame:
+    """Of lists (block, bucket, number, ``names`` and n as arrays) those whose phrases occur ``least`` times, as one row for a bucket and a block.
 
-    The lists of a bucket are counted where they meet; only what is frequent comes apart into rows.
+    The lists of a bucket are counted where they meet, and go back to their blocks together: ``number``, ``names`` and ``shares`` are
+    arrays of a row's lists. Lists whose place is their phrase's least come first; f has the frequencies of these alone, once a phrase.
+    Without ``again``, when no list is extended any more, the others are left out.
     """
 
     def run(held: pa.Table) -> pa.Table:
         sizes = np.array([len(x) for x in held["n"]])
-        n = held["n"].combine_chunks().flatten().to_numpy().astype(np.int64)
-        words = np.stack([held[w].combine_chunks().flatten().to_numpy() for w in names])
+        n = flat(held["n"]).astype(np.int64)
+        words = np.stack([flat(held[w]) for w in names])
         begin = np.cumsum(sizes) - sizes
         block = np.repeat(held["block"].to_numpy(), sizes)
         number = np.repeat(held["number"].to_numpy().astype(np.int64) - begin, sizes) + np.arange(len(n))
@@ -130,13 +131,23 @@ def counted(dealt: DataFrame, names: list[str], least: int) -> DataFrame:
         block, number, n, words = block[order], number[order], n[order], words[:, order]
         own = np.ones(len(n), bool)
         own[1:] = (words[:, 1:] != words[:, :-1]).any(axis=0)
-        of = np.cumsum(own) - 1
-        f = np.add.reduceat(n, np.flatnonzero(own))[of]
-        good = f >= least
-        columns = [block, number.astype(np.int32), *words, f, own]
-        return pa.Table.from_arrays([pa.array(c[good]) for c in columns], ["block", "number", *names, "f", "own"])
+        f = np.add.reduceat(n, np.flatnonzero(own))[np.cumsum(own) - 1]
+        good = np.flatnonzero((f >= least) & (own | again))
+        good = good[np.lexsort((~own[good], block[good]))]
+        block, own, f = block[good], own[good], f[good]
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        ends = np.append(starts, len(good)).astype(np.int32)
+        owned = np.append(0, np.cumsum(own))[ends].astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (number[good].astype(np.int32), *words[:, good], f // SHARE + 1)]
+        return pa.Table.from_arrays([pa.array(block[starts]), *lists, pa.ListArray.from_arrays(pa.array(owned), pa.array(f[own]))], ["block", "number", *names, "shares", "f"])
 
-    return dealt.groupBy("bucket").applyInArrow(run, "block bigint, number int, " + ", ".join(f"{w} bigint" for w in names) + ", f bigint, own boolean")
+    return dealt.groupBy("bucket").applyInArrow(run, "block bigint, number array<int>, " + ", ".join(f"{w} array<bigint>" for w in names) + ", shares array<bigint>, f array<bigint>")
+
+
+def flat(column: pa.ChunkedArray) -> np.ndarray:
+    """The values of a column, those of its arrays one after the other."""
+    values = column.combine_chunks()
+    return (values.flatten() if pa.types.is_list(values.type) else values).to_numpy()
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -167,7 +178,7 @@ def extend(k: int, blocks: DataFrame, kept: DataFrame, buckets: int) -> DataFram
 
     ``blocks`` (block, steps, numbers) has the list number of every position that is in a list, and
     the steps from one such position to the next; for k = 1 (block, numbers) has the word at every
-    position. ``kept`` (block, number, w1..wk, shares) tells the lists whose phrases are frequent, and in
+    position. ``kept`` (block, number, w1..wk, shares), single values or arrays, tells the lists whose phrases are frequent, and in
     how many shares their followers are counted. The result has the new lists as ``steps`` and ``numbers`` again, and bucket by bucket
     the number of the first list, the lists' words w1..w<k+1> and lengths n. A bucket has all lists
     with the same first k words; those of a very frequent phrase are dealt to shares by the following
@@ -183,9 +194,9 @@ def extend(k: int, blocks: DataFrame, kept: DataFrame, buckets: int) -> DataFram
             return pa.Table.from_arrays([pa.array([], t) for t in kinds], columns)
         numbers = np.frombuffer(held["numbers"][0].as_py(), "<i4") if k == 1 else ints(held["numbers"])
         positions = np.arange(len(numbers)) if k == 1 else np.cumsum(ints(held["steps"]), dtype=np.int64)
-        words, shares = np.stack([good[w].to_numpy() for w in names[:-1]]), good["shares"].to_numpy()
-        row = np.full(max(int(numbers.max(initial=0)), int(good["number"].to_numpy().max())) + 1, -1, np.int32)
-        row[good["number"].to_numpy()] = np.arange(good.num_rows)
+        words, shares, listed = np.stack([flat(good[w]) for w in names[:-1]]), flat(good["shares"]), flat(good["number"])
+        row = np.full(max(int(numbers.max(initial=0)), int(listed.max())) + 1, -1, np.int32)
+        row[listed] = np.arange(len(listed))
         of = row[numbers]
         at, of = positions[of >= 0], of[of >= 0]
         # postings of the words that end a frequent phrase of k words, each at its own position
@@ -225,18 +236,20 @@ def mine(docs: DataFrame, text_col: str, lang_col: str, least: int, size: int =
     each = each.select("block", (F.col("number") + 1).alias("number"), "lang", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     told = frequent(each, ["lang", "word"], least)
     own = F.col("first") == place()
-    kept = staged(told.select("block", "number", F.col("first").alias("w1"), "f", F.when(own, F.col("lang")).alias("lang"), F.when(own, F.col("word")).alias("word")), "words")
+    shares = (F.floor(F.col("f") / SHARE) + 1).alias("shares")
+    kept = staged(told.select("block", "number", F.col("first").alias("w1"), shares, "f", F.when(own, F.col("lang")).alias("lang"), F.when(own, F.col("word")).alias("word")), "words")
     vocabulary = kept.filter("word is not null").select(F.col("w1").alias("id"), "lang", "word")
     found = [kept.filter("word is not null").select(F.array("w1").alias("w"), "f")]
     held, buckets = blocks, BUCKETS * tasks(docs.sparkSession)
     for k in range(1, LONGEST):
         names = [f"w{j}" for j in range(1, k + 2)]
-        extended = Stage(extend(k, held.rows.select("block", "numbers", *["steps"][: k - 1]), kept.select("block", "number", *names[:-1], (F.floor(F.col("f") / SHARE) + 1).alias("shares")), buckets), f"lists_{k + 1}")
+        extended = Stage(extend(k, held.rows.select("block", "numbers", *["steps"][: k - 1]), kept.select("block", "number", *names[:-1], "shares"), buckets), f"lists_{k + 1}")
         held.drop()
         held = extended
         dealt = held.rows.select("block", F.explode(F.arrays_zip("bucket", "number", *names, "n")).alias("x")).select("block", "x.*")
-        kept = staged(counted(dealt, names, least), f"phrases_{k + 1}")
-        found.append(kept.filter("own").select(F.array(*names).alias("w"), "f"))
+        kept = staged(counted(dealt, names, least, again=k + 1 < LONGEST), f"phrases_{k + 1}")
+        first = [F.slice(w, F.lit(1), F.size("f")).alias(w) for w in names]
+        found.append(kept.select(*first, "f").select(F.explode(F.arrays_zip(*names, "f")).alias("x")).select(F.array(*[f"x.{w}" for w in names]).alias("w"), "x.f"))
     held.drop()
     every = found[0]
     for one in found[1:]:

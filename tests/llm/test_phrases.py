@@ -73,3 +73,13 @@ def test_blocks_are_cut_between_pieces(spark):
     blocks = P.to_blocks(spark.createDataFrame([(1, long, "en", "", "")], SCHEMA), "text", "lang", 100).collect()
     assert len(blocks) > 20 and sum(b.n_words for b in blocks) == 400 * 8 + 600
     assert all(b.numbers[-4:] == b"\0\0\0\0" for b in blocks)
+
+
+def test_counted_lists_go_back_a_row_for_a_bucket_and_block(spark):
+    """Not a row a list; what is not extended comes once a phrase, not once a block."""
+    rows = [(block, 0, 4, [5, 6, 7], [1, 1, 2], [3, 3, 1]) for block in range(1, 7)] + [(2, 1, 9, [8], [8], [30])]
+    dealt = spark.createDataFrame(rows, "block long, bucket int, number int, w1 array<long>, w2 array<long>, n array<int>").repartition(3)
+    got = sorted((r.block, r.number, r.w1, r.w2, r.shares, r.f) for r in P.counted(dealt, ["w1", "w2"], 10).collect())
+    assert got == sorted([(block, [4, 5], [5, 6], [1, 1], [1, 1], [18, 18] if block == 1 else []) for block in range(1, 7)] + [(2, [9], [8], [8], [1], [30])])
+    last = sorted((r.w1, r.w2, r.f) for r in P.counted(dealt, ["w1", "w2"], 10, again=False).collect())
+    assert last == [([5, 6], [1, 1], [18, 18]), ([8], [8], [30])]
