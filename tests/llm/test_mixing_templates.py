@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -165,3 +166,88 @@ def test_equal_rows_are_one_document(spark):
     others = docs.unionByName(spark.createDataFrame([(10 + k, "the line that recurs here") for k in range(8)], "doc_id long, text string"))
     assert sum(r.n_dropped for r in dedup_lines(others.repartition(3), min_docs=10).collect()) == 9
     assert sum(r.n_dropped for r in dedup_lines(others.repartition(3), min_docs=11).collect()) == 0
+
+
+def test_wordy_fields_are_learnt_at_their_depth(spark):
+    people = [("alice", "alpha"), ("bob", "beta"), ("carol", "gamma")]
+    rows = [(k, f"user {who} logged in from desk {place}\nuser {who} says hello to all of the others") for k, (who, place) in enumerate(people)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dropped = lambda rows, **how: [r.n_dropped for r in sorted(dedup_lines(rows, **how).collect(), key=lambda r: r.row.doc_id)]
+    assert dropped(docs) == [0, 0, 0]
+    assert dropped(docs, depth=1, field_docs=3) == [0, 2, 2]
+    assert dropped(docs, depth=6, field_docs=3) == [0, 0, 0]  # the name lies on the path
+    assert dropped(docs, depth=1, field_docs=4) == [0, 0, 0]
+    assert dropped(docs.filter("doc_id < 2"), depth=1, field_docs=3) == [0, 0]
+    one = spark.createDataFrame([(1, "\n".join(r[1] for r in rows)), (2, rows[0][1].replace("alice", "dan"))], "doc_id long, text string")
+    assert dropped(one, depth=1, field_docs=3) == [0, 0]  # one document's lines are told apart by one document alone
+
+
+def brute_learnt(rows, depth, field_docs, min_docs):
+    """As ``brute``, for rows whose ids differ, with learnt fields open."""
+    seen = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
+    node = lambda f: (len(f), f[:depth])
+    for i, text in rows:
+        for f in filter(None, map(leaf, (text or "").split("\n"))):
+            for p in range(depth, len(f)):
+                seen[node(f)][p][f[p]].add((i is not None, i or 0))
+    fields = {of: {p for p, values in at.items() if len({min(d) for d in values.values()}) >= field_docs} for of, at in seen.items()}
+
+    def opened(line):
+        f = leaf(line)
+        at = f and fields.get(node(f), set())
+        if not at or 2 * len(at) > len(f):
+            return f
+        g = tuple(None if p in at else x for p, x in enumerate(f))
+        return g if re.search("[A-Za-z]|[^\x00-\x7f]", "".join(x or "" for x in g)) else f
+
+    docs = defaultdict(set)
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            docs[opened(line)].add((i is not None, i or 0))
+    stays = lambda i, g: g is None or len(docs[g]) < min_docs or min(docs[g]) == (i is not None, i or 0)
+    out = []
+    for i, text in rows:
+        kept = [line for line in (text or "").split("\n") if stays(i, opened(line))]
+        out.append((i, text and "\n".join(kept), (text or "").count("\n") + 1 - len(kept) if text is not None else 0))
+    return sorted(out, key=str)
+
+
+def logs(n=60):
+    rng = random.Random(5)
+    word = lambda k: rng.choice(["ann", "bob", "cyd", "dan", "eve", "é", "7", "--"][:k])
+    makes = [
+        lambda: f"user {word(8)} of group {word(2)} logged in from desk {word(4)}",
+        lambda: f"the clerk told us on Monday that {word(5)} {word(5)} {word(5)} {word(5)} {word(5)} {word(5)} {word(5)} {word(5)}",
+        lambda: f"the clerk told us on Monday that {word(5)} left",
+        lambda: f"1 2 3 4 5 6 {word(3)} 8",
+        lambda: f"{word(3)} {word(2)} end",
+        lambda: "",
+    ]
+    return [(i, "\n".join(rng.choice(makes)() for _ in range(rng.randrange(7)))) for i in range(n)] + [(None, "the clerk told us on Monday that zed left"), (1000, None)]
+
+
+def test_learnt_fields_against_brute_force(spark, monkeypatch):
+    from gyrolake.llm import templates
+
+    monkeypatch.setattr(templates, "HELD_VALUES", 5)
+    rows = logs()
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fields string").repartition(4)
+    results = set()
+    for depth, field_docs, min_docs in ((1, 3, 2), (3, 4, 2), (6, 3, 2), (6, 3, 5)):
+        got = sorted(((r.row.doc_id, r.text, r.n_dropped) for r in dedup_lines(docs, depth, min_docs=min_docs, field_docs=field_docs).collect()), key=str)
+        assert got == brute_learnt(rows, depth, field_docs, min_docs)
+        results.add(str(got))
+    assert len(results) == 4
+    assert dedup_lines(docs.filter("false"), field_docs=3).count() == 0
+
+
+def test_learned_templates_sql(spark, tmp_path):
+    rows = [r for r in logs() if r[0] is not None]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, text, n_dropped FROM ({queries.oracle_sql()['learned_line_templates']})").fetchall()
+    got = [(r.doc_id, r.text, r.n_dropped) for r in queries.queries()["learned_line_templates"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    plain = [(r.doc_id, r.text, r.n_dropped) for r in queries.op8_line_templates(spark, str(tmp_path)).collect()]
+    assert sum(r[2] for r in got) > sum(r[2] for r in plain)
